@@ -167,14 +167,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = rf"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
-), at AS (
+), spot AS (
   SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words
 ), windows AS (
   SELECT doc_id, i,
     CASE WHEN i + 2 <= len(w) THEN hash(w[i:i + 2]) END AS w3,
     CASE WHEN i + {MIN_REPEAT - 1} <= len(w) THEN hash(w[i:i + {MIN_REPEAT - 1}]) END AS wm,
     CASE WHEN i + {MAX_REPEAT} <= len(w) THEN hash(w[i:i + {MAX_REPEAT}]) END AS wl
-  FROM at
+  FROM spot
 ), seen AS (
   SELECT doc_id, i,
     w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w3) > 1 AS r3,

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from postlake.llm import op01_quality, op02_tokens, op04_bpe
+from postlake.llm import op01_quality, op02_tokens, op04_bpe, op08_decontaminate
 
 QUERIES = {
     "op1_quality_rules": op01_quality.query,
     "op2_token_counts": op02_tokens.query,
     "op4_bpe": op04_bpe.query,
+    "op8_decontamination": op08_decontaminate.query,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": op01_quality.SQL,
+    "op8_decontamination": op08_decontaminate.SQL,
 }
