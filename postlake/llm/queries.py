@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from postlake.llm import op01_quality, op02_tokens, op04_bpe, op08_decontaminate
+from postlake.llm import op01_quality, op02_tokens, op04_bpe, op06_near, op08_decontaminate
 
 QUERIES = {
     "op1_quality_rules": op01_quality.query,
     "op2_token_counts": op02_tokens.query,
     "op4_bpe": op04_bpe.query,
+    "op6_near_duplicates": op06_near.query,
     "op8_decontamination": op08_decontaminate.query,
 }
 
