@@ -24,6 +24,7 @@ are neither merged nor dropped: there is one row for each row of the input.
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -55,34 +56,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(texts: list, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, hash, weight) of the distinct shingles of each text, sorted by document and hash."""
+    """(document, hash of 48 bits, weight) of the distinct shingles of each of up to 65,536 texts,
+    sorted by document and hash."""
     import xxhash
 
     split = [(x or "").lower().split() for x in texts]
     sizes = np.array([len(w) for w in split], np.int64)
-    ids: dict = defaultdict(lambda: len(ids))
-    flat = np.fromiter((ids[w] for words in split for w in words), np.int64, int(sizes.sum()))
+    n = int(sizes.sum())
+    ids = defaultdict(count().__next__)
+    flat = np.fromiter((ids[w] for words in split for w in words), np.int64, n)
     word = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in ids), np.uint64, len(ids))[flat]
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    doc = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
     ends = np.cumsum(sizes)
-    at = np.arange(len(flat))
-    begin = np.repeat(ends - sizes, sizes)
-    left = np.repeat(ends, sizes) - at  # words from here to the end
-    keep = (left >= size) | (at == begin)
-    value = np.zeros(len(flat), np.uint64)
-    for k in range(size):
-        inside = left > k
-        step = np.zeros(len(flat), np.uint64)
-        step[inside] = word[at[inside] + k]
-        value = mix(value ^ step)
-    doc, value = doc[keep], value[keep]
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    if not len(doc):
-        return doc, value, np.zeros(0, np.int64)
-    first = np.append(True, (doc[1:] != doc[:-1]) | (value[1:] != value[:-1]))
-    where = np.flatnonzero(first)
-    return doc[where], value[where], np.diff(np.append(where, len(doc)))
+    left = np.repeat(ends, sizes) - np.arange(n)  # words from here to the end
+    value = np.zeros(n, np.uint64)
+    for k in range(min(size, n)):
+        inside = left[: n - k] > k
+        value[: n - k] += np.where(inside, word[k:] * np.uint64(pow(int(_M1), k, 1 << 64)), np.uint64(0))
+    keep = (left >= size) | (left == np.repeat(sizes, sizes))
+    key = np.sort((doc[keep] << np.uint64(48)) | (mix(value[keep]) >> np.uint64(16)))
+    where = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    key = key[where]
+    return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1), np.diff(np.append(where, int(keep.sum())))
 
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
@@ -97,20 +92,14 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
     limit = np.full(n, np.inf)
     while len(at):
         state = mix(state)
-        u = ((state >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0
-        x = x - np.log(u) / weight[at]
+        x = x - np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0) / weight[at]
         ok = x < limit[doc[at]]
         at, x, state = at[ok], x[ok], state[ok]
-        slot = doc[at] * registers + (mix(state ^ _M2) % np.uint64(registers)).astype(np.int64)
-        # of the arrivals of this round in a register the earliest counts
-        order = np.lexsort((element[at], x, slot))
-        s = slot[order]
-        first = np.append(True, s[1:] != s[:-1]) if len(s) else np.zeros(0, bool)
-        best, s = order[first], s[first]
-        won = x[best] < time[s]
-        best, s = best[won], s[won]
-        time[s], held[s] = x[best], element[at[best]]
-        touched = np.unique(s // registers)
+        slot = doc[at] * registers + ((state * _M2 >> np.uint64(32)) % np.uint64(registers)).astype(np.int64)
+        np.minimum.at(time, slot, x)
+        won = time[slot] == x
+        held[slot[won]] = element[at[won]]
+        touched = np.unique(doc[at])
         limit[touched] = time.reshape(n, registers)[touched].max(axis=1)
         ok = x < limit[doc[at]]
         at, x, state = at[ok], x[ok], state[ok]

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from postlake.llm import op01_quality, op02_tokens, op04_bpe, op06_near, op08_decontaminate
+from postlake.llm import op01_quality, op02_tokens, op04_bpe, op06_near, op07_secrets, op08_decontaminate
 
 QUERIES = {
     "op1_quality_rules": op01_quality.query,
     "op2_token_counts": op02_tokens.query,
     "op4_bpe": op04_bpe.query,
     "op6_near_duplicates": op06_near.query,
+    "op7_secrets": op07_secrets.query,
     "op8_decontamination": op08_decontaminate.query,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": op01_quality.SQL,
+    "op7_secrets": op07_secrets.SQL,
     "op8_decontamination": op08_decontaminate.SQL,
 }
