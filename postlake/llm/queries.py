@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlake.llm import op01_quality, op02_tokens, op04_bpe, op06_near, op07_secrets, op08_decontaminate
+from postlake.llm import op01_quality, op02_tokens, op04_bpe, op06_near, op07_secrets, op08_decontaminate, op09_chat, op10_html
 
 QUERIES = {
     "op1_quality_rules": op01_quality.query,
@@ -11,10 +11,13 @@ QUERIES = {
     "op6_near_duplicates": op06_near.query,
     "op7_secrets": op07_secrets.query,
     "op8_decontamination": op08_decontaminate.query,
+    "op9_chat_formatting": op09_chat.query,
+    "op10_html_extraction": op10_html.query,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": op01_quality.SQL,
     "op7_secrets": op07_secrets.SQL,
     "op8_decontamination": op08_decontaminate.SQL,
+    "op9_chat_formatting": op09_chat.SQL,
 }
