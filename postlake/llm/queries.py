@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from postlake.llm import op01_quality, op02_tokens, op04_bpe, op06_near, op07_secrets, op08_decontaminate, op09_chat, op10_html
+from postlake.llm import op01_quality, op02_tokens, op04_bpe, op05_substrings, op06_near, op07_secrets, op08_decontaminate, op09_chat, op10_html
 
 QUERIES = {
     "op1_quality_rules": op01_quality.query,
     "op2_token_counts": op02_tokens.query,
     "op4_bpe": op04_bpe.query,
+    "op5_substring_dedup": op05_substrings.query,
     "op6_near_duplicates": op06_near.query,
     "op7_secrets": op07_secrets.query,
     "op8_decontamination": op08_decontaminate.query,
