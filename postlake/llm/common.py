@@ -53,6 +53,7 @@ _SPARK = {
     pa.binary(): T.BinaryType(),
     pa.list_(pa.int64()): T.ArrayType(T.LongType()),
     pa.list_(pa.int32()): T.ArrayType(T.IntegerType()),
+    pa.list_(pa.float64()): T.ArrayType(T.DoubleType()),
 }
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from postlake.llm import op01_quality, op02_tokens, op04_bpe, op05_substrings, op06_near, op07_secrets, op08_decontaminate, op09_chat, op10_html
+from postlake.llm import op01_quality, op02_tokens, op03_crf, op04_bpe, op05_substrings, op06_near, op07_secrets, op08_decontaminate, op09_chat, op10_html
 
 QUERIES = {
     "op1_quality_rules": op01_quality.query,
     "op2_token_counts": op02_tokens.query,
+    "op3_quality_classifier": op03_crf.query,
     "op4_bpe": op04_bpe.query,
     "op5_substring_dedup": op05_substrings.query,
     "op6_near_duplicates": op06_near.query,
