@@ -7,14 +7,18 @@ shingle that arrived first. Shingles whose next arrival comes after the last reg
 filled stop early. Two texts agree in a register with their probability Jaccard similarity.
 
 Signatures are cut into bands of ROWS registers. In each bucket of a band every text is verified
-against the smallest one (a star, not all pairs). Where the links found so far leave a bucket in
-several components, all pairs across components are verified as well, so nothing is lost by the
-stars. Links are texts whose exact probability Jaccard similarity is THRESHOLD or more; a class
-is a connected component. A pair at the threshold shares no band with probability 6e-5.
+against the bucket's most central one, that which meets the most texts over all bands (a star,
+not all pairs). Where the links so far leave a bucket in several components, its texts are
+compared across components by a prefix filter: in a common order, rare shingles first, texts that
+reach the threshold share a shingle before which neither has too much weight. So nothing is lost
+by the stars, and few pairs are verified in vain. Links are texts whose exact probability Jaccard
+similarity is THRESHOLD or more; a class is a connected component. A pair at the threshold shares
+no band with probability 6e-5.
 
 Equal texts are one node from the start (128-bit digest) and need no verification. Counts and
-minima are combined before every shuffle; joins on hot keys are plain shuffled joins, which Spark
-splits. Nothing is collected but counts.
+extremes are combined before every shuffle; joins on hot keys are plain shuffled joins, which
+Spark splits. Texts are shuffled only if their digest is in a bitmap of the wanted ones, of a
+fixed size. Nothing else is collected but counts.
 
 Edge cases: a null text is alone in its class; texts without words are linked to equal texts only. A null id
 gets the class of its text, whose name is the smallest id there (null if there is none). Rows
@@ -44,7 +48,11 @@ ROWS = 6
 REGISTERS = BANDS * ROWS
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-FIELDS = [("digest", pa.binary()), ("n_weight", pa.int64()), ("bands", pa.list_(pa.int64()))]
+FIELDS = [("digest", pa.binary()), ("bands", pa.list_(pa.int64()))]
+#: Bits of the bitmap of wanted digests that each task gets (2 MB).
+BITS = 24
+#: Slots of the table of shingle frequencies that each task gets (8 MB).
+SLOTS = 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,14 +117,14 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
 def sketch(texts: list, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> list:
     doc, element, weight = shingles(texts, size)
     n = len(texts)
-    total = np.bincount(doc, weight, minlength=n).astype(np.int64)
     sig = signatures(doc, element, weight, n, bands * rows).reshape(n, bands, rows)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _M3, (n, bands)).copy()
     for r in range(rows):
         key = mix(key ^ sig[:, :, r])
     keys = key.view(np.int64)
     digests = _digest(texts)[0]
-    return [digests, total, [k if t else [] for k, t in zip(keys, total, strict=True)]]
+    some = np.bincount(doc, minlength=n) > 0
+    return [digests, [k if t else [] for k, t in zip(keys, some, strict=True)]]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -152,40 +160,138 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
             last: tuple = (None, None)
             for i, (x, y) in enumerate(zip(left, right, strict=True)):
                 if x != last[0]:
-                    d, e, w = shingles([x], size)
-                    last = (x, (e, w))
-                d, e, w = shingles([y], size)
-                ok[i] = similarity(last[1], (e, w)) >= threshold
-            kept = batch.select(["a", "b"]).filter(pa.array(ok))
-            yield kept
+                    last = (x, shingles([x], size)[1:])
+                ok[i] = similarity(last[1], shingles([y], size)[1:]) >= threshold
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return both.mapInArrow(run, T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]))
 
 
+def _digest(texts: list) -> list:
+    import xxhash
+
+    return [[None if x is None else xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in texts]]
+
+
+def _bitmap(digests: DataFrame) -> np.ndarray:
+    """A bitmap of 2 ** BITS bits with those of the column digest set; its size does not depend on their number."""
+    bit = F.conv(F.substring(F.hex("digest"), 1, BITS // 4), 16, 10).cast("long")
+    words = digests.select((bit / 32).cast("long").alias("w"), (bit % 32).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v"))
+    out = np.zeros(1 << (BITS - 5), np.uint32)
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["v"]
+    return out
+
+
+def _marked(docs: DataFrame, text: str, bits: np.ndarray, inside: bool, digest: str = "__digest") -> DataFrame:
+    """Rows of docs, with their digest, whose digest is in the bitmap (or is not)."""
+    own = map_text(docs.withColumn("__text", F.col(text)), "__text", lambda: lambda x: _looked_up(x, bits), [(digest, pa.binary()), ("__in", pa.bool_())])
+    return own.where(F.col("__in") if inside else ~F.col("__in")).drop("__text", "__in")
+
+
+def _looked_up(texts: list, bits: np.ndarray) -> list:
+    digests = _digest(texts)[0]
+    at = [0 if d is None else int.from_bytes(d[:4], "big") >> (32 - BITS) for d in digests]
+    return [digests, [d is not None and bool(bits[k >> 5] >> np.uint32(k & 31) & 1) for d, k in zip(digests, at, strict=True)]]
+
+
+def _texts(source: DataFrame, need: DataFrame) -> DataFrame:
+    """(digest, text) of the needed digests, once each."""
+    need = stored(need)
+    own = _marked(source.select("text").where("text IS NOT NULL"), "text", _bitmap(need), True, "own")
+    return stored(own.join(need, own["own"] == need["digest"], "left_semi").groupBy("own").agg(F.first("text").alias("text")).withColumnRenamed("own", "digest"))
+
+
+def _links(source: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Verified pairs, written to the shared folder."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    return stored(_verified(pairs, _texts(source, need), size, threshold))
+
+
+def _frequencies(texts: DataFrame, size: int) -> np.ndarray:
+    """How often shingles occur, counted in 2 ** SLOTS slots by hash; of that size whatever the texts."""
+
+    def run(batches):
+        for batch in batches:
+            slot, n = np.unique(shingles(batch.column("text").to_pylist(), size)[1] >> np.uint64(48 - SLOTS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+    out = np.zeros(1 << SLOTS, np.int64)
+    for r in texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def _prefixes(texts: DataFrame, often: np.ndarray, size: int, threshold: float) -> DataFrame:
+    """(digest, key, o, w, p): the rarest shingles of each text, o the weight of those before. Two
+    texts that reach the threshold share one; the order is the same for all texts."""
+
+    def run(batches):
+        for batch in batches:
+            d, e, w = shingles(batch.column("text").to_pylist(), size)
+            order = np.lexsort((e, often[(e >> np.uint64(48 - SLOTS)).astype(np.int64)], d))
+            d, e, w = d[order], e[order], w[order]
+            n = batch.num_rows
+            total = np.bincount(d, w, minlength=n).astype(np.int64)
+            plain = total == np.bincount(d, minlength=n)
+            before = np.cumsum(w) - w
+            before -= (np.cumsum(total) - total)[d]
+            keep = before <= (1 - threshold + 1e-9) * total[d]
+            d = d[keep]
+            yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(d)), pa.array(e[keep].astype(np.int64)), pa.array(before[keep]), pa.array(total[d]), pa.array(plain[d])], names=["digest", "key", "o", "w", "p"])
+
+    return texts.mapInArrow(run, "digest binary, key long, o long, w long, p boolean")
+
+
+def _bound(a: str, b: str) -> str:
+    """SQL of an upper bound of the similarity of two texts, of their weights {}w, the weights {}o
+    that they don't share, and whether all their weights are 1 ({}p). With shares x and y of weight
+    not shared the probability Jaccard is at most (1 - x)(1 - y) / (1 - xy), as a b / (b + y a) is
+    concave; for plain sets the overlap is at most the rest of either."""
+    o = f"least({a}w - {a}o, {b}w - {b}o)"
+    x, y = f"({a}o / {a}w)", f"({b}o / {b}w)"
+    return f"CASE WHEN {a}p AND {b}p THEN {o} / ({a}w + {b}w - {o}) WHEN {x} = 1 OR {y} = 1 THEN 0 ELSE (1 - {x}) * (1 - {y}) / (1 - {x} * {y}) END"
+
+
+def _across(source: DataFrame, shared: DataFrame, label: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of texts that meet others of another component in a bucket, of different
+    components themselves, that may reach the threshold: they share one of their rarest shingles,
+    and what comes before it in either leaves enough."""
+    named = stored(shared.join(label, shared["digest"] == label["node"], "left").select("key", "digest", F.coalesce("label", "digest").alias("label")))
+    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    open_ = stored(named.join(open_, "key").select("digest", "label").distinct())
+    if open_.isEmpty():
+        return open_.select(F.col("digest").alias("a"), F.col("digest").alias("b"))
+    texts = _texts(source, open_.select("digest"))
+    rows = stored(_prefixes(texts, _frequencies(texts, size), size, threshold).join(open_, "digest"))
+    # without those that no text which has the shingle could match
+    best = rows.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("w").alias("low_w"), F.min(F.expr("o / w")).alias("low_x"), F.min("p").alias("all_p"))
+    at_best = "CASE WHEN all_p THEN (w - o) / (w + greatest(low_w, w - o) - (w - o)) WHEN o = w THEN 0 ELSE (1 - o / w) * (1 - low_x) / (1 - o / w * low_x) END"
+    rows = stored(rows.join(best.where("l1 < l2"), "key").where(F.expr(at_best) >= threshold - 1e-9).select("key", "digest", "label", "o", "w", "p"))
+    top = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"))
+    minor = rows.join(top, "key").where("label <> top.label").select("key", *[F.col(c).alias(f"m{c}") for c in ("digest", "label", "o", "w", "p")])
+    pairs = rows.join(minor, (rows["key"] == minor["key"]) & (F.col("label") != F.col("mlabel")) & (F.expr(_bound("", "m")) >= threshold - 1e-9))
+    return pairs.select(F.least("digest", "mdigest").alias("a"), F.greatest("digest", "mdigest").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc, digest, class_id, first) for every row of docs: class_id is the smallest doc of the
     class, first marks its row (each of them, if it is repeated)."""
     source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     sketches = stored(map_text(source, "text", lambda: lambda x: sketch(x, size, bands, rows), FIELDS).drop("text"))
-    nodes = sketches.where("digest IS NOT NULL").groupBy("digest").agg(F.first("bands").alias("bands"))
-    band = stored(nodes.select("digest", F.explode("bands").alias("key")))
-    buckets = band.groupBy("key").agg(F.min("digest").alias("low"), F.count("*").alias("n")).where("n > 1")
-    shared = stored(band.join(buckets, "key").select("key", "low", "digest"))
-    star = stored(shared.where("digest > low").select(F.col("low").alias("a"), F.col("digest").alias("b")).distinct())
+    nodes = stored(sketches.where("digest IS NOT NULL").groupBy("digest").agg(F.first("bands").alias("bands")))
+    band = nodes.select("digest", F.explode("bands").alias("key"))
+    shared = stored(band.join(band.groupBy("key").count().where("count > 1"), "key"))
+    central = shared.groupBy("digest").agg(F.sum("count").alias("met")).withColumnRenamed("digest", "d")
+    ranked = shared.join(central, shared["digest"] == central["d"]).select("key", F.struct("met", "digest").alias("rank"))
+    star = ranked.join(ranked.groupBy("key").agg(F.max("rank").alias("top")), "key").where("rank <> top")
+    star = stored(star.select(F.least("rank.digest", "top.digest").alias("a"), F.greatest("rank.digest", "top.digest").alias("b")).distinct())
     links = _links(source, star, size, threshold)
     label = stored(components(links))
-    # across the components of a bucket
-    named = shared.join(label, shared["digest"] == label["node"], "left").select("key", "low", "digest", F.coalesce("label", "digest").alias("label"))
-    named = stored(named)
-    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    most = named.join(open_, "key").groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"))
-    minor = named.join(most, "key").where("label <> top.label").select("key", F.col("digest").alias("d1"), F.col("label").alias("l1"))
-    rest = named.join(minor, "key").where(F.col("label") != F.col("l1"))
-    rest = rest.select(F.least("digest", "d1").alias("a"), F.greatest("digest", "d1").alias("b")).distinct()
+    rest = _across(source, shared.select("key", "digest"), label, size, threshold)
     rest = stored(rest.join(star, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = _links(source, rest, size, threshold)
-        label = stored(components(links.union(more)))
+        label = stored(components(links.union(_links(source, rest, size, threshold))))
     one = sketches.select("doc", "digest").join(label, sketches["digest"] == label["node"], "left").select("doc", "digest", F.coalesce("label", "digest").alias("label"))
     one = stored(one)
     name = one.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "digest")).alias("top")).withColumnRenamed("label", "of")
@@ -194,30 +300,20 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int
     return one.join(name, one["label"] == name["of"], "left").select("doc", "digest", F.when(alone, F.col("doc")).otherwise(F.col("top.doc")).alias("class_id"), first.alias("first"))
 
 
-def _links(source: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Verified pairs, written to the shared folder."""
-    need = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "need")
-    own = map_text(source.select("text").where("text IS NOT NULL"), "text", lambda: _digest, FIELDS[:1])
-    texts = stored(own.join(need, own["digest"] == need["need"], "left_semi").dropDuplicates(["digest"]).select("digest", "text"))
-    return stored(_verified(pairs, texts, size, threshold))
-
-
-def _digest(texts: list) -> list:
-    import xxhash
-
-    return [[None if x is None else xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in texts]]
-
-
 def one_each(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs for each class: that of the smallest id. A row that repeats both id and
-    text stays once. A row with null text is a class of its own for each id."""
-    keep = stored(classes(docs, doc, text).where("first").groupBy("doc", "digest").agg(F.count("*").alias("n")))
-    own = docs.withColumn("__text", F.col(text))
-    own = map_text(own, "__text", lambda: _digest, [("__digest", pa.binary())])
-    out = own.join(keep, own[doc].eqNullSafe(keep["doc"]) & own["__digest"].eqNullSafe(keep["digest"]), "left_semi")
-    if not keep.where("n > 1").isEmpty():
-        out = out.dropDuplicates([doc, "__digest"])
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    text stays once. Rows with null text are classes of their own and all stay.
+
+    Rows whose digest is not in a bitmap of the doubtful ones pass where they are; only the
+    others are shuffled to the list of the first rows.
+    """
+    found = stored(classes(docs, doc, text).where("digest IS NOT NULL").groupBy("doc", "digest").agg(F.min("first").alias("first"), F.count("*").alias("n")))
+    bits = _bitmap(found.where("NOT first OR n > 1").select("digest"))
+    keep = found.where("first").select("doc", "digest")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    doubtful = _marked(docs, text, bits, True).dropDuplicates([doc, "__digest"])
+    kept = doubtful.join(keep, doubtful[doc].eqNullSafe(keep["doc"]) & (doubtful["__digest"] == keep["digest"]), "left_semi")
+    return _marked(docs, text, bits, False).select(*columns).unionByName(kept.select(*columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
