@@ -140,7 +140,7 @@ def board(url: Column) -> Column:
 
 def labelled_numbers(text: Column, label: str = r"(?:ič?o|company id)") -> Column:
     """Array of 5-8 digit numbers behind a label, padded to 8 digits."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?i)\b{label}\s*[:.]?\s*([0-9]{{5,8}})\b"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(rf"(?iu)\b{label}\s*[:.]?\s*([0-9]{{5,8}})\b"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda x: F.lpad(x, 8, "0")))
 
 

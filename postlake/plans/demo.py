@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from postlake.plans import relational
+from postlake.plans import domain, relational, state, text
 
-PARTS = (relational,)
+PARTS = (relational, text, state, domain)
 QUERIES = {k: v for p in PARTS for k, v in p.R.queries.items()}
 ORACLE_SQL = {k: v for p in PARTS for k, v in p.R.sql.items()}

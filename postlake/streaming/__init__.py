@@ -1,0 +1 @@
+"""Structured Streaming forms of the windowed and stateful operators, and their batch twins."""
