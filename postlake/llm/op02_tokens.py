@@ -8,7 +8,8 @@ what follows such a place is encoded alike whatever came before. If an overlap h
 it is doubled, in the end to the whole rest of the text.
 
 Texts up to CHUNK characters are encoded piece by piece between white space (the same stable
-places), with a bounded memory of pieces seen before.
+places), with a bounded memory of pieces seen before. ASCII letters count in lower case there, as
+the vocabulary folds case, and a full stop or comma behind letters as the one token it is.
 
 Edge cases: null counts as empty (0 bytes, 0 tokens). Special strings inside texts become special
 tokens, as is the library's default. Repeated rows give repeated results; long texts cost one
@@ -28,16 +29,21 @@ from postlake.llm.common import map_text, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Texts of more characters are cut into chunks of so many; neighbours share OVERLAP at first.
-CHUNK = 32_768
+CHUNK = 65_536
 OVERLAP = 256
 #: A document of more tokens is over the limit.
 LIMIT = 2048
 #: Pieces remembered in a Python worker, each of PIECE characters at most.
-MEMORY = 400_000
+MEMORY = 1_000_000
 PIECE = 64
 #: White space that no token, merge or normalisation of the vocabulary crosses.
 STABLE = re.compile("[ \t\n\r]+")
 
+#: White space of str.split() that the vocabulary doesn't know as such.
+ODD = "\x1c\x1d\x1e\x1f"
+#: Marks that are a token of their own behind letters at the end of a piece.
+ENDS = ".,"
+
 FIELDS = [("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())]
 
 
@@ -101,23 +107,32 @@ def encode_long(text: str, tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP
     return ids + [i for _, _, i in left]
 
 
+def pieces(text: str) -> list[str]:
+    """The parts of a text between white space, each of which is encoded alike wherever it stands."""
+    return [p for p in STABLE.split(text) if p] if any(c in text for c in ODD) else text.split()
+
+
 def counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP, limit: int = LIMIT) -> Callable[[], Callable[[list], list]]:
     def make():
         tokenizer = load(path)
         known: dict[str, int] = {}
 
         def count(texts: list) -> list:
-            split = [None if x is not None and len(x) > chunk else STABLE.split(x or "") for x in texts]
-            fresh = [p for p in dict.fromkeys(p for pieces in split if pieces for p in pieces) if p not in known]
-            if len(known) + len(fresh) > MEMORY:
+            split = [None if x is not None and len(x) > chunk else pieces(x or "") for x in texts]
+            seen = set().union(*(p for p in split if p))
+            if len(known) > MEMORY:
                 known.clear()
-                fresh = list(dict.fromkeys(p for pieces in split if pieces for p in pieces))
-            for p, e in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                known[p] = len(e.ids)
-            n = [sum(map(known.__getitem__, pieces)) if pieces is not None else len(encode_long(x, tokenizer, chunk, overlap)) for x, pieces in zip(texts, split, strict=True)]
+            fresh = list(seen.difference(known))
+            plain = {p: q.lower() for p in fresh if p.isascii() and (q := p[:-1] if p[-1] in ENDS else p).isalpha()}
+            wanted = [p for p in dict.fromkeys(plain.get(p, p) for p in fresh) if p not in known]
+            known.update(zip(wanted, (len(e.ids) for e in tokenizer.encode_batch(wanted, add_special_tokens=False)), strict=True))
+            for p, q in plain.items():
+                known[p] = known[q] + (len(q) < len(p))
+            n = [sum(map(known.__getitem__, p)) if p is not None else len(encode_long(x, tokenizer, chunk, overlap)) for x, p in zip(texts, split, strict=True)]
             for p in fresh:
                 if len(p) > PIECE:
-                    del known[p]
+                    known.pop(p, None)
+                    known.pop(plain.get(p), None)
             size = [len(x.encode("utf-8", "surrogatepass")) if x else 0 for x in texts]
             return [size, n, [k > limit for k in n]]
 
