@@ -196,13 +196,14 @@ def classify(found: list[tuple[str, int, int, int]]) -> list[bool]:
 
 
 def _nearest(found: list, first: list[bool | None]) -> list[tuple[int, bool] | None]:
-    """For each block the distance and label of the last decided one before it, in the same article."""
+    """For each block the distance and label of the last decided one before it, in the same article.
+    What an article merely encloses (adverts, forms, asides) says nothing about its own blocks."""
     out: list[tuple[int, bool] | None] = []
     last: dict[int, tuple[int, bool]] = {}
-    for i, ((_, _, article, _), label) in enumerate(zip(found, first, strict=True)):
+    for i, ((_, _, article, bad), label) in enumerate(zip(found, first, strict=True)):
         got = last.get(article)
         out.append((i - got[0], got[1]) if got else None)
-        if label is not None:
+        if label is not None and not (bad and article >= 0):
             last[article] = (i, label)
     return out
 
