@@ -32,6 +32,8 @@ from postlake.llm.op06_near import mix
 
 #: Word ends on each side that a boundary must exceed.
 NEAR = 3
+#: Longer chunks (of one word over and over, where no end is larger than its neighbours) are cut.
+MAX_CHUNK = 64
 #: Least words of a reported span.
 MIN_WORDS = 16
 
@@ -95,8 +97,12 @@ def units(texts: list, near: int = NEAR) -> list:
     top &= (place >= near) & (place < words[doc] - near - 1)  # no chunk shorter than near + 1 at the edges
     top |= place == words[doc] - 1
     last = np.flatnonzero(top) + 1  # end of each chunk, in words
-    own = doc[last - 1]
     start = np.append(0, last[:-1])
+    cuts = -(-(last - start) // MAX_CHUNK)
+    begins = np.cumsum(cuts) - cuts
+    start = np.repeat(start, cuts) + MAX_CHUNK * (np.arange(int(cuts.sum())) - np.repeat(begins, cuts))
+    last = np.minimum(start + MAX_CHUNK, np.repeat(last, cuts))
+    own = doc[last - 1]
     single = np.bincount(own, minlength=len(texts))[own] == 1
     pair = np.append(own[1:] == own[:-1], False)
     use = np.flatnonzero(pair | single)
