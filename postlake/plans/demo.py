@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from postlake.plans import domain, relational, state, text
+from postlake.plans import domain, more, relational, state, text
 
-PARTS = (relational, text, state, domain)
+PARTS = (relational, text, state, domain, more)
 QUERIES = {k: v for p in PARTS for k, v in p.R.queries.items()}
 ORACLE_SQL = {k: v for p in PARTS for k, v in p.R.sql.items()}
