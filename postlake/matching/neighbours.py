@@ -13,17 +13,26 @@ from postlake.functions.scalars import dot
 
 #: Neighbours, and the similarity that the nearest must have.
 K, LEAST = 5, 0.8
-#: Bytes of examples that are held in a task; larger sets are compared block by block.
-BLOCK_ROWS = 100_000
+#: Most examples that are broadcast and compared by native expressions; up to MOST_ROWS they are
+#: compared in blocks of BLOCK_ROWS by matrix products. Larger sets are refused.
+NATIVE_ROWS, BLOCK_ROWS, MOST_ROWS = 5_000, 100_000, 2_000_000
 
 
 def vote(queries: DataFrame, examples: DataFrame, k: int = K, least: float = LEAST) -> DataFrame:
     """(id, code): the code with the largest sum of similarities among the k nearest examples; ties
     go to the nearer code; none if the nearest is less similar than least.
 
-    queries (id, vector), examples (example, code, vector), unit vectors. Native and exact; for
-    example sets of up to some thousands, which are compared with every query.
+    queries (id, vector), examples (example, code, vector), unit vectors. Exact: the stated
+    examples are compared with every query. Their number is counted first.
     """
+    n = examples.limit(MOST_ROWS + 1).count()
+    if n > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} examples")
+    if n > NATIVE_ROWS:
+        rows = examples.select("example", "code", "vector").orderBy("example").toPandas()
+        cuts = range(0, n, BLOCK_ROWS)
+        matrix = lambda i: np.stack(rows["vector"].iloc[i : i + BLOCK_ROWS].to_numpy()).astype(np.float64)
+        return vote_blocks(queries, [matrix(i) for i in cuts], [rows["code"].iloc[i : i + BLOCK_ROWS].to_numpy() for i in cuts], k, least)
     pairs = queries.join(F.broadcast(examples.select("example", "code", F.col("vector").alias("v")))).select("id", "example", "code", dot(F.col("vector"), F.col("v")).alias("s"))
     return _voted(pairs, k, least)
 

@@ -28,7 +28,7 @@ def both(name: str, sql: str) -> None:
     def run(t):
         tables = [n for n in NAMES if re.search(rf"\b(?:FROM|JOIN) {n}\b", body)]
         frames = {n: t(n) for n in tables}
-        text = body
+        text = body.replace("{", "{{").replace("}", "}}")
         for n in tables:
             text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
         return next(iter(frames.values())).sparkSession.sql(text, **frames)
