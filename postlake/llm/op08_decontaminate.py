@@ -32,22 +32,28 @@ MAX_SET = 100_000
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z; letters beyond ASCII stay as they are."""
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def words_sql(column: str) -> str:
+    """SQL of the array of normalised words of a column: A-Z to a-z, letters beyond ASCII as they are;
+    empty for null."""
+    text = f"coalesce({column}, '')"
     other = text
     for c in string.ascii_uppercase:
-        other = F.replace(other, F.lit(c), F.lit(c.lower()))
-    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(other)
+        other = f"replace({other}, '{c}', '{c.lower()}')"
+    return f"array_remove(split(CASE WHEN length({text}) = octet_length({text}) THEN lower({text}) ELSE {other} END, {quoted(BETWEEN)}), '')"
 
 
-def words(text: Column) -> Column:
-    """Array of the normalised words; empty for null."""
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
+def words(column: str) -> Column:
+    return F.expr(words_sql(f"`{column}`"))
 
 
 def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(n, key, items): distinct windows, their number of words, the ids (as strings) of the items that have them."""
-    w = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    w = benchmark.select(F.col(item).cast("string").alias("item"), words(text).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("n", F.least(F.size("w"), F.lit(window)))
     w = w.select("item", "n", F.explode(F.expr("transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))")).alias("key"))
     return w.groupBy("n", "key").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -79,7 +85,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str =
     """One row per distinct (id, text): doc, text_hash, n_words, n_hit, n_items, items, contaminated."""
     win = windows(benchmark, item, item_text, window)
     sizes, hashes, small = _sets(win, max_set)
-    d = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("w"))
+    d = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("text_hash"), words(text).alias("w"))
     d = d.select("doc", "text_hash", F.size("w").cast("long").alias("n_words"), _found("w", sizes, hashes).alias("found"))
     d = d.select("doc", "text_hash", "n_words", F.explode_outer("found").alias("f")).select("doc", "text_hash", "n_words", "f.i", "f.n", "f.key")
     own = win.select(F.col("n").alias("wn"), F.col("key").alias("wk"), "items")
@@ -99,11 +105,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     if not sizes:
         return docs
     if small:
-        keys = sorted(r["key"] for r in win.select("key").collect())  # max_set rows at most
-        quoted = ", ".join("'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in keys)
-        own = docs.withColumn("__w", words(F.col(text))).withColumn("__f", _found("__w", sizes, hashes))
-        return own.where(F.expr(f"NOT exists(__f, x -> x.key IN ({quoted}))")).select(*[f"`{c}`" for c in docs.columns])
-    d = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("t"), words(F.col(text)).alias("w"))
+        keys: dict[int, list[str]] = {n: [] for n in sizes}
+        for r in win.select("n", "key").collect():  # max_set rows at most
+            keys[r["n"]].append(r["key"])
+        # the words are bound as a variable, so that a filter, wherever it moves, makes them once a row
+        looks = [f"exists(filter(CASE WHEN size(w) >= {n} THEN sequence(1, size(w) - {n} + 1) ELSE array() END, i -> xxhash64(slice(w, i, {n})) IN ({', '.join(f'{h}L' for h in hashes[n])})), i -> array_join(slice(w, i, {n}), ' ') IN ({', '.join(quoted(k) for k in keys[n])}))" for n in sizes]
+        return docs.where(F.expr(f"NOT exists(array({words_sql(f'`{text}`')}), w -> {' OR '.join(looks)})"))
+    d = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("t"), words(text).alias("w"))
     d = d.select("h", F.md5("t").alias("m"), F.explode(_found("w", sizes, None)).alias("f"))
     bad = d.join(win, (F.col("f.n") == F.col("n")) & (F.col("f.key") == F.col("key")), "left_semi").select("m").distinct()
     return docs.join(bad, F.md5(docs[text]) == bad["m"], "left_anti")
