@@ -390,3 +390,27 @@ def g23(t):
 def h02(t):
     return t("embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
+
+
+@R.add("p12_page_signs", "SELECT page_id, page_id % 3 = 0 AS ad, page_id % 3 = 1 AS none, CASE page_id % 3 WHEN 2 THEN page_id % 50 ELSE 1 END::INT AS page FROM pages")
+def p12(t):
+    from postlake.matching import career_pages as cp
+
+    k = F.col("page_id") % 3
+    text = F.when(k == 0, "Náplň práce: obsluha").when(k == 1, "Momentálne nie sú žiadne voľné miesta").otherwise("O nás")
+    url = F.when(k == 2, F.concat(F.lit("https://x.sk/kariera?strana="), (F.col("page_id") % 50).cast("string"))).otherwise("https://x.sk/kariera")
+    return t("pages").select("page_id", cp.looks_like_vacancy(text).alias("ad"), cp.says_no_vacancies(text).alias("none"), cp.page_number(url).alias("page"))
+
+
+_VERDICTS = "CASE p_partkey % 6 WHEN 0 THEN 'GROUP' WHEN 1 THEN 'OPENED' WHEN 2 THEN 'CLOSED' WHEN 3 THEN 'GONE' WHEN 4 THEN CASE WHEN p_size > 40 THEN 'BRAND' ELSE 'GROUP' END ELSE CASE WHEN p_size > 45 THEN 'REGISTRATION_NUMBER' ELSE 'OPENED' END END"
+
+
+@R.add("p17_site_by_name", f'''WITH c AS (SELECT p_partkey // 8 AS company_id, p_partkey AS "at", p_name AS host, {_VERDICTS} AS verdict, p_size % 7 = 0 AS known, p_size % 2 = 0 AS home FROM part),
+x AS (SELECT *, CASE WHEN verdict = 'REGISTRATION_NUMBER' THEN 'NUMBER' WHEN verdict IN ('BRAND', 'GROUP') THEN verdict WHEN verdict = 'CLOSED' AND home THEN 'CLOSED' END AS proof, CASE WHEN verdict = 'REGISTRATION_NUMBER' THEN 0 WHEN verdict = 'BRAND' THEN 1 WHEN verdict = 'GROUP' AND known THEN 2 ELSE 3 END AS r FROM c),
+y AS (SELECT *, min(r) OVER (PARTITION BY company_id) AS top, row_number() OVER (PARTITION BY company_id ORDER BY r, "at") AS n FROM x WHERE proof IS NOT NULL)
+SELECT company_id, "at", host, CASE WHEN r < 3 THEN 'FOUND' ELSE 'CANDIDATE' END AS status, proof FROM y WHERE top = 3 OR n = 1''')
+def p17(t):
+    from postlake.matching import career_pages as cp
+
+    c = t("part").select(F.floor(F.col("p_partkey") / 8).alias("company_id"), F.col("p_partkey").alias("at"), F.col("p_name").alias("host"), F.expr(_VERDICTS).alias("verdict"), (F.col("p_size") % 7 == 0).alias("known"), (F.col("p_size") % 2 == 0).alias("home"))
+    return cp.site_by_name(c)

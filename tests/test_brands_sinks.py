@@ -73,3 +73,11 @@ def test_snapshots_and_digest(spark, tmp_path):
     r = sinks.digest_texts(lines, most=2).collect()[0]
     assert (r["total"], r["body"]) == (5, "- t2 <u>\n- t1 <u>")
     assert spark.range(1).select(F.length(sinks.snapshot_key(F.lit(3), F.lit("x"))).alias("n")).collect()[0]["n"] == 66
+
+
+def test_next_pages(spark):
+    from postlake.matching.career_pages import next_pages
+
+    rows = [("https://x.sk/k", 0, "https://x.sk/k", "1", None), ("https://x.sk/k", 1, "https://x.sk/k?strana=2", "2", None), ("https://x.sk/k", 2, "https://x.sk/k?strana=3", "Ďalej »", None), ("https://y.sk/k?page=2", 0, "https://y.sk/k?page=3", "3", None), ("https://z.sk", 0, "https://z.sk/2", "weiter", "NEXT"), ("https://w.sk", 0, "https://w.sk/a", "a", None)]
+    got = {r["page"]: r["url"] for r in next_pages(spark.createDataFrame(rows, "page string, at int, url string, text string, rel string")).collect()}
+    assert got == {"https://x.sk/k": "https://x.sk/k?strana=3", "https://y.sk/k?page=2": "https://y.sk/k?page=3", "https://z.sk": "https://z.sk/2"}
