@@ -146,9 +146,9 @@ def j15(t):
     return c.unpivot(["c_nationkey"], ["known", "negative", "rest"], "metric", "value")
 
 
-@R.add("j16_explode_outer", "SELECT d.doc_id, w.word FROM (SELECT doc_id, list_distinct(list_filter(string_split(lower(substr(text, 1, 60)), ' '), lambda x: length(x) > 9)) AS ws FROM documents) d LEFT JOIN LATERAL (SELECT unnest(d.ws) AS word) w ON TRUE")
+@R.add("j16_explode_outer", "SELECT d.doc_id, w.word FROM (SELECT doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 9)) AS ws FROM documents) d LEFT JOIN LATERAL (SELECT unnest(d.ws) AS word) w ON TRUE")
 def j16(t):
-    words = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 60)), " "), lambda x: F.length(x) > 9))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 9))
     return t("documents").select("doc_id", F.explode_outer(words).alias("word"))
 
 

@@ -10,16 +10,21 @@ from postlake.plans.registry import Registry
 
 R = Registry()
 
-#: Titles made of document beginnings, with the marks that titles carry.
-_TITLE = """CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '(m/ž/d) ' WHEN 2 THEN 'Kuchár/ka ' WHEN 3 THEN '(TOBI s.r.o.) ' WHEN 4 THEN 'Вчитель ' ELSE 'SKLADNÍK - ' END || substr(text, 1, 40)
+#: Titles made of first lines, with the marks that titles carry.
+_TITLE = """CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '(m/ž/d) ' WHEN 2 THEN 'Kuchár/ka ' WHEN 3 THEN '(TOBI s.r.o.) ' WHEN 4 THEN 'Вчитель ' ELSE 'SKLADNÍK - ' END || split_part(text, chr(10), 1)
 || CASE doc_id % 5 WHEN 0 THEN ' (muž/žena)' WHEN 1 THEN ' 1 500 €' WHEN 2 THEN ' od 1200 EUR/mes. brutto' WHEN 3 THEN ' - Bratislava' ELSE ' | m/ž' END"""
 
 
+def _line():
+    """The first line of a document, which stands for a title or a name."""
+    return F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+
+
 def _title():
     d = F.col("doc_id")
     head = F.when(d % 6 == 0, "").when(d % 6 == 1, "(m/ž/d) ").when(d % 6 == 2, "Kuchár/ka ").when(d % 6 == 3, "(TOBI s.r.o.) ").when(d % 6 == 4, "Вчитель ").otherwise("SKLADNÍK - ")
     tail = F.when(d % 5 == 0, " (muž/žena)").when(d % 5 == 1, " 1 500 €").when(d % 5 == 2, " od 1200 EUR/mes. brutto").when(d % 5 == 3, " - Bratislava").otherwise(" | m/ž")
-    return F.concat(head, F.substring("text", 1, 40), tail)
+    return F.concat(head, _line(), tail)
 
 
 def _sq(text: str) -> str:
@@ -35,9 +40,9 @@ def _chain(inner: str, *steps: tuple[str, str]) -> str:
 _BARE = tuple((p, " ") for p in (keys.SALARY, keys.EURO_FIRST, keys.GENDER, "[^a-z0-9]+"))
 
 
-@R.add("x01_fold", f"SELECT doc_id, translate(lower(substr(text, 1, 200)), '{keys.SEARCH_FROM}', '{keys.SEARCH_TO}') AS folded FROM documents")
+@R.add("x01_fold", f"SELECT doc_id, translate(lower(text), '{keys.SEARCH_FROM}', '{keys.SEARCH_TO}') AS folded FROM documents")
 def x01(t):
-    return t("documents").select("doc_id", keys.fold(F.substring("text", 1, 200)).alias("folded"))
+    return t("documents").select("doc_id", keys.fold(F.col("text")).alias("folded"))
 
 
 @R.add("x02_title_head", f"SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower({_TITLE}), '{keys.HEAD_FROM}', '{keys.HEAD_TO}'), '(?s)\\s*([|,/(–]|\\s-\\s).*$', ''), '\\s+', ' ', 'g')) AS head FROM documents")
@@ -150,13 +155,13 @@ def x12(t):
     return t("pages").select("page_id", keys.without_copy_suffix(F.concat(F.lit("R-"), "page_id", F.when(F.col("page_id") % 2 == 0, "-3").otherwise("x"))).alias("id"))
 
 
-_SLUG = _chain(f"lower(translate(substr(text, 1, 30) || ' ' || CASE doc_id % 3 WHEN 0 THEN 'spol. s r.o.' WHEN 1 THEN 'GmbH' ELSE 'a. s.' END, '{keys.SLUG_FROM}', '{keys.SLUG_TO}'))", ("[^a-z0-9]+", "-"), ("^-+|-+$", ""), (keys.LEGAL_END, ""))
+_SLUG = _chain(f"lower(translate(split_part(text, chr(10), 1) || ' ' || CASE doc_id % 3 WHEN 0 THEN 'spol. s r.o.' WHEN 1 THEN 'GmbH' ELSE 'a. s.' END, '{keys.SLUG_FROM}', '{keys.SLUG_TO}'))", ("[^a-z0-9]+", "-"), ("^-+|-+$", ""), (keys.LEGAL_END, ""))
 
 
 @R.add("x13_name_slug", f"SELECT doc_id, {_SLUG} AS slug FROM documents")
 def x13(t):
     legal = F.when(F.col("doc_id") % 3 == 0, "spol. s r.o.").when(F.col("doc_id") % 3 == 1, "GmbH").otherwise("a. s.")
-    return t("documents").select("doc_id", keys.name_slug(F.concat_ws(" ", F.substring("text", 1, 30), legal)).alias("slug"))
+    return t("documents").select("doc_id", keys.name_slug(F.concat_ws(" ", _line(), legal)).alias("slug"))
 
 
 _PARTS = f"string_split({_HOST}, '.')"
@@ -189,9 +194,9 @@ def x20(t):
     return t("supplier").select("s_suppkey", F.when(b.isNotNull(), F.concat_ws(":", b["provider"], b["board"])).alias("board"))
 
 
-@R.add("x27_canonical_query", r"SELECT doc_id, CASE WHEN length(q) BETWEEN 2 AND 100 THEN q END AS query FROM (SELECT doc_id, lower(trim(regexp_replace('  ' || substr(text, 1, doc_id % 110), '\s+', ' ', 'g'))) AS q FROM documents)")
+@R.add("x27_canonical_query", r"SELECT doc_id, CASE WHEN length(q) BETWEEN 2 AND 100 THEN q END AS query FROM (SELECT doc_id, lower(trim(regexp_replace('  ' || split_part(text, chr(10), 1), '\s+', ' ', 'g'))) AS q FROM documents)")
 def x27(t):
-    return t("documents").select("doc_id", keys.canonical_query(F.expr("concat('  ', substr(text, 1, doc_id % 110))")).alias("query"))
+    return t("documents").select("doc_id", keys.canonical_query(F.concat(F.lit("  "), _line())).alias("query"))
 
 
 @R.add("d03_local_time_due", "SELECT event_id, (ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Bratislava')::TIMESTAMP AS local_ts, isodow(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Bratislava') <= 5 AND hour(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Bratislava') >= 8 AS due FROM events")
@@ -274,7 +279,7 @@ def _p02_sql() -> str:
     special = " OR ".join(has("h", w) for w in ("scum", "and", "und", "que"))
     one = lambda code, ex, own, role, key: f"SELECT doc_id, '{code}' AS code FROM x WHERE NOT ({ex}) AND ({own} OR ({role}) AND ({key[0]} OR NOT ({special}) AND ({key[1]})))"
     t = "strip_accents(lower(text))"
-    h = "regexp_replace(strip_accents(lower(substr(text, 1, 30))), '[-/|,()\\[\\]:;]+', ' ', 'g')"
+    h = "regexp_replace(strip_accents(lower(split_part(text, chr(10), 1))), '[-/|,()\\[\\]:;]+', ' ', 'g')"
     b = f"regexp_replace(regexp_replace({t}, '[-/|,()\\[\\]:;]+', ' ', 'g'), '\\s', ' ', 'g')"
     return f"WITH x AS (SELECT doc_id, {h} AS h, {b} AS b FROM documents) " + " UNION ALL ".join(
         [
@@ -286,7 +291,7 @@ def _p02_sql() -> str:
 
 @R.add("p02_position_match", _p02_sql())
 def p02(t):
-    d = t("documents").select("doc_id", positions.normal(F.substring("text", 1, 30)).alias("h"), positions.normal(F.col("text")).alias("b"))
+    d = t("documents").select("doc_id", positions.normal(_line()).alias("h"), positions.normal(F.col("text")).alias("b"))
     return d.select("doc_id", F.explode(positions.matches(DICTIONARY, F.col("h"), F.col("b"))).alias("m")).select("doc_id", "m.code")
 
 
@@ -315,7 +320,7 @@ def p04(t):
 @R.add("p08_language_requirements")
 def p08(t):
     said = ["Fluent English required. German is a plus.", "<p>anglický jazyk – pokročilý</p>", "Deutsch von Vorteil", "Nice place, French food"]
-    html = F.concat(F.get(F.array(*map(F.lit, said)), (F.col("doc_id") % 4).cast("int")), F.lit("<br>"), F.substring("text", 1, 300))
+    html = F.concat(F.get(F.array(*map(F.lit, said)), (F.col("doc_id") % 4).cast("int")), F.lit("<br>"), F.col("text"))
     return t("documents").select("doc_id", F.explode_outer(languages.language_requirements(html)).alias("r")).select("doc_id", "r.language", "r.required")
 
 
