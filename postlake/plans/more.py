@@ -347,7 +347,7 @@ def q22(t):
     return t("orders").join(t("customer").where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").groupBy(F.col("o_custkey").alias("employer")).agg(F.count("*").alias("offers"))
 
 
-both("q25_country_turns", "SELECT n_nationkey, turn FROM (SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS turn FROM nation) x WHERE turn <= 2")
+both("q25_country_turns", "SELECT n_nationkey, CAST(turn AS BIGINT) AS turn FROM (SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS turn FROM nation) x WHERE turn <= 2")
 both("q26_pending_requests", "SELECT c.id FROM company c WHERE c.agency AND NOT EXISTS (SELECT 1 FROM task k WHERE k.id = c.id AND k.state = 'FAILED')")
 
 
