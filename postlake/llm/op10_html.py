@@ -4,9 +4,9 @@ A page is cut into blocks at block-level tags. Pass one decides a block by where
 headers, footers, sidebars, notices, adverts, forms and reader comments are bad), by its link
 density (mostly links: bad) and, if it is long enough, by its stop-word density (high: good). What
 is left, short blocks and long ones of an unknown language, is ambiguous. Pass two gives an
-ambiguous block the label of the nearest decided block, within its article if it stands in one;
-at equal distance, or with no decided block there, a block of an article is good and any other
-bad unless a neighbour is good. A page without articles and without good blocks keeps its
+ambiguous block the label of the nearest block decided by its text or links, within its article if
+it stands in one; at equal distance a good one counts, and with no decided block there, a block of
+an article is good and any other bad. A page without articles and without good blocks keeps its
 ambiguous blocks that no bad block encloses.
 
 Text: character references decoded, white space to one space, blocks joined by one space.
@@ -197,13 +197,13 @@ def classify(found: list[tuple[str, int, int, int]]) -> list[bool]:
 
 def _nearest(found: list, first: list[bool | None]) -> list[tuple[int, bool] | None]:
     """For each block the distance and label of the last decided one before it, in the same article.
-    What an article merely encloses (adverts, forms, asides) says nothing about its own blocks."""
+    What is bad for where it stands (menus, adverts, forms) says nothing about the blocks beside it."""
     out: list[tuple[int, bool] | None] = []
     last: dict[int, tuple[int, bool]] = {}
     for i, ((_, _, article, bad), label) in enumerate(zip(found, first, strict=True)):
         got = last.get(article)
         out.append((i - got[0], got[1]) if got else None)
-        if label is not None and not (bad and article >= 0):
+        if label is not None and not bad:
             last[article] = (i, label)
     return out
 

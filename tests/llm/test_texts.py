@@ -246,6 +246,8 @@ def test_main_text():
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>a</nav><script>x") == ""
     plain = "<body><div>Ok then.</div><p>" + "The text of a page that has no article but is the main part of it, and is long. " * 3 + "</p><p>Bye.</p><ul><li><a href=x>one</a></li></ul></body>"
     assert html.main_text(plain) == "Ok then. " + ("The text of a page that has no article but is the main part of it, and is long. " * 3) + "Bye."
+    two = "<nav>Menu</nav><h1>Head</h1><p>" + "The text of the page that has no article but is the main part of it. " * 3 + "</p><p>One.</p><p>Two.</p><footer>End</footer>"
+    assert html.main_text(two).startswith("Head The text") and html.main_text(two).endswith("One. Two.")
     assert html.main_text("<nav><a href=x>m</a><article><p>Tiny</p></article>") == "Tiny"
     assert len(html.main_text("<article><p>" + "the word of a text " * 50_000 + "</p></article>")) == 19 * 50_000 - 1
 
