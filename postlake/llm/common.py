@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Rows of one call of a Python function hold this many bytes of text at most (or are one row).
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,17 +59,43 @@ _SPARK = {
 }
 
 
-def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts together stay under limit; a longer text is a range of its own."""
-    begin = size = 0
-    for i, x in enumerate(texts):
-        n = len(x) if x is not None else 0
-        if i > begin and size + n > limit:
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts (or lists) together stay under limit; a longer one is a range of its own."""
+    size = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+    begin = total = 0
+    for i, n in enumerate(size.to_pylist()):
+        n = n or 0
+        if i > begin and total + n > limit:
             yield begin, i
-            begin, size = i, 0
-        size += n
-    if begin < len(texts):
-        yield begin, len(texts)
+            begin, total = i, 0
+        total += n
+    if begin < len(column):
+        yield begin, len(column)
+
+
+#: What a Python worker may drop once it works for another module.
+_DROP: list[Callable[[], None]] = []
+_user = ""
+
+
+def droppable(drop: Callable[[], None]) -> None:
+    """Have a worker's memory of one operator dropped when another operator starts there."""
+    _DROP.append(drop)
+
+
+def claim(user: str) -> None:
+    global _user
+    if user != _user:
+        for drop in _DROP:
+            drop()
+        _user = user
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as workers idle beside those of other tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[list], Iterable[Sequence]]], fields: Sequence[tuple[str, pa.DataType]], limit: int = SLICE_BYTES) -> DataFrame:
@@ -85,12 +113,13 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[list], Itera
     types = [t for _, t in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(make.__module__)
         f = make()
         for b in batches:
-            texts = b.column(text).to_pylist()
-            for i, j in slices(texts, limit):
+            for i, j in slices(b.column(text), limit):
                 part = b.slice(i, j - i)
-                made = f(texts[i:j])
+                made = f(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(x, t) for x, t in zip(made, types, strict=True)], names=[*kept, *names])
+            give_back()
 
     return df.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)

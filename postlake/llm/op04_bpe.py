@@ -24,12 +24,12 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm.common import map_text, table
+from postlake.llm.common import droppable, map_text, table
 from postlake.llm.op02_tokens import vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens remembered in a Python worker, each of PIECE characters at most.
-MEMORY = 400_000
+MEMORY = 200_000
 PIECE = 64
 
 FIELDS = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
@@ -97,7 +97,7 @@ class Bpe:
             else:
                 # a merge on the left with the same rank comes before this one
                 undone, right = b[0] + 1, b[1]
-        if len(self._fits) > 2_000_000:
+        if len(self._fits) > MEMORY:
             self._fits.clear()
         self._fits[key] = ok
         return ok
@@ -171,6 +171,7 @@ def encoder(path: str) -> Callable[[], Callable[[list], list]]:
 
 
 _CACHE: dict[str, Bpe] = {}
+droppable(_CACHE.clear)
 
 
 def _loaded(path: str) -> Bpe:

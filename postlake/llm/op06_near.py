@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlake.llm.common import map_text, stored, table
+from postlake.llm.common import give_back, map_text, slices, stored, table
 from postlake.llm.components import components
 
 #: Words of a shingle, least similarity of a link.
@@ -154,15 +154,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
     both = pairs.join(t("a"), F.col("a") == F.col("a_")).join(t("b"), F.col("b") == F.col("b_")).select("a", "b", "text_a", "text_b")
 
     def run(batches):
+        last: tuple = (None, None)
         for batch in batches:
-            left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            ok = np.zeros(len(left), bool)
-            last: tuple = (None, None)
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                if x != last[0]:
-                    last = (x, shingles([x], size)[1:])
-                ok[i] = similarity(last[1], shingles([y], size)[1:]) >= threshold
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            for at, end in slices(batch.column("text_b")):
+                part = batch.slice(at, end - at)
+                ok = []
+                for x, y in zip(part.column("text_a"), part.column("text_b"), strict=True):
+                    x, y = x.as_py(), y.as_py()
+                    if x != last[0]:
+                        last = (x, shingles([x], size)[1:])
+                    ok.append(similarity(last[1], shingles([y], size)[1:]) >= threshold)
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            give_back()
 
     return both.mapInArrow(run, T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]))
 
@@ -185,8 +188,8 @@ def _bitmap(digests: DataFrame) -> np.ndarray:
 
 def _marked(docs: DataFrame, text: str, bits: np.ndarray, inside: bool, digest: str = "__digest") -> DataFrame:
     """Rows of docs, with their digest, whose digest is in the bitmap (or is not)."""
-    own = map_text(docs.withColumn("__text", F.col(text)), "__text", lambda: lambda x: _looked_up(x, bits), [(digest, pa.binary()), ("__in", pa.bool_())])
-    return own.where(F.col("__in") if inside else ~F.col("__in")).drop("__text", "__in")
+    own = map_text(docs, text, lambda: lambda x: _looked_up(x, bits), [(digest, pa.binary()), ("__in", pa.bool_())])
+    return own.where(F.col("__in") if inside else ~F.col("__in")).drop("__in")
 
 
 def _looked_up(texts: list, bits: np.ndarray) -> list:
@@ -208,12 +211,20 @@ def _links(source: DataFrame, pairs: DataFrame, size: int, threshold: float) ->
     return stored(_verified(pairs, _texts(source, need), size, threshold))
 
 
+def _parts(batches):
+    """Batches in parts of a bounded size of their column text."""
+    for batch in batches:
+        for i, j in slices(batch.column("text")):
+            yield batch.slice(i, j - i)
+        give_back()
+
+
 def _frequencies(texts: DataFrame, size: int) -> np.ndarray:
     """How often shingles occur, counted in 2 ** SLOTS slots by hash; of that size whatever the texts."""
 
     def run(batches):
-        for batch in batches:
-            slot, n = np.unique(shingles(batch.column("text").to_pylist(), size)[1] >> np.uint64(48 - SLOTS), return_counts=True)
+        for part in _parts(batches):
+            slot, n = np.unique(shingles(part.column("text").to_pylist(), size)[1] >> np.uint64(48 - SLOTS), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n.astype(np.int64))], names=["slot", "n"])
 
     out = np.zeros(1 << SLOTS, np.int64)
@@ -227,18 +238,18 @@ def _prefixes(texts: DataFrame, often: np.ndarray, size: int, threshold: float)
     texts that reach the threshold share one; the order is the same for all texts."""
 
     def run(batches):
-        for batch in batches:
-            d, e, w = shingles(batch.column("text").to_pylist(), size)
+        for part in _parts(batches):
+            d, e, w = shingles(part.column("text").to_pylist(), size)
             order = np.lexsort((e, often[(e >> np.uint64(48 - SLOTS)).astype(np.int64)], d))
             d, e, w = d[order], e[order], w[order]
-            n = batch.num_rows
+            n = part.num_rows
             total = np.bincount(d, w, minlength=n).astype(np.int64)
             plain = total == np.bincount(d, minlength=n)
             before = np.cumsum(w) - w
             before -= (np.cumsum(total) - total)[d]
             keep = before <= (1 - threshold + 1e-9) * total[d]
             d = d[keep]
-            yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(d)), pa.array(e[keep].astype(np.int64)), pa.array(before[keep]), pa.array(total[d]), pa.array(plain[d])], names=["digest", "key", "o", "w", "p"])
+            yield pa.RecordBatch.from_arrays([part.column("digest").take(pa.array(d)), pa.array(e[keep].astype(np.int64)), pa.array(before[keep]), pa.array(total[d]), pa.array(plain[d])], names=["digest", "key", "o", "w", "p"])
 
     return texts.mapInArrow(run, "digest binary, key long, o long, w long, p boolean")
 
