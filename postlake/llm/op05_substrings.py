@@ -8,9 +8,10 @@ average. The unit of comparison is two neighbouring chunks (one, in a text of on
 128-bit digest of their words; a run of repeated units is one span. Spans of fewer than MIN_WORDS
 words are left out: short phrases and single lines recur by chance or as boilerplate.
 
-The count and the first place of a digest are combined before the shuffle, and the join of the
-units with the repeated digests is a plain one, whose hot keys Spark splits; units of one
-document meet by id, a number in proportion to its length.
+Units are made twice, to count them and to find them again, as writing them down would take as
+much disk as either shuffle. The count and the first place of a digest are combined before the
+shuffle, and the join of the units with the repeated digests is a plain one, whose hot keys Spark
+splits; units of one document meet by id, a number in proportion to its length.
 
 Edge cases: null and empty texts, and those without words, have no units. Rows that repeat an id
 are reported under that id together. Ties for the first place go to the smallest id, then the
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postlake.llm.common import map_text, stored, table
+from postlake.llm.common import map_text, table
 from postlake.llm.op06_near import mix
 
 #: Word ends on each side that a boundary must exceed.
@@ -124,7 +125,6 @@ def repeated(docs: DataFrame, doc: str = "doc_id", text: str = "text", near: int
     """(doc, unit, start, end, word, last, first_doc, first_start, n) of the units that occur more than once."""
     own = map_text(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")), "text", lambda: lambda x: units(x, near), FIELDS).drop("text")
     rows = own.select("doc", F.posexplode(F.arrays_zip(*[n for n, _ in FIELDS])).alias("unit", "u")).select("doc", "unit", "u.*")
-    rows = stored(rows)
     many = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("first")).where("n > 1").select("h1", "h2", "n", F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start"))
     return rows.join(many, ["h1", "h2"]).drop("h1", "h2")
 
