@@ -29,7 +29,7 @@ from postlake.llm.op02_tokens import vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens remembered in a Python worker, each of PIECE characters at most.
-MEMORY = 200_000
+MEMORY = 400_000
 PIECE = 64
 
 FIELDS = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
@@ -97,7 +97,7 @@ class Bpe:
             else:
                 # a merge on the left with the same rank comes before this one
                 undone, right = b[0] + 1, b[1]
-        if len(self._fits) > MEMORY:
+        if len(self._fits) > 1_000_000:
             self._fits.clear()
         self._fits[key] = ok
         return ok
