@@ -14,10 +14,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each step joins the links with a minimum per node (combined before the shuffle), so no
     node's neighbours meet in one task, and Spark may split the rows of a hot node. Steps are
     written to the shared folder; they end when the links are stars, after a number of steps
-    that grows with the logarithm of the longest path. Null ends are ignored.
+    that grows with the logarithm of the longest path. Null ends are ignored. The links themselves
+    should be a written table, as the first step reads them twice.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges = stored(edges)
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))

@@ -200,7 +200,6 @@ def _looked_up(texts: list, bits: np.ndarray) -> list:
 
 def _texts(source: DataFrame, need: DataFrame) -> DataFrame:
     """(digest, text) of the needed digests, once each."""
-    need = stored(need)
     own = _marked(source.select("text").where("text IS NOT NULL"), "text", _bitmap(need), True, "own")
     return stored(own.join(need, own["own"] == need["digest"], "left_semi").groupBy("own").agg(F.first("text").alias("text")).withColumnRenamed("own", "digest"))
 
@@ -302,9 +301,10 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int
     rest = _across(source, shared.select("key", "digest"), label, size, threshold)
     rest = stored(rest.join(star, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        label = stored(components(links.union(_links(source, rest, size, threshold))))
+        more = _links(source, rest, size, threshold)
+        if not more.isEmpty():
+            label = stored(components(links.union(more)))
     one = sketches.select("doc", "digest").join(label, sketches["digest"] == label["node"], "left").select("doc", "digest", F.coalesce("label", "digest").alias("label"))
-    one = stored(one)
     name = one.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "digest")).alias("top")).withColumnRenamed("label", "of")
     alone = F.col("label").isNull()
     first = alone | (F.col("doc").eqNullSafe(F.col("top.doc")) & (F.col("digest") == F.col("top.digest")))
