@@ -329,6 +329,20 @@ def p16(t):
     return t("pages").where(~F.contains("html", F.lit("&amp;")) & ~F.contains("html", F.lit("&copy"))).select("page_id", scalars.html_text(F.col("html")).alias("text"))
 
 
+
+def _turn(x: str) -> str:
+    x = rf"regexp_replace({x}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)<[a-zA-Z/!][^>]*>', ' ', 'g')"
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+@R.add("p16_html_text_whole", rf"SELECT page_id, trim(regexp_replace({_turn(_turn('html'))}, '\s+', ' ', 'g')) AS text FROM pages")
+def p16_whole(t):
+    return t("pages").select("page_id", scalars.html_text(F.col("html")).alias("text"))
+
+
 _V02 = f"""WITH q AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 = 0), e AS (SELECT vec_id AS example, label AS code, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 <> 0),
 p AS (SELECT q.id, e.example, e.code, list_inner_product(q.v, e.v) AS s FROM q, e), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, example) AS r FROM p),
 n AS (SELECT id, code, round(sum(s), 9) AS votes, min(r) AS nearest, max(s) AS top FROM r WHERE r <= {neighbours.K} GROUP BY id, code)
