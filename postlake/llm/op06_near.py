@@ -42,6 +42,9 @@ from postlake.llm.components import components
 #: Words of a shingle, least similarity of a link.
 SHINGLE = 5
 THRESHOLD = 0.8
+#: What sums of floats may lack, here and in the bounds; ratios of plain sets of up to 2e8 shingles
+#: differ from the threshold by more.
+ROUNDING = 1e-9
 #: Bands of ROWS registers; a band's key is a hash of them.
 BANDS = 32
 ROWS = 6
@@ -163,7 +166,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
                     x, y = x.as_py(), y.as_py()
                     if x != last[0]:
                         last = (x, shingles([x], size)[1:])
-                    ok.append(similarity(last[1], shingles([y], size)[1:]) >= threshold)
+                    ok.append(similarity(last[1], shingles([y], size)[1:]) >= threshold - ROUNDING)
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
             give_back()
 
@@ -246,7 +249,7 @@ def _prefixes(texts: DataFrame, often: np.ndarray, size: int, threshold: float)
             plain = total == np.bincount(d, minlength=n)
             before = np.cumsum(w) - w
             before -= (np.cumsum(total) - total)[d]
-            keep = before <= (1 - threshold + 1e-9) * total[d]
+            keep = before <= (1 - threshold + ROUNDING) * total[d]
             d = d[keep]
             yield pa.RecordBatch.from_arrays([part.column("digest").take(pa.array(d)), pa.array(e[keep].astype(np.int64)), pa.array(before[keep]), pa.array(total[d]), pa.array(plain[d])], names=["digest", "key", "o", "w", "p"])
 
@@ -277,10 +280,10 @@ def _across(source: DataFrame, shared: DataFrame, label: DataFrame, size: int, t
     # without those that no text which has the shingle could match
     best = rows.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("w").alias("low_w"), F.min(F.expr("o / w")).alias("low_x"), F.min("p").alias("all_p"))
     at_best = "CASE WHEN all_p THEN (w - o) / (w + greatest(low_w, w - o) - (w - o)) WHEN o = w THEN 0 ELSE (1 - o / w) * (1 - low_x) / (1 - o / w * low_x) END"
-    rows = stored(rows.join(best.where("l1 < l2"), "key").where(F.expr(at_best) >= threshold - 1e-9).select("key", "digest", "label", "o", "w", "p"))
+    rows = stored(rows.join(best.where("l1 < l2"), "key").where(F.expr(at_best) >= threshold - ROUNDING).select("key", "digest", "label", "o", "w", "p"))
     top = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"))
     minor = rows.join(top, "key").where("label <> top.label").select("key", *[F.col(c).alias(f"m{c}") for c in ("digest", "label", "o", "w", "p")])
-    pairs = rows.join(minor, (rows["key"] == minor["key"]) & (F.col("label") != F.col("mlabel")) & (F.expr(_bound("", "m")) >= threshold - 1e-9))
+    pairs = rows.join(minor, (rows["key"] == minor["key"]) & (F.col("label") != F.col("mlabel")) & (F.expr(_bound("", "m")) >= threshold - ROUNDING))
     return pairs.select(F.least("digest", "mdigest").alias("a"), F.greatest("digest", "mdigest").alias("b")).distinct()
 
 

@@ -226,3 +226,23 @@ def test_render_and_read_back(spark):
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.digests(rendered).collect()}
     assert got == want
     assert chat.digests(chat.render(chat.fold(chat.events_of(table.limit(0))))).count() == 0
+
+
+# findings of the first review
+
+
+def test_pairs_at_the_threshold(spark):
+    from fractions import Fraction
+
+    rng = random.Random(7)
+    exact = lambda a, b: sum(Fraction(1) / sum(max(Fraction(a[e], a[d]), Fraction(b[e], b[d])) for e in a | b) for d in a if d in b)
+    rows, want = [], {}
+    for k, (common, union) in enumerate([(12, 15), (48, 60), (52, 65), (60, 75), (80, 100), (47, 60), (79, 100)]):
+        w = words(rng, union + 4)
+        x, y = " ".join(w), " ".join(w[: common + 4])
+        same = exact(shingle_weights(x), shingle_weights(y)) >= Fraction(4, 5)
+        assert same == (5 * common >= 4 * union)
+        rows += [(10 * k, x), (10 * k + 1, y)]
+        want |= {10 * k: 10 * k, 10 * k + 1: 10 * k + (not same)}
+    got = near.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc"]: r["class_id"] for r in got} == want
