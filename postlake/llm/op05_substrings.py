@@ -5,8 +5,9 @@ than at the NEAR word ends before and after. So a boundary depends on the text a
 an insertion moves boundaries only near itself, and a passage that occurs in two texts is cut
 alike in both but for its edges. Chunks have NEAR + 1 words at least, about 2 * NEAR + 1 on
 average. The unit of comparison is two neighbouring chunks (one, in a text of one chunk), by a
-128-bit digest of their words; a run of repeated units is one span. Spans of fewer than MIN_WORDS
-words are left out: short phrases and single lines recur by chance or as boilerplate.
+128-bit digest of their words; a run of repeated units is one span, with the
+stretches of it that each first document has. Spans of fewer than MIN_WORDS words are left out:
+short phrases and single lines recur by chance or as boilerplate.
 
 Units are made twice, to count them and to find them again, as writing them down would take as
 much disk as either shuffle. The count and the first place of a digest are combined before the
@@ -131,21 +132,35 @@ def repeated(docs: DataFrame, doc: str = "doc_id", text: str = "text", near: int
 
 def spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", near: int = NEAR, min_words: int = MIN_WORDS, later_only: bool = False) -> DataFrame:
     """One row per repeated span: doc, start and end (code points), n_words, n_units, n_first (units
-    whose first place is here), first_doc (smallest id that has a unit of it). later_only: spans of
-    the units that are not the first of their kind."""
+    whose first place is here), first_doc (smallest id that has a unit of it), sources. later_only:
+    spans of the units that are not the first of their kind.
+
+    sources has (start, end, first_doc) for each stretch of units with the same first_doc, in order:
+    that document has every unit of the stretch. Neighbouring stretches share a chunk; they may have
+    fewer than min_words words, so that together they cover the span."""
     found = repeated(docs, doc, text, near)
     here = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("start") == F.col("first_start"))
     found = found.withColumn("here", here)
     if later_only:
         found = found.where(~F.col("here"))
-    found = found.withColumn("run", F.col("unit") - F.dense_rank().over(Window.partitionBy("doc").orderBy("unit")))
-    out = found.groupBy("doc", "run").agg(
+    step = lambda *by: F.col("unit") - F.dense_rank().over(Window.partitionBy(*by).orderBy("unit"))
+    found = found.withColumn("run", step("doc")).withColumn("stretch", step("doc", "first_doc"))
+    parts = found.groupBy("doc", "run", "first_doc", "stretch").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.min("word").alias("word"),
+        F.max("last").alias("last"),
+        F.count("*").alias("n"),
+        F.sum(F.col("here").cast("long")).alias("n_here"),
+    )
+    out = parts.groupBy("doc", "run").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         (F.max("last") - F.min("word")).cast("long").alias("n_words"),
-        F.count("*").alias("n_units"),
-        F.sum(F.col("here").cast("long")).alias("n_first"),
+        F.sum("n").alias("n_units"),
+        F.sum("n_here").alias("n_first"),
         F.min("first_doc").alias("first_doc"),
+        F.array_sort(F.collect_list(F.struct("start", "end", "first_doc"))).alias("sources"),
     )
     return out.where(F.col("n_words") >= min_words).drop("run").withColumnRenamed("doc", doc)
 

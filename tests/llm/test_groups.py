@@ -246,3 +246,20 @@ def test_pairs_at_the_threshold(spark):
         want |= {10 * k: 10 * k, 10 * k + 1: 10 * k + (not same)}
     got = near.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc"]: r["class_id"] for r in got} == want
+
+
+def test_spans_name_a_document_that_has_them(spark):
+    rng = random.Random(8)
+    licence, a, b, body = (words(rng, 90) for _ in range(4))
+    rows = {1: words(rng, 40) + licence, 3: words(rng, 40) + b, 5: a + words(rng, 40), 7: words(rng, 30) + a + b + words(rng, 30), 20: body + licence, 21: body + licence}
+    texts = {i: " ".join(w) for i, w in rows.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sources = defaultdict(set)
+    for r in sub.spans(docs).collect():
+        covered = set()
+        for x in r["sources"]:
+            assert texts[r["doc_id"]][x["start"] : x["end"]] in texts[x["first_doc"]]
+            covered |= set(range(x["start"], x["end"]))
+            sources[r["doc_id"]].add(x["first_doc"])
+        assert covered == set(range(r["start"], r["end"]))
+    assert sources[7] == {3, 5} and sources[20] == sources[21] == {1, 20}
