@@ -5,6 +5,8 @@ trigrams that a match must hold. Each text has an inverted index of its lines: a
 line numbers for every trigram that any query names. Posting lists are intersected within a
 clause and united over clauses; the regex itself runs over the candidate lines alone. A rule
 without mandatory trigrams scans all lines. No pattern matches a line feed, so lines lose nothing.
+The span of a private key goes on from its first line to its END line, or over the lines of base64
+that follow where there is none; SQL states the first line alone.
 The index lives in the row: no shuffle, and memory in proportion to one text.
 
 The contract's base kinds are assign, access and hex; the further kinds are github, private_key,
@@ -54,6 +56,10 @@ RULES = (
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
 )
 BASE = ("assign", "access", "hex")
+#: The END line of a private key, and most of its characters; lines of its body, the last of which may be short.
+_END, _CLOSING = "^-----END [A-Z ]*PRIVATE KEY-----", 200
+_BASE64, _LAST = r"^[\x20\t]*[A-Za-z0-9+/]{16,}={0,2}\s*$", r"^[\x20\t]*[A-Za-z0-9+/]{1,15}={0,2}\s*$"
+_HEADER = r"^[\x20\t]*(Proc-Type|DEK-Info):"
 #: What takes the place of a secret in redacted texts.
 MASK = "[REDACTED]"
 #: Sets of exact strings and of a class's characters larger than these are given up.
@@ -157,6 +163,24 @@ def _candidates(rule: Rule, grams: list[str]) -> Column:
     return out
 
 
+def _key_end(header: Column) -> Column:
+    """Where a private key ends whose first line ends at header: after its END line if that is the
+    next one with five dashes; else after the lines of base64 that follow; else at header."""
+    text = F.col("__text")
+    dashes = F.call_function("locate", F.lit("-----"), text, header + 1)  # from 1, 0 if there are none
+    closing = F.length(F.regexp_extract(F.substring(text, dashes, _CLOSING), _END, 0))
+    tail = F.split(F.substring(text, header + 1, F.length(text)), "\n", -1)
+    body = lambda x, k: x.rlike(_BASE64) | x.rlike(_HEADER) | (x.rlike(r"^\s*$") & F.get(tail, k).rlike(_HEADER))
+    lines = F.slice(tail, 2, F.size(tail))
+    past = F.array_position(F.transform(lines, lambda x, k: ~body(x, k)), True).cast("int")
+    n = F.when(past == 0, F.size(lines)).otherwise(past - 1)
+    rest = F.get(lines, n)
+    n = F.when((n > 0) & F.get(lines, n - 1).rlike(_BASE64) & rest.rlike(_LAST), n + 1).otherwise(n)
+    size = F.aggregate(F.slice(lines, 1, n), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    open_ = F.when(F.get(tail, 0).rlike(r"^\s*$") & (n > 0), F.length(F.get(tail, 0)) + size).otherwise(0)
+    return F.when((dashes > 0) & (closing > 0), dashes - 1 + closing).otherwise(header + open_)
+
+
 def _spans(rule: Rule, number: int, grams: list[str]) -> Column:
     """Array of (start, kind, end) of a rule's matches, from the candidate lines."""
     pattern = F.lit(rule.pattern)
@@ -175,7 +199,8 @@ def _spans(rule: Rule, number: int, grams: list[str]) -> Column:
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     ends = lambda s: F.transform(s["m"], lambda x, k: F.struct((s["off"] + total(F.slice(s["gap"], 1, k + 1)) + total(F.slice(s["m"], 1, k))).alias("start"), F.lit(number).alias("kind"), x.alias("n"), F.get(s["v"], k).alias("v")))
     found = F.filter(F.flatten(F.transform(cut, ends)), lambda s: s["v"] >= rule.least)
-    made = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (s["start"] + s["n"]).alias("end")))
+    end = lambda s: _key_end(s["start"] + s["n"]) if rule.kind == "private_key" else s["start"] + s["n"]
+    made = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), end(s).alias("end")))
     return F.when(F.col("__text").rlike(probe), made).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")) if wide else made
 
 

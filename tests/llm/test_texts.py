@@ -216,6 +216,20 @@ def test_secrets_equal_brute_force(spark):
     assert sec.find_secrets(docs.limit(0)).count() == 0 and sec.redact(docs).columns == docs.columns
 
 
+def test_whole_private_keys(spark):
+    rng = random.Random(6)
+    line = lambda n: "".join(rng.choice("ABCDxyz0189+/") for _ in range(n))
+    body = [*(line(64) for _ in range(5)), line(22) + "=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", ""]
+    keys = ["\n".join([begin, *body, end]), "\r\n".join([begin, *body, end]), "\n".join([begin, *head, *body, end]), "\\n".join([begin, *body, end]), "\n".join([begin, *body]), "\n".join([begin, *head, *body]), "\n".join([begin, *body[:4], line(9)]), begin]
+    texts = [f"before é🙂\n{k}\nand some words after\n" for k in keys] + [f"{keys[4]}\n{keys[0]}\nword", f"{begin} is the first line\nword\n"]
+    want = ["before é🙂\n[REDACTED]\nand some words after\n"] * len(keys) + ["[REDACTED]\n[REDACTED]\nword", "[REDACTED] is the first line\nword\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in sec.redact(docs).collect()}
+    assert [got[i].replace("[REDACTED]\n\n", "[REDACTED]\n") for i in range(len(texts))] == want
+
+
 def test_trigram_queries():
     assert sec.trigram_query("[0-9a-f]+") is None and sec.trigram_query("ab") is None and sec.trigram_query("(abc)?x") is None
     assert sec.trigram_query("abcd") == frozenset({frozenset({"abc", "bcd"})})
