@@ -131,9 +131,26 @@ def q18(t):
     return resolve.keepers(pairs)
 
 
+def _copies(t):
+    """Pairs (a, b) of all documents: each with the first one of the same text, and of the same first line but for case."""
+    own = t("documents").select("doc_id", F.explode(F.array(F.concat(F.lit("t:"), F.sha2("text", 256)), F.concat(F.lit("k:"), F.lower(F.split_part("text", F.lit("\n"), F.lit(1)))))).alias("key")).where("key IS NOT NULL")
+    first = own.groupBy("key").agg(F.min("doc_id").alias("a"))
+    return own.join(first, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+
+
+@R.add("j21_min_label_components_whole")
+def j21_whole(t):
+    return resolve.components(_copies(t))
+
+
+@R.add("q18_merge_batch_whole")
+def q18_whole(t):
+    return resolve.keepers(_copies(t).withColumn("rank", 1 + (F.col("a") + F.col("b")) % 6))
+
+
 @R.add("q18_resolve_all")
 def q18_all(t):
-    return resolve.resolve_all(_edges(t).withColumn("rank", F.lit(1)))
+    return resolve.resolve_all(_copies(t).withColumn("rank", F.lit(1)))
 
 
 @R.add("b07_journal", """SELECT k, '{"k":' || k || ',"name":"' || name || '"}' AS image FROM (SELECT s_suppkey AS k, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0)""")

@@ -25,3 +25,22 @@ def test_html_text_of_every_page(spark):
     got = {r["page_id"]: r["text"] for r in demo.QUERIES["p16_html_text_whole"](spark, FOLDER).collect()}
     assert got == {p["page_id"]: plain_html(p["html"]) for p in pages} and len(got) == len(pages) > 0
     assert all("&copy" in p["html"] for p in pages)
+
+
+def test_resolution_of_all_documents(spark):
+    docs = pq.read_table(f"{FOLDER}/documents.parquet").to_pylist()
+    first, pairs = {}, set()
+    for d in sorted((d for d in docs if d["text"] is not None), key=lambda d: d["doc_id"]):
+        for key in (("t", d["text"]), ("k", d["text"].split("\n")[0].lower())):
+            if first.setdefault(key, d["doc_id"]) != d["doc_id"]:
+                pairs.add((first[key], d["doc_id"]))
+    label = {x: x for p in pairs for x in p}
+    while any(label[a] != label[b] for a, b in pairs):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert max(label) > max(d["doc_id"] for d in docs) * 0.9
+    assert {r["node"]: r["label"] for r in demo.QUERIES["j21_min_label_components_whole"](spark, FOLDER).collect()} == label
+    assert {r["merged"]: r["kept"] for r in demo.QUERIES["q18_resolve_all"](spark, FOLDER).collect()} == {k: v for k, v in label.items() if k != v}
+    best = {b: min(a for a, x in pairs if x == b) for _, b in pairs}
+    want = {(b, a, 1 + (a + b) % 6) for b, a in best.items() if b not in best.values()}
+    assert {(r["merged"], r["kept"], r["rank"]) for r in demo.QUERIES["q18_merge_batch_whole"](spark, FOLDER).collect()} == want
