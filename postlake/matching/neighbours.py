@@ -13,30 +13,62 @@ from postlake.functions.scalars import dot
 
 #: Neighbours, and the similarity that the nearest must have.
 K, LEAST = 5, 0.8
-#: Most examples that are broadcast and compared by native expressions; up to MOST_ROWS they are
-#: compared in blocks of BLOCK_ROWS by matrix products. Larger sets are refused.
-NATIVE_ROWS, BLOCK_ROWS, MOST_ROWS = 5_000, 100_000, 2_000_000
+#: Most examples that are broadcast and compared by native expressions; more are compared in blocks
+#: of at most BLOCK_ROWS by matrix products, in BLOCKS blocks at least.
+NATIVE_ROWS, BLOCK_ROWS, BLOCKS = 5_000, 100_000, 64
+#: Similarities that a task holds at once.
+_CELLS = 4_000_000
 
 
 def vote(queries: DataFrame, examples: DataFrame, k: int = K, least: float = LEAST) -> DataFrame:
     """(id, code): the code with the largest sum of similarities among the k nearest examples; ties
     go to the nearer code; none if the nearest is less similar than least.
 
-    queries (id, vector), examples (example, code, vector), unit vectors. Exact: the stated
-    examples are compared with every query. Their number is counted first.
+    queries (id, vector), examples (example, code, vector), unit vectors. Exact, for any number:
+    the stated examples are compared with every query. Their number is counted first.
     """
-    n = examples.limit(MOST_ROWS + 1).count()
-    if n > MOST_ROWS:
-        raise ValueError(f"more than {MOST_ROWS} examples")
-    if n > NATIVE_ROWS:
-        rows = examples.select("example", "code", "vector").orderBy("example").toPandas()
-        cuts = range(0, n, BLOCK_ROWS)
-        matrix = lambda i: np.stack(rows["vector"].iloc[i : i + BLOCK_ROWS].to_numpy()).astype(np.float64)
-        return vote_blocks(queries, [matrix(i) for i in cuts], [rows["code"].iloc[i : i + BLOCK_ROWS].to_numpy() for i in cuts], k, least)
+    if examples.limit(NATIVE_ROWS + 1).count() > NATIVE_ROWS:
+        return vote_all(queries, examples, k, least)
     pairs = queries.join(F.broadcast(examples.select("example", "code", F.col("vector").alias("v")))).select("id", "example", "code", dot(F.col("vector"), F.col("v")).alias("s"))
     return _voted(pairs, k, least)
 
 
+def vote_all(queries: DataFrame, examples: DataFrame, k: int = K, least: float = LEAST, own: bool = True) -> DataFrame:
+    """The same in blocks of queries and of examples, each block of the one with each of the other in
+    a task; the k nearest of every block are merged. Nothing is collected. Unless own, a query's id
+    is not among its examples."""
+    n, m = examples.count(), queries.count()
+    size = min(BLOCK_ROWS, max(1, -(-n // BLOCKS)))
+    blocks, parts = max(1, -(-n // size)), max(1, -(-m // BLOCK_ROWS))
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    place = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+    q = queries.select("id", "vector", place("id", parts).alias("part"), each(blocks).alias("block"))
+    e = examples.select("example", "code", "vector", place("example", blocks).alias("block"), each(parts).alias("part"))
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            b = b.sort_values("example", kind="stable")
+            y = np.stack(b["vector"].to_numpy()).astype(np.float64)
+            ids, names = a["id"].to_numpy(), b["example"].to_numpy()
+            step = max(1, _CELLS // len(b))
+            for i in range(0, len(a), step):
+                x = np.stack(a["vector"].iloc[i : i + step].to_numpy()).astype(np.float64)
+                s = np.round(x @ y.T, 12)  # equal vectors tie, wherever they stand in a block
+                if not own:
+                    s[ids[i : i + step, None] == names[None, :]] = -np.inf
+                last = np.partition(s, -k, axis=1)[:, -k] if len(b) > k else np.full(len(s), -np.inf)
+                for row, low, at in zip(s, last, ids[i : i + step], strict=True):
+                    near = np.flatnonzero((row >= low) & (row > -np.inf))
+                    near = near[np.argsort(-row[near], kind="stable")[:k]]
+                    out.append(pd.DataFrame({"id": at, "example": names[near], "code": b["code"].to_numpy()[near], "s": row[near]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "example": [], "code": [], "s": []})
+
+    of = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"id {of(queries, 'id')}, example {of(examples, 'example')}, code {of(examples, 'code')}, s double"
+    return _voted(q.groupBy("part", "block").cogroup(e.groupBy("part", "block")).applyInPandas(nearest, schema), k, least)
+
+
 def _voted(pairs: DataFrame, k: int, least: float) -> DataFrame:
     order = Window.partitionBy("id").orderBy(F.desc("s"), "example")
     near = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)

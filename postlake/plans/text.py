@@ -357,3 +357,10 @@ def _vectors(t):
 @R.add("v02_knn_vote", _V02)
 def v02(t):
     return neighbours.vote(*_vectors(t), least=0.3)
+
+
+@R.add("v02_knn_vote_whole", _V02.replace("WHERE vec_id % 5 = 0", "WHERE vec_id % 20 = 0").replace(" WHERE vec_id % 5 <> 0", "").replace("FROM q, e)", "FROM q, e WHERE q.id <> e.example)"))
+def v02_whole(t):
+    e = t("embeddings")
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return neighbours.vote_all(queries, e.select(F.col("vec_id").alias("example"), F.col("label").alias("code"), F.col("embedding").alias("vector")), least=0.3, own=False)

@@ -92,3 +92,29 @@ def test_neighbours(spark):
     c = {r["id"]: r["code"] for r in neighbours.vote(queries, examples, least=0.7).collect()}
     neighbours.NATIVE_ROWS = kept
     assert a == b == c and 0 < len(a) <= 40
+
+
+def test_neighbours_in_many_blocks(spark, monkeypatch):
+    """No number of examples is refused; equal vectors tie by example; a query's own vector may be left out."""
+    for name, value in (("NATIVE_ROWS", 10), ("BLOCK_ROWS", 16)):
+        monkeypatch.setattr(neighbours, name, value)
+    monkeypatch.setattr(neighbours, "MOST_ROWS", 50, raising=False)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(120, 8))
+    v[40:70] = v[5]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    codes = rng.integers(0, 5, 120)
+
+    def brute(i, own):
+        s = np.round(v @ v[i], 12)
+        near = [j for j in np.lexsort((np.arange(120), -s)) if own or j != i][: neighbours.K]
+        total = {}
+        for j in near:
+            total[codes[j]] = total.get(codes[j], 0.0) + s[j]
+        return max(total, key=lambda c: round(total[c], 9)) if s[near[0]] >= 0.3 else None
+
+    rows = spark.createDataFrame([(i, int(c), x.tolist()) for i, (c, x) in enumerate(zip(codes, v, strict=True))], "example long, code long, vector array<double>")
+    queries = rows.where("example % 3 = 0").selectExpr("example AS id", "vector")
+    for own, made in ((True, neighbours.vote(queries, rows, least=0.3)), (False, neighbours.vote_all(queries, rows, least=0.3, own=False))):
+        got = {r["id"]: r["code"] for r in made.collect()}
+        assert got == {i: c for i in range(0, 120, 3) if (c := brute(i, own)) is not None}
