@@ -44,3 +44,13 @@ def test_resolution_of_all_documents(spark):
     best = {b: min(a for a, x in pairs if x == b) for _, b in pairs}
     want = {(b, a, 1 + (a + b) % 6) for b, a in best.items() if b not in best.values()}
     assert {(r["merged"], r["kept"], r["rank"]) for r in demo.QUERIES["q18_merge_batch_whole"](spark, FOLDER).collect()} == want
+
+
+def test_counts_of_whole_tables(spark):
+    count = lambda name: pq.read_metadata(f"{FOLDER}/{name}.parquet").num_rows
+    run = lambda name: demo.QUERIES[name](spark, FOLDER)
+    assert sum(r["n"] for r in run("q03_responses_by_group_whole").collect()) == count("orders")
+    ids = lambda table, column: set(pq.read_table(f"{FOLDER}/{table}.parquet", columns=[column])[column].to_pylist())
+    assert {r["vec_id"] for r in run("v03_pending_examples_whole").collect()} == ids("embeddings", "vec_id") - ids("labels", "doc_id")
+    for name, key, step in (("j17_employers_of_posting_whole", "id", 7), ("b10_title_and_place_whole", "id", 11), ("b09_strong_signal_whole", "k", 10)):
+        assert {r["m"] for r in run(name).selectExpr(f"{key} % {step} AS m").distinct().collect()} == set(range(step)), name
