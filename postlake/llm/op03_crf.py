@@ -7,7 +7,8 @@ forward-backward. A document's score is the mean of the marginal of "good" over
 weighted by their lengths.
 
 Training takes at most MAX_DOCUMENTS labelled documents, those with the smallest hash of the id,
-and at most MAX_LINES lines of each; the bounds hold for training only, every text is scored whole.
+each with all its lines, as long as they have MAX_LINES lines each on average (one document may have
+more); the bounds hold for training only, every text is scored whole.
 Labels of documents whose crc32 of the id modulo FOLDS is 0 are never read. Language, source and
 ids are no features.
 
@@ -31,7 +32,7 @@ from postlake.llm.op06_near import mix
 
 FOLDS = 5
 CUT = 0.3
-#: Bounds of the training sample.
+#: Bounds of the training sample: documents, and lines of one on average.
 MAX_DOCUMENTS = 4000
 MAX_LINES = 60
 #: Steps and rate of the optimiser (Adam), and the weight of the squared norm.
@@ -184,16 +185,23 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     def make():
         def run(texts: list) -> list:
             x, of, _ = features(texts)
-            return [[x[of == i][:MAX_LINES].ravel().tolist() for i in range(len(texts))]]
+            return [[part.tobytes() for part in np.split(x, np.searchsorted(of, np.arange(1, len(texts))))]]
 
         return run
 
-    rows = map_text(own, text, make, [("x", pa.list_(pa.float64()))]).select("of", "label", "x").dropDuplicates(["of"]).collect()
-    rows.sort(key=lambda r: r["of"])
-    parts = [np.array(r["x"]).reshape(-1, SIZE) for r in rows]
+    rows = map_text(own, text, make, [("x", pa.binary())]).select("of", "label", "x").dropDuplicates(["of"]).orderBy(F.xxhash64("of"), "of")
+    kept, lines = [], 0
+    for r in rows.toLocalIterator():
+        part = np.frombuffer(r["x"]).reshape(-1, SIZE)
+        lines += len(part)
+        if kept and lines > MAX_DOCUMENTS * MAX_LINES:
+            break
+        kept.append((r["of"], int(r["label"]), part))
+    kept.sort(key=lambda r: r[0])
+    parts = [part for _, _, part in kept]
     x = np.concatenate(parts) if parts else np.zeros((0, SIZE))
     n = [len(p) for p in parts]
-    return train(x, np.repeat(np.arange(len(parts)), n), np.repeat([int(r["label"]) for r in rows], n).astype(np.int64))
+    return train(x, np.repeat(np.arange(len(parts)), n), np.repeat([k for _, k, _ in kept], n).astype(np.int64))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", cut: float = CUT) -> DataFrame:

@@ -184,6 +184,18 @@ def test_classifier(spark):
     assert {r["score"] for r in crf.score(docs.limit(3), flat).collect()} == {0.5}
 
 
+def test_classifier_learns_from_late_lines(spark):
+    rng = random.Random(9)
+    fine = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(10)) + "."
+    junk = lambda: " ".join(rng.choice(["$$$", "###", "!!!", "|||", "CLICK"]) for _ in range(10))
+    # of the first 60 lines only those of good documents hold some junk; what is bad comes later
+    rows = [(i, "\n".join([(junk if i % 2 and 20 <= k < 40 and k % 4 == 0 else fine)() for k in range(60)] + [(fine if i % 2 else junk)() for _ in range(60)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = crf.fit(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int"))
+    low, high = crf.scores(["\n".join(fine() for _ in range(60)) + "\n" + "\n".join(x() for _ in range(60)) for x in (junk, fine)], model)
+    assert low < crf.CUT < high, (low, high)
+
+
 # secrets
 
 
