@@ -1,25 +1,36 @@
 """Main text of web pages by two passes over their blocks.
 
-A page is cut into blocks at block-level tags. Pass one decides a block by where it stands (menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments are bad), by its link
-density (mostly links: bad) and, if it is long enough, by its stop-word density (high: good). What
-is left, short blocks and long ones of an unknown language, is ambiguous. Pass two gives an
-ambiguous block the label of the nearest block decided by its text or links, within its article if
-it stands in one; at equal distance a good one counts, and with no decided block there, a block of
-an article is good and any other bad. A page without articles and without good blocks keeps its
-ambiguous blocks that no bad block encloses.
+A page is read as HTML is: names of tags end at white space, `/` or `>`; a new paragraph, list
+item, row or cell ends the open one; an end tag ends what was left open inside. Blocks are the
+texts between block-level tags.
+
+Pass one decides what a block's own text shows: mostly links (link density): bad; long and dense
+in stop words: good, unless it stands in a marked place. Everything else is ambiguous: short
+blocks, and long ones of an unknown language. Pass two gives an ambiguous block the label of the
+nearest decided block of its section; at equal distance a good one counts, and a heading takes that
+of the next decided one. A section is an article (or the main part), a marked place, or the rest
+of the page. Where a section has no decided block, its place decides: an article is good; a marked
+place is bad, and so is the rest, but if nothing is good on a page without articles, the rest stays.
+
+Marked places are elements whose tag or class, id or role is that of menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments. Words of layout (sidebar, search, header)
+often stand on wrappers of whole pages: such a mark is dropped if the element holds most of the
+text that pass one finds good, and no article stands outside marked places. Words behind "no" or
+"has" are no marks. An article or main part inside a marked place, but comments, is not marked.
 
 Text: character references decoded, white space to one space, blocks joined by one space.
 
-Edge cases: null and empty pages give an empty text. Unclosed scripts and comments run to the end
-of the page; an unclosed menu ends where an article or the main part begins. Pages of any length
-are read once, from left to right, in one task each.
+Edge cases: null and empty pages give an empty text. Unclosed scripts, styles and comments run to
+the end of the page, other unclosed elements to the end of what encloses them; a tag that the page
+breaks off is dropped. Pages of any length are read once, from left to right, in one task each.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,22 +41,44 @@ from postlake.llm.common import map_text, table
 SHORT = 70
 MAX_LINKS = 0.5
 MIN_STOPS = 0.2
+#: Least share of a page's good text in an element whose layout mark is dropped.
+MOST = 2 / 3
 
 #: Names of HTML elements by their role.
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "textarea", "select", "canvas", "audio", "video")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-BAD_TAGS = frozenset("nav footer aside form button menu dialog fieldset".split())
-ARTICLE = frozenset(("article", "main"))
+TO_THE_END = frozenset("script style textarea title".split())
+SKIPPED = TO_THE_END | frozenset("noscript template svg math iframe object select canvas audio video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role attributes that mark what is not the article.
-BAD_WORDS = frozenset(
-    """ad ads adv advert advertisement adverts advertising banner sponsor sponsored promo promotion
-    nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget
-    cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login
-    share sharing social comment comments reply replies disqus respond commentlist discussion related recommended
-    contentinfo search toolbar pagination copyright""".split()
+ARTICLE = frozenset(("article", "main"))
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that no end tag and no implied end reaches across.
+SCOPE = frozenset("html body table td th caption".split())
+#: What a start tag ends: the names it ends, and the elements that shield them.
+_LIST, _CELLS = frozenset(("ul", "ol", "menu")), frozenset(("td", "th"))
+ENDS = {
+    "li": (frozenset(("li",)), _LIST),
+    "dt": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "tr": (frozenset(("tr",)), frozenset(("table",))),
+    "td": (_CELLS, frozenset(("tr", "table"))),
+    "th": (_CELLS, frozenset(("tr", "table"))),
+    **{t: (frozenset(("thead", "tbody", "tfoot")), frozenset(("table",))) for t in ("thead", "tbody", "tfoot")},
+}
+#: Elements that may stand in a paragraph, beside inline ones; all others end it.
+IN_PARAGRAPH = frozenset(("button",))
+
+#: Tags, and words of class, id and role, that mark what is not the article.
+MARKED_TAGS = frozenset("nav footer aside button menu dialog".split())
+LAYOUT_TAGS = frozenset("form fieldset header".split())
+MARKS = frozenset(
+    """ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion
+    breadcrumb breadcrumbs cookie cookies consent gdpr notice popup modal overlay newsletter
+    subscribe signup login discussion related recommended contentinfo pagination copyright""".split()
 )
-COMMENTS = frozenset("comment comments reply replies disqus respond commentlist discussion".split())
+LAYOUT = frozenset("banner nav navbar navigation menu header masthead footer sidebar aside widget alert share sharing social search toolbar".split())
+COMMENTS = frozenset("comment comments reply replies disqus respond commentlist".split())
+_ANY = MARKS | LAYOUT | COMMENTS
+NEGATIONS = frozenset("no not non has with without hide".split())
 #: Frequent words of English, German, French and Spanish.
 STOPS = frozenset(
     """the of and to a in is it that for on was with as be at by this are from or an have not but he she they you we
@@ -56,162 +89,259 @@ STOPS = frozenset(
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
+    r"|<[!?/][^>]*(?:>|\Z)",
+    re.S,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_EMPTY = re.compile(r"""(?:^|[\s"'])/$""")
 _WORD = re.compile(r"[^\W\d_]+")
-_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in SKIPPED}
+
+
+class Block(NamedTuple):
+    """A text, its characters that are no white space, those in links, the section (number of the
+    article or -1), the innermost marked place (or -1), and whether it is a heading (2: of rank one)."""
+
+    text: str
+    size: int
+    links: int
+    article: int
+    place: int
+    heading: int
+
+
+class Place(NamedTuple):
+    """A marked element: the marked one around it (or -1), and whether its mark is one of layout."""
+
+    outer: int
+    layout: bool
+    comments: bool
+
+
+def marks(attrs: str) -> set[str]:
+    """Words of marks in the class, id and role attributes, but those behind a negation."""
+    if "=" not in attrs:
+        return set()
+    out = set()
+    for m in _NAMES.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+            out |= {w for k, w in enumerate(words) if w in _ANY and not (k and words[k - 1] in NEGATIONS)}
+    return out
+
+
+def _solid(pieces: list[str]) -> int:
+    return sum(map(len, "".join(pieces).split()))
+
 
+class _Reader:
+    """Reads a page from left to right; open elements are (name, article, place, heading)."""
 
-def _marks(attrs: str) -> set[str]:
-    """Words of the class, id and role attributes."""
-    return {w for m in _NAMES.finditer(attrs) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()) if w} if "=" in attrs else set()
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.places: list[Place] = []
+        self.articles = 0
+        self.open: list[tuple[str, int, int, int]] = []
+        self.count: Counter = Counter()
+        self.text: list[str] = []
+        self.linked: list[str] = []
 
+    def context(self) -> tuple[int, int, int]:
+        return self.open[-1][1:] if self.open else (-1, -1, 0)
 
-def blocks(html: str) -> list[tuple[str, int, int, int]]:
-    """(text, characters in links, number of the article or -1, decided bad) of each block."""
-    out: list[tuple[str, int, int, int]] = []
-    text: list[str] = []
-    links = 0
-    in_link = False
-    article = -1
-    articles = depth_article = 0
-    skip, depth, comments = "", 0, False
-    at, n = 0, len(html)
+    def add(self, piece: str) -> None:
+        piece = unescape(piece)
+        self.text.append(piece)
+        if self.count["a"]:
+            self.linked.append(piece)
 
-    def end_block() -> None:
-        nonlocal text, links
-        joined = " ".join(unescape("".join(text)).split())
+    def end_block(self) -> None:
+        joined = " ".join("".join(self.text).split())
         if joined:
-            out.append((joined, links, article, int(bool(skip))))
-        text, links = [], 0
+            self.blocks.append(Block(joined, _solid(self.text), _solid(self.linked), *self.context()))
+        self.text, self.linked = [], []
 
-    while at < n:
+    def pop_to(self, depth: int) -> None:
+        if any(e[0] not in INLINE or e[2] != self.context()[1] for e in self.open[depth:]) or (depth and self.open[depth - 1][2] != self.context()[1]) or (not depth and self.context()[1] >= 0):
+            self.end_block()
+        for e in self.open[depth:]:
+            self.count[e[0]] -= 1
+        del self.open[depth:]
+
+    def find(self, names: frozenset[str], shields: frozenset[str]) -> int:
+        """Depth of the innermost open element of these names, -1 beyond a shield."""
+        if any(self.count[n] for n in names):
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k][0] in names:
+                    return k
+                if self.open[k][0] in shields:
+                    break
+        return -1
+
+    def start(self, tag: str, attrs: str) -> None:
+        inline = tag in INLINE or "-" in tag
+        if tag in ENDS and (k := self.find(*ENDS[tag])) >= 0:
+            self.pop_to(k)
+        if not inline and tag not in IN_PARAGRAPH and (tag not in VOID or tag == "hr") and (k := self.find(frozenset(("p",)), SCOPE | {"button"})) >= 0:
+            self.pop_to(k)
+        if tag == "a" and (k := self.find(frozenset(("a",)), SCOPE)) >= 0:
+            self.close("a")
+        if tag in VOID or _EMPTY.search(attrs):
+            self.add(" ") if tag == "br" else inline or tag in ("img", "input", "wbr", "embed") or self.end_block()
+            return
+        article, place, heading = self.context()
+        got = marks(attrs) if tag not in ("html", "body") and tag not in ARTICLE else set()
+        if article >= 0:
+            got.discard("header")
+        in_comments = place >= 0 and self.places[place].comments
+        if got & COMMENTS or got & MARKS or tag in MARKED_TAGS:
+            self.end_block()
+            self.places.append(Place(place, False, in_comments or bool(got & COMMENTS)))
+            place = len(self.places) - 1
+        elif got or tag in LAYOUT_TAGS and not (tag == "header" and article >= 0):
+            self.end_block()
+            self.places.append(Place(place, True, in_comments))
+            place = len(self.places) - 1
+        elif not inline:
+            self.end_block()
+        if tag in ARTICLE and not in_comments:
+            if article < 0 or place >= 0:
+                article = self.articles
+                self.articles += 1
+            place = -1
+        if tag in HEADING:
+            heading = 2 if tag == "h1" else 1
+        self.open.append((tag, article, place, heading))
+        self.count[tag] += 1
+
+    def close(self, tag: str) -> None:
+        k = self.find(frozenset((tag,)), SCOPE - {tag} if tag not in ("body", "html") else frozenset())
+        if k < 0:
+            if tag not in INLINE and "-" not in tag:
+                self.end_block()
+            return
+        if tag in INLINE and any(e[0] not in INLINE for e in self.open[k + 1 :]):
+            self.count[tag] -= 1  # it ends, and what was opened inside stays open
+            del self.open[k]
+            return
+        self.pop_to(k)
+
+
+def blocks(html: str) -> tuple[list[Block], list[Place]]:
+    """The blocks of a page in order, and its marked places."""
+    page = _Reader()
+    at = 0
+    while True:
         m = _TOKEN.search(html, at)
-        piece = html[at : m.start() if m else n]
-        if piece:
-            text.append(piece)
-            if in_link:
-                links += len("".join(piece.split()))
+        if piece := html[at : m.start() if m else len(html)]:
+            page.add(piece)
         if not m:
             break
         at = m.end()
-        raw = m["raw"]
-        if raw:
-            raw = raw.lower()
-            if not m["rattrs"].endswith("/"):
-                end = _END[raw].search(html, at)
-                if end:
-                    at = end.end()
-                elif raw != "head":
-                    at = n
-            end_block()
-            continue
-        tag = m["tag"] or m["tag2"]
-        if not tag:
-            continue
-        tag, closing, attrs = tag.lower(), bool(m["close"] or m["close2"]), m["attrs"] or m["attrs2"] or ""
-        if tag == "a":
-            in_link = not closing
-            continue
-        if tag == "br":
-            text.append(" ")
+        name = m["tag"] or m["tag2"]
+        if not name or (m["tag2"] and not m[0].endswith(">")):
             continue
-        if tag in INLINE and not skip:
-            if not closing and tag not in VOID and _marks(attrs) & BAD_WORDS:
-                end_block()
-                skip, depth, comments = tag, 1, False
-            continue
-        if skip:
-            if closing and tag == skip:
-                depth -= 1
-                if not depth:
-                    end_block()
-                    skip = ""
-            elif not closing and tag == skip and not attrs.endswith("/"):
-                depth += 1
-            elif not closing and tag in ARTICLE and not comments:
-                end_block()
-                skip = ""
-            if skip:
-                if tag not in INLINE:
-                    end_block()
-                continue
-            if closing or tag not in ARTICLE:
-                continue
-        end_block()
-        if closing:
-            if tag in ARTICLE and depth_article:
-                depth_article -= 1
-                if not depth_article:
-                    article = -1
-            continue
-        if tag in VOID or attrs.endswith("/"):
-            continue
-        marks = _marks(attrs)
-        bad = tag in BAD_TAGS or (tag == "header" and article < 0) or (bool(marks & BAD_WORDS) and tag not in ("html", "body", "main", *(("header",) if article >= 0 else ())))
-        if bad:
-            skip, depth, comments = tag, 1, bool(marks & COMMENTS)
-        elif tag in ARTICLE:
-            if not depth_article:
-                article = articles
-                articles += 1
-            depth_article += 1
-    end_block()
+        tag, attrs = name.lower(), m["attrs"] or m["attrs2"] or ""
+        if m["close"] or m["close2"]:
+            page.close(tag)
+        elif tag in SKIPPED:
+            if tag in TO_THE_END or not _EMPTY.search(attrs):
+                end = _CLOSING[tag].search(html, at)
+                at = end.end() if end else len(html) if tag in TO_THE_END else at
+            page.end_block()
+        else:
+            page.start(tag, attrs)
+    page.end_block()
+    return page.blocks, page.places
+
+
+def by_text(block: Block) -> bool | None:
+    """Pass one without places: what a block's own text shows."""
+    if block.links > MAX_LINKS * block.size:
+        return False
+    if len(block.text) >= SHORT:
+        words = _WORD.findall(block.text.lower())
+        if words and sum(w in STOPS for w in words) >= MIN_STOPS * len(words):
+            return True
+    return None
+
+
+def marked(found: list[Block], places: list[Place], first: list[bool | None]) -> list[bool]:
+    """Which places are marked, in the end: those of layout are not if they hold most good text."""
+    firm = []  # a mark that is not of layout, here or around
+    for p in places:
+        firm.append(not p.layout or (p.outer >= 0 and firm[p.outer]))
+    inside = [0] * len(places)
+    total = 0
+    articles = False
+    for b, good in zip(found, first, strict=True):
+        articles |= b.place < 0 <= b.article
+        if good and not (b.place >= 0 and firm[b.place]):
+            total += b.size
+            if b.place >= 0:
+                inside[b.place] += b.size
+    for k in range(len(places) - 1, -1, -1):
+        if places[k].outer >= 0:
+            inside[places[k].outer] += inside[k]
+    out = []
+    for p, n in zip(places, inside, strict=True):
+        drop = p.layout and total and not articles and n >= MOST * total
+        out.append(not drop or (p.outer >= 0 and out[p.outer]))
     return out
 
 
-def classify(found: list[tuple[str, int, int, int]]) -> list[bool]:
+def classify(found: list[Block], places: list[Place]) -> list[bool]:
     """Which blocks are good."""
-    first: list[bool | None] = []
-    for text, links, _, bad in found:
-        label = None
-        if bad:
-            label = False
-        elif links > MAX_LINKS * len(text):
-            label = False
-        elif len(text) >= SHORT:
-            words = _WORD.findall(text.lower())
-            if words and sum(w in STOPS for w in words) >= MIN_STOPS * len(words):
-                label = True
-        first.append(label)
-    before = _nearest(found, first)
-    after = _nearest(found[::-1], first[::-1])[::-1]
+    first = [by_text(b) for b in found]
+    bad = marked(found, places, first)
+    place = [b.place if b.place >= 0 and bad[b.place] else -1 for b in found]
+    first = [False if label and p >= 0 else label for label, p in zip(first, place, strict=True)]
+    section = [(p, -1) if p >= 0 else (-1, b.article) for b, p in zip(found, place, strict=True)]
+    before = _nearest(section, first)
+    after = [x and (len(found) - 1 - x[0], x[1]) for x in _nearest(section[::-1], first[::-1])[::-1]]
+    following: list[bool | None] = []  # label of the next decided block outside marked places
+    label = None
+    for k in range(len(found) - 1, -1, -1):
+        following.append(label)
+        if first[k] is not None and place[k] < 0:
+            label = first[k]
+    following.reverse()
     out = []
-    for (_, _, article, _), label, a, b in zip(found, first, before, after, strict=True):
+    for i, (b, label, a, z) in enumerate(zip(found, first, before, after, strict=True)):
         if label is None:
-            if a is None or b is None:
-                near = a or b
-                label = near[1] if near else article >= 0
+            if b.heading and place[i] < 0 and (z or (b.heading == 2 and following[i])):
+                label = z[1] if z else True
+                if b.heading == 2 and a is None and b.article >= 0:
+                    label = True
+            elif a is None or z is None:
+                near = a or z
+                label = near[1] if near else section[i][1] >= 0
             else:
-                label = a[1] if a[0] < b[0] else b[1] if b[0] < a[0] else a[1] or b[1]
+                d, e = i - a[0], z[0] - i
+                label = a[1] if d < e else z[1] if e < d else a[1] or z[1]
         out.append(label)
-    if not any(out) and all(f[2] < 0 for f in found):
-        out = [label is None for label in first]
+    if not any(out) and all(b.article < 0 for b in found):
+        out = [label is None and p < 0 for label, p in zip(first, place, strict=True)]
     return out
 
 
-def _nearest(found: list, first: list[bool | None]) -> list[tuple[int, bool] | None]:
-    """For each block the distance and label of the last decided one before it, in the same article.
-    What is bad for where it stands (menus, adverts, forms) says nothing about the blocks beside it."""
+def _nearest(section: list, first: list[bool | None]) -> list[tuple[int, bool] | None]:
+    """For each block the number and label of the last decided one before it, in its section."""
     out: list[tuple[int, bool] | None] = []
-    last: dict[int, tuple[int, bool]] = {}
-    for i, ((_, _, article, bad), label) in enumerate(zip(found, first, strict=True)):
-        got = last.get(article)
-        out.append((i - got[0], got[1]) if got else None)
-        if label is not None and not bad:
-            last[article] = (i, label)
+    last: dict = {}
+    for i, (s, label) in enumerate(zip(section, first, strict=True)):
+        out.append(last.get(s))
+        if label is not None:
+            last[s] = (i, label)
     return out
 
 
 def main_text(html: str | None) -> str:
     """Text of the good blocks of one page."""
-    found = blocks(html or "")
-    return " ".join(f[0] for f, good in zip(found, classify(found), strict=True) if good)
+    found, places = blocks(html or "")
+    return " ".join(b.text for b, good in zip(found, classify(found, places), strict=True) if good)
 
 
 def _extract(pages: list) -> list:
