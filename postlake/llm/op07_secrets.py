@@ -1,10 +1,12 @@
 """Secret scan with a trigram index; DataFrame code only.
 
 Each rule's regex is parsed into a Boolean query: an OR of clauses, each the set of lower-case
-trigrams that a match must hold. Each text has an inverted index of its lines: a posting list of
-line numbers for every trigram that any query names. Posting lists are intersected within a
+trigrams that a match must hold. One pass over each text finds the trigrams that any query names
+and inverts them to posting lists of line numbers. Posting lists are intersected within a
 clause and united over clauses; the regex itself runs over the candidate lines alone. A rule
 without mandatory trigrams scans all lines. No pattern matches a line feed, so lines lose nothing.
+Offsets are running totals over lines and over the matches of a line, made by doubling, so that time
+grows as n log n with a text's matches, on many lines or on one.
 The span of a private key goes on from its first line to its END line, or over the lines of base64
 that follow where there is none; SQL states the first line alone.
 The index lives in the row: no shuffle, and memory in proportion to one text.
@@ -19,7 +21,9 @@ leftmost and do not overlap; those that fail the rule's length test are dropped
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from re import _constants as sre
 from re import _parser
 
@@ -29,6 +33,11 @@ from pyspark.sql import functions as F
 from postlake.llm.common import table
 
 
+def _quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def any_case(word: str) -> str:
     """A pattern of a word whose ASCII letters may be in either case."""
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -59,11 +68,14 @@ BASE = ("assign", "access", "hex")
 #: The END line of a private key, and most of its characters; lines of its body, the last of which may be short.
 _END, _CLOSING = "^-----END [A-Z ]*PRIVATE KEY-----", 200
 _BASE64, _LAST = r"^[\x20\t]*[A-Za-z0-9+/]{16,}={0,2}\s*$", r"^[\x20\t]*[A-Za-z0-9+/]{1,15}={0,2}\s*$"
-_HEADER = r"^[\x20\t]*(Proc-Type|DEK-Info):"
+_HEADER, _BLANK = r"^[\x20\t]*(Proc-Type|DEK-Info):", r"^\s*$"
 #: What takes the place of a secret in redacted texts.
 MASK = "[REDACTED]"
 #: Sets of exact strings and of a class's characters larger than these are given up.
 _STRINGS, _CHARS = 64, 6
+#: Levels of running totals, each of sixteen values; characters of a chunk of a text that is redacted.
+LEVELS = 7
+CHUNK = 1024
 
 Clauses = frozenset  # of frozensets of trigrams; None stands for "any text"
 
@@ -137,78 +149,148 @@ def trigram_query(pattern: str) -> Clauses | None:
     return _sequence(_parser.parse(pattern))[1]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is made once a row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, add: Callable[[Column, Column], Column], step: int = -1) -> Column:
+    """Running totals of an array from its begin (step -1) or to its end (1), in n log n steps.
+
+    Doubling, sixteen-fold: after level j a place holds the total of the 16 ** j values up to it.
+    Arrays of up to 16 ** LEVELS values are done in full.
+    """
+
+    def level(v: Column, j: int) -> Column:
+        if j == LEVELS:
+            return v
+        at = lambda w: lambda x, i: F.aggregate(F.sequence(F.lit(1), F.lit(15)), x, lambda s, t: add(s, F.get(w, i + t * (step * 16**j))))
+        return _let(v, lambda w: F.when(F.size(w) <= 16**j, w).otherwise(level(F.transform(w, at(w)), j + 1)))
+
+    return level(values, 0)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + F.coalesce(b, F.lit(0))
+
+
+def _branches(strings: set[str]) -> str:
+    """A pattern of strings of one length as a tree whose branches are halved, so that a place fails after few tests."""
+    heads = sorted({t[0] for t in strings if t})
+    if len(heads) > 3:
+        low = set(heads[: len(heads) // 2])
+        parts = [{t for t in strings if (t[0] in low) == x} for x in (True, False)]
+        return "|".join("(?=[" + "".join(re.escape(c) for c in sorted({t[0] for t in p})) + f"])(?:{_branches(p)})" for p in parts)
+    return "|".join(re.escape(c) + f"(?:{_branches({t[1:] for t in strings if t[0] == c})})" for c in heads)
+
+
 def _lines(docs: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """docs with __text, __lines and __posts, the posting lists of the trigrams that rules need."""
+    """docs with __text, __lines and the index __index: (trigram, line number) of every trigram that
+    rules need, found in one pass over the text."""
     grams = sorted({t for r in rules for c in (trigram_query(r.pattern) or ()) for t in c})
-    own = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    own = own.withColumn("__low", F.lower("__text")).withColumn("__lines", F.split("__text", "\n", -1))
-    own = own.withColumn("__lowlines", F.split("__low", "\n", -1))
-    numbers = F.sequence(F.lit(0), F.size("__lowlines") - 1)
-    post = lambda t: F.when(F.contains("__low", F.lit(t)), F.filter(numbers, lambda i: F.contains(F.get("__lowlines", i), F.lit(t)))).otherwise(F.array().cast("array<int>"))
-    return own.withColumn("__posts", F.struct(*[post(t).alias(f"g{k}") for k, t in enumerate(grams)], F.lit(0).alias("none")) if grams else F.struct(F.lit(0).alias("none"))).drop("__low", "__lowlines")
+    own = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__lines", F.split("__text", "\n", -1))
+    wanted = F.lit(f"(?=({_branches(set(grams))}))")
+    entry = lambda line, i: F.transform(F.array_distinct(F.regexp_extract_all(F.lower(line), wanted, F.lit(1))), lambda t: F.struct(t.alias("gram"), i.alias("line")))
+    return own.withColumn("__index", F.flatten(F.transform("__lines", entry)) if grams else F.expr("cast(array() as array<struct<gram:string,line:int>>)"))
 
 
-def _candidates(rule: Rule, grams: list[str]) -> Column:
-    """Numbers of the lines that may hold a match."""
+def _candidates(rule: Rule) -> Column:
+    """Numbers of the lines that may hold a match, in order."""
     query = trigram_query(rule.pattern)
     if query is None:
         return F.sequence(F.lit(0), F.size("__lines") - 1)
-    out = None
-    for clause in sorted(sorted(c) for c in query):
-        lists = [F.col(f"__posts.g{grams.index(t)}") for t in clause]
-        one = lists[0]
-        for x in lists[1:]:
-            one = F.array_intersect(one, x)
-        out = one if out is None else F.array_union(out, one)
-    return out
-
-
-def _key_end(header: Column) -> Column:
-    """Where a private key ends whose first line ends at header: after its END line if that is the
-    next one with five dashes; else after the lines of base64 that follow; else at header."""
-    text = F.col("__text")
-    dashes = F.call_function("locate", F.lit("-----"), text, header + 1)  # from 1, 0 if there are none
-    closing = F.length(F.regexp_extract(F.substring(text, dashes, _CLOSING), _END, 0))
-    tail = F.split(F.substring(text, header + 1, F.length(text)), "\n", -1)
-    body = lambda x, k: x.rlike(_BASE64) | x.rlike(_HEADER) | (x.rlike(r"^\s*$") & F.get(tail, k).rlike(_HEADER))
-    lines = F.slice(tail, 2, F.size(tail))
-    past = F.array_position(F.transform(lines, lambda x, k: ~body(x, k)), True).cast("int")
-    n = F.when(past == 0, F.size(lines)).otherwise(past - 1)
-    rest = F.get(lines, n)
-    n = F.when((n > 0) & F.get(lines, n - 1).rlike(_BASE64) & rest.rlike(_LAST), n + 1).otherwise(n)
-    size = F.aggregate(F.slice(lines, 1, n), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    open_ = F.when(F.get(tail, 0).rlike(r"^\s*$") & (n > 0), F.length(F.get(tail, 0)) + size).otherwise(0)
-    return F.when((dashes > 0) & (closing > 0), dashes - 1 + closing).otherwise(header + open_)
-
-
-def _spans(rule: Rule, number: int, grams: list[str]) -> Column:
-    """Array of (start, kind, end) of a rule's matches, from the candidate lines."""
+    posting = lambda t: f"transform(filter(__index, e -> e.gram = {_quoted(t)}), e -> e.line)"
+    lists = [reduce(lambda x, y: f"array_intersect({x}, {y})", map(posting, clause)) for clause in sorted(sorted(c) for c in query)]
+    return F.expr(reduce(lambda x, y: f"array_union({x}, {y})", lists))
+
+
+def _key_end(s: Column, dash: Column, past: Column) -> Column:
+    """Where a private key ends whose first line is the match s.
+
+    It ends after its END line if that is the next one with five dashes; else after the lines of
+    base64 that follow; else with its first line. dash and past have, for each line, the next one with
+    dashes and the next one that is none of a key's body.
+    """
+    lines, starts = F.col("__lines"), F.col("__starts")
+    closing = lambda x: F.length(F.regexp_extract(F.substring(x, F.locate("-----", x), _CLOSING), _END, 0))
+    there = F.get(dash, s["i"] + 1)
+    line = F.get(lines, there)
+    stop = F.coalesce(F.get(past, s["i"] + 1), F.size(lines))
+    more = (stop > s["i"] + 1) & F.get(lines, stop - 1).rlike(_BASE64) & F.coalesce(F.get(lines, stop).rlike(_LAST), F.lit(False))
+    last = F.when(more, stop).otherwise(stop - 1)
+    at = (
+        F.when(F.contains(s["rest"], F.lit("-----")), F.when(closing(s["rest"]) > 0, s["end"] + F.locate("-----", s["rest"]) - 1 + closing(s["rest"])))
+        .when(s["final"] & there.isNotNull() & (closing(line) > 0), F.get(starts, there) + F.locate("-----", line) - 1 + closing(line))
+    )
+    body = F.when(s["final"] & s["rest"].rlike(_BLANK) & (last > s["i"]), F.get(starts, last) + F.length(F.get(lines, last))).otherwise(s["end"])
+    return F.coalesce(at, body)
+
+
+def _keys_whole(found: Column, number: int) -> Column:
+    """Matches with those of private keys extended to the whole key."""
+    lines = F.col("__lines")
+    header = lambda x: F.coalesce(x.rlike(_HEADER), F.lit(False))
+    body = lambda x, j: x.rlike(_BASE64) | header(x) | (x.rlike(_BLANK) & header(F.get(lines, j - 1)))
+    # both tests in one running minimum from the end
+    tests = F.transform(lines, lambda x, j: F.struct(F.when(F.contains(x, F.lit("-----")), j).alias("d"), F.when(~body(x, j), j).alias("p")))
+    least = lambda a, b: F.struct(F.least(a["d"], b["d"]).alias("d"), F.least(a["p"], b["p"]).alias("p"))
+    whole = lambda x: F.transform(found, lambda s: F.when(s["kind"] == number, s.withField("end", _key_end(s, x["d"], x["p"]))).otherwise(s))
+    return F.when(F.exists(found, lambda s: s["kind"] == number), _let(running(tests, least, 1), lambda w: _let(F.struct(F.transform(w, lambda t: t["d"]).alias("d"), F.transform(w, lambda t: t["p"]).alias("p")), whole))).otherwise(found)
+
+
+def _spans(rules: tuple[Rule, ...]) -> Column:
+    """Array of (start, kind, end) of the matches, from the lines with matches in __cut."""
+    sums = lambda s: running(F.transform(s["m"], lambda n, k: n + F.length(F.get(s["gap"], k))), _sum)
+    least = F.array(*[F.lit(r.least) for r in rules])
+
+    def one(s: Column, n: Column, k: Column, total: Column) -> Column:
+        end = F.get("__starts", s["i"]) + F.get(total, k)
+        return F.struct((end - n).alias("start"), s["kind"].alias("kind"), end.alias("end"), F.get(s["v"], k).alias("v"), s["i"].alias("i"), F.get(s["gap"], k + 1).alias("rest"), (k == F.size(s["m"]) - 1).alias("final"))
+
+    found = F.flatten(F.transform("__cut", lambda s: _let(sums(s), lambda total: F.transform(s["m"], lambda n, k: one(s, n, k, total)))))
+    found = F.filter(found, lambda s: s["v"] >= F.get(least, s["kind"]))
+    keys = [k for k, r in enumerate(rules) if r.kind == "private_key"]
+    if keys:
+        found = _let(found, lambda x: _keys_whole(x, keys[0]))
+    return F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+
+
+_NONE = "cast(array() as array<struct<start:int,kind:int,end:int>>)"
+_NO_CUT = "cast(array() as array<struct<kind:int,i:int,m:array<int>,v:array<int>,gap:array<string>>>)"
+
+
+def _cut(rule: Rule, number: int) -> Column:
+    """(kind, i, m, v, gap) of the candidate lines that match: number of the rule and of the line,
+    lengths of the matches and of their tested groups, and the texts around them."""
     pattern = F.lit(rule.pattern)
     wide = rule.least and rule.group == 0 and re.fullmatch(r"\[[^\]]*\]\+", rule.pattern)
     probe = f"{rule.pattern[:-1]}{{{rule.least}}}" if wide else rule.pattern  # a class alone: as many in a row
-    lines = F.filter(F.transform(_candidates(rule, grams), lambda i: F.struct(i.alias("i"), F.get("__lines", i).alias("line"))), lambda s: s["line"].rlike(probe))
-    cut = F.transform(
-        lines,
-        lambda s: F.struct(
-            F.when(s["i"] == 0, 0).otherwise(F.length(F.call_function("substring_index", F.col("__text"), F.lit("\n"), s["i"])) + 1).alias("off"),
-            F.transform(F.regexp_extract_all(s["line"], pattern, F.lit(0)), F.length).alias("m"),
-            F.transform(F.regexp_extract_all(s["line"], pattern, F.lit(rule.group)), F.length).alias("v"),
-            F.transform(F.split(s["line"], pattern, -1), F.length).alias("gap"),
-        ),
-    )
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    ends = lambda s: F.transform(s["m"], lambda x, k: F.struct((s["off"] + total(F.slice(s["gap"], 1, k + 1)) + total(F.slice(s["m"], 1, k))).alias("start"), F.lit(number).alias("kind"), x.alias("n"), F.get(s["v"], k).alias("v")))
-    found = F.filter(F.flatten(F.transform(cut, ends)), lambda s: s["v"] >= rule.least)
-    end = lambda s: _key_end(s["start"] + s["n"]) if rule.kind == "private_key" else s["start"] + s["n"]
-    made = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), end(s).alias("end")))
-    return F.when(F.col("__text").rlike(probe), made).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")) if wide else made
+    lines = F.filter(F.transform(_candidates(rule), lambda i: F.struct(i.alias("i"), F.get("__lines", i).alias("line"))), lambda s: s["line"].rlike(probe))
+    sizes = lambda s, group: F.transform(F.regexp_extract_all(s["line"], pattern, F.lit(group)), F.length)
+    made = F.transform(lines, lambda s: F.struct(F.lit(number).alias("kind"), s["i"].alias("i"), sizes(s, 0).alias("m"), sizes(s, rule.group).alias("v"), F.split(s["line"], pattern, -1).alias("gap")))
+    if trigram_query(rule.pattern) is not None:
+        return made
+    return F.when(F.col("__text").rlike(probe), made).otherwise(F.expr(_NO_CUT))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "secrets") -> DataFrame:
     """docs with an array of (start, kind, end), by start, then kind (a number into rules)."""
-    grams = sorted({t for r in rules for c in (trigram_query(r.pattern) or ()) for t in c})
     own = _lines(docs, text, rules)
-    return own.withColumn(out, F.array_sort(F.concat(*[_spans(r, k, grams) for k, r in enumerate(rules)]))).drop("__text", "__lines", "__posts")
+    own = own.withColumn("__cut", F.concat(F.expr(_NO_CUT), *[_cut(r, k) for k, r in enumerate(rules)]))
+    before = _let(F.transform("__lines", lambda x: F.length(x) + 1), lambda n: F.zip_with(running(n, _sum), n, lambda t, x: t - x))
+    own = own.withColumn("__starts", F.when(F.size("__cut") > 0, before))
+    own = own.withColumn(out, F.when(F.size("__cut") > 0, _spans(rules)).otherwise(F.expr(_NONE)))
+    return own.drop("__text", "__lines", "__index", "__starts", "__cut")
+
+
+def _piece(chunks: Column, begin: Column, end: Column) -> Column:
+    """Characters begin to end of a text that is cut into chunks of CHUNK characters."""
+    i, j = F.floor(begin / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+    head = F.substring(F.get(chunks, i), begin - i * CHUNK + 1, F.lit(CHUNK))
+    tail = F.substring(F.get(chunks, j), F.lit(1), end - j * CHUNK)
+    within = F.substring(F.get(chunks, i), begin - i * CHUNK + 1, end - begin)
+    inner = F.when(j > i + 1, F.array_join(F.slice(chunks, F.greatest(i + 2, F.lit(1)), F.greatest(j - i - 1, F.lit(0))), "")).otherwise("")
+    return F.when(end <= begin, "").when(i == j, within).otherwise(F.concat(head, inner, tail))
 
 
 def spelled(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -220,10 +302,16 @@ def spelled(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, mask: str = MASK) -> DataFrame:
     """docs with secrets in the text masked (overlapping ones by one mask); other columns as they are."""
     own = find_secrets(docs, text, rules, "__secrets")
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    step = lambda a, s: F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), F.when(s["start"] < a["pos"], a["out"]).otherwise(F.concat(a["out"], F.substring(F.col(text), a["pos"] + 1, s["start"] - a["pos"]), F.lit(mask))).alias("out"))
-    done = lambda a: F.concat(a["out"], F.substring(F.col(text), a["pos"] + 1, F.length(text)))
-    new = F.when(F.size("__secrets") > 0, F.aggregate("__secrets", start, step, done)).otherwise(F.col(text))
+    chunks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    far = running(F.transform("__secrets", lambda s: s["end"]), F.greatest)
+
+    def masked(x: Column) -> Column:
+        spans, ends, parts = F.col("__secrets"), x["ends"], x["chunks"]
+        past = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+        kept = F.transform(spans, lambda s, i: F.when(s["start"] >= past(i), F.concat(_piece(parts, past(i), s["start"]), F.lit(mask))))  # overlapping ones: null, not joined
+        return F.concat(F.array_join(kept, ""), _piece(parts, F.get(ends, F.size(ends) - 1), F.length(F.col(text))))
+
+    new = F.when(F.size("__secrets") > 0, _let(F.struct(far.alias("ends"), chunks.alias("chunks")), masked)).otherwise(F.col(text))
     return own.withColumn("__new", new).select(*[F.col("__new").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -228,6 +229,29 @@ def test_secrets_equal_brute_force(spark):
     assert sec.find_secrets(docs.limit(0)).count() == 0 and sec.redact(docs).columns == docs.columns
 
 
+def test_time_in_proportion_to_matches(spark):
+    """Offsets and masks are no sums over all matches before: those of 40,000 would take minutes."""
+
+    def took(text: str) -> float:
+        docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+        began = time.perf_counter()
+        n = sec.find_secrets(docs).select(sec.F.size("secrets").alias("n")).collect()[0]["n"]
+        left = sec.redact(docs).collect()[0]["text"]
+        assert n == text.count("dead") and left == re.sub("[0-9a-f]{24,}", sec.MASK, text)
+        return time.perf_counter() - began
+
+    one = took("deadbeef" * 4)
+    for between in ("\n", " x "):
+        assert took(between.join(f"deadbeef{i:024x}" for i in range(40_000))) < 2 * one + 15
+
+
+def test_running_totals(spark):
+    a = spark.sql("SELECT transform(sequence(1, 700), i -> i * 37 % 101) AS a, array(5) AS b, array_remove(array(1), 1) AS c")
+    for name in "abc":
+        x, total, least = a.select(name, sec.running(sec.F.col(name), sec._sum), sec.running(sec.F.col(name), sec.F.least, 1)).first()
+        assert total == [sum(x[: i + 1]) for i in range(len(x))] and least == [min(x[i:]) for i in range(len(x))]
+
+
 def test_whole_private_keys(spark):
     rng = random.Random(6)
     line = lambda n: "".join(rng.choice("ABCDxyz0189+/") for _ in range(n))
