@@ -1,26 +1,26 @@
 """Token counts by overlap resynchronisation.
 
-A huge text is cut into overlapping chunks. Each chunk is encoded by the tokenizers library with
-offsets; two neighbours are spliced at a boundary inside their overlap that is proven stable: the
-text has ASCII white space there, and both encodings have the same tokens from there to the next
-such place. White space is dropped by the tokenizer, no token and no normalisation spans it, so
-what follows such a place is encoded alike whatever came before. If an overlap has no such place,
-it is doubled, in the end to the whole rest of the text.
-
-Texts up to CHUNK characters are encoded piece by piece between white space (the same stable
-places), with a bounded memory of pieces seen before. ASCII letters count in lower case there, as
-the vocabulary folds case, and a full stop or comma behind letters as the one token it is.
+Every text longer than CHUNK characters is cut into overlapping chunks, which the tokenizers library
+encodes with offsets, those of many texts together. Two neighbours are spliced at a boundary inside
+their overlap that is proven stable: in both encodings a word (a piece of the tokenizer's own first
+split) begins there, and it and the next word have the same places and ids. The first split runs from
+left to right and words are encoded one by one, so from a common beginning of a word on both go on
+alike; the last WORDS words of the left chunk and the first one of the right, which the cut may have
+changed, prove nothing. If an overlap has no such place, it is doubled, in the end to the whole left
+chunk, which then becomes one chunk with the right one. So a text without a split at all is encoded
+in one piece: right in any case, but a single word of millions of characters costs some doublings.
+Nothing is assumed about the vocabulary; texts up to CHUNK characters are one chunk.
 
 Edge cases: null counts as empty (0 bytes, 0 tokens). Special strings inside texts become special
-tokens, as is the library's default. Repeated rows give repeated results; long texts cost one
-chunk of memory at a time beside the text itself.
+tokens, as is the library's default. Repeated rows give repeated results; long texts cost GROUP
+chunks of memory at a time beside the text itself.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,20 +29,14 @@ from postlake.llm.common import map_text, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Texts of more characters are cut into chunks of so many; neighbours share OVERLAP at first.
-CHUNK = 65_536
-OVERLAP = 256
+CHUNK = 4096
+OVERLAP = 128
+#: Words at the end of a chunk that its cut may have changed.
+WORDS = 2
+#: Characters that are encoded together.
+GROUP = 500_000
 #: A document of more tokens is over the limit.
 LIMIT = 2048
-#: Pieces remembered in a Python worker, each of PIECE characters at most.
-MEMORY = 1_000_000
-PIECE = 64
-#: White space that no token, merge or normalisation of the vocabulary crosses.
-STABLE = re.compile("[ \t\n\r]+")
-
-#: White space of str.split() that the vocabulary doesn't know as such.
-ODD = "\x1c\x1d\x1e\x1f"
-#: Marks that are a token of their own behind letters at the end of a piece.
-ENDS = ".,"
 
 FIELDS = [("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())]
 
@@ -64,75 +58,147 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _tokens(tokenizer, text: str, begin: int, end: int) -> list[tuple[int, int, int]]:
-    """(start, end, id) of the tokens of text[begin:end]; offsets are those of the whole text."""
-    e = tokenizer.encode(text[begin:end], add_special_tokens=False)
-    return [(a + begin, b + begin, i) for (a, b), i in zip(e.offsets, e.ids, strict=True)]
+class Part(NamedTuple):
+    """An encoded chunk text[begin:end]; its tokens count from number first, which begins at place at."""
+
+    begin: int
+    end: int
+    encoded: object
+    first: int
+    at: int
+
+
+def words(part: Part, begin: int, end: int) -> list[tuple[int, int, int, tuple[int, ...]]]:
+    """(place, end, number of the first token, ids) of the words of a part whose tokens start in text[begin:end]."""
+    e, shift = part.encoded, part.begin
+    n = len(e)
+    k = None
+    for place in range(max(begin - shift, 0), min(end, part.end) - shift):
+        k = e.char_to_token(place)
+        if k is not None:
+            break
+    if k is None:
+        return []
+    ids = e.ids
+    out: list[tuple[int, int, int, list[int]]] = []
+    last = object()
+    while k < n:
+        a, b = e.token_to_chars(k)
+        if a + shift >= end:
+            break
+        word = e.token_to_word(k)
+        if word is not None and word == last and out:
+            out[-1][3].append(ids[k])
+            out[-1] = (out[-1][0], b + shift, *out[-1][2:])
+        else:
+            out.append((a + shift, b + shift, k, [ids[k]]))
+        last = word
+        k += 1
+    return [(a, b, k, tuple(i)) for a, b, k, i in out]
+
+
+def splice(left: Part, right: Part, final: bool) -> tuple[int, int, int] | None:
+    """(token of left, token of right, place) where two parts that share text[right.begin:left.end]
+    may be joined, None if there is none; final: the left part ends with the text."""
+    a = words(left, max(right.begin, left.at), left.end)
+    a = a if final else a[: len(a) - WORDS]
+    b = {w[0]: (i, w) for i, w in enumerate(words(right, right.begin, left.end)[1:])}
+    order = [w for _, w in sorted(b.values())]
+    for x, y in zip(a, a[1:], strict=False):
+        if x[0] < right.begin or x[0] not in b:
+            continue
+        i, w = b[x[0]]
+        if i + 1 < len(order) and (x[1], x[3]) == (w[1], w[3]) and (y[0], y[1], y[3]) == (order[i + 1][0], order[i + 1][1], order[i + 1][3]):
+            return x[2], w[2], x[0]
+    return None
 
 
-def splice_at(text: str, left: list, right: list, begin: int, end: int) -> int | None:
-    """Where two encodings that share text[begin:end] may be joined: a place p after white space
-    such that both have the same tokens from p to the next white space, None if there is none."""
-    starts = [m.end() for m in STABLE.finditer(text, begin, end)]
-    for p, q in zip(starts, starts[1:], strict=False):
-        a = [t for t in left if p <= t[0] < q]
-        if a and a == [t for t in right if p <= t[0] < q]:
-            return p
-    return None
+class Splicer:
+    """Joins the parts of one text; emit(encoding, begin, end) gets the tokens that are settled."""
 
+    def __init__(self, text: str, encode: Callable[[str], object], emit: Callable[[object, int, int], None], chunk: int, overlap: int) -> None:
+        self.text, self.encode, self.emit, self.chunk, self.overlap = text, encode, emit, chunk, overlap
+        self.left: Part | None = None
 
-def encode_long(text: str, tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Ids of a whole text, from overlapping chunks."""
-    ids: list[int] = []
-    begin, end = 0, min(len(text), chunk)
-    left = _tokens(tokenizer, text, begin, end)
-    while end < len(text):
-        share = overlap
+    def plan(self) -> Iterator[tuple[int, int]]:
+        """Begin and end of each chunk."""
+        begin, n = 0, len(self.text)
+        while True:
+            end = min(n, begin + self.chunk)
+            yield begin, end
+            if end >= n:
+                return
+            begin = end - min(self.overlap, self.chunk // 2)
+
+    def feed(self, begin: int, end: int, encoded) -> None:
+        right = Part(begin, end, encoded, 0, begin)
+        left = self.left
+        if left is None:
+            self.left = right
+            return
+        share = left.end - begin
         while True:
-            share = min(share, end - begin)
-            start = end - share
-            stop = min(len(text), start + max(chunk, 2 * share))
-            right = _tokens(tokenizer, text, start, stop)
-            at = splice_at(text, [t for t in left if t[0] >= start], [t for t in right if t[0] < end], start, end)
-            if at is not None:
-                ids += [i for a, _, i in left if a < at]
-                left = [t for t in right if t[0] >= at]
-                begin, end = at, stop
-                break
-            if share == end - begin:  # nothing to hold on to: the left chunk itself is widened
-                end = min(len(text), begin + 2 * (end - begin))
-                left = _tokens(tokenizer, text, begin, end)
-                break
+            if found := splice(left, right, left.end == len(self.text)):
+                i, j, at = found
+                self.emit(left.encoded, left.first, i)
+                self.left = Part(right.begin, right.end, right.encoded, j, at)
+                return
             share *= 2
-    return ids + [i for _, _, i in left]
+            if share >= left.end - left.at:  # nothing to hold on to: both become one
+                self.left = Part(left.at, end, self.encode(self.text[left.at : end]), 0, left.at)
+                return
+            right = Part(left.end - share, end, self.encode(self.text[left.end - share : end]), 0, left.end - share)
 
+    def close(self) -> None:
+        self.emit(self.left.encoded, self.left.first, len(self.left.encoded))
 
-def pieces(text: str) -> list[str]:
-    """The parts of a text between white space, each of which is encoded alike wherever it stands."""
-    return [p for p in STABLE.split(text) if p] if any(c in text for c in ODD) else text.split()
+
+def encode_long(text: str, tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Ids of a whole text, from overlapping chunks."""
+    ids: list[int] = []
+    encode = lambda x: tokenizer.encode(x, add_special_tokens=False)
+    own = Splicer(text, encode, lambda e, i, j: ids.extend(e.ids[i:j]), chunk, overlap)
+    for begin, end in own.plan():
+        own.feed(begin, end, encode(text[begin:end]))
+    own.close()
+    return ids
+
+
+def _groups(owns: list[Splicer], most: int) -> Iterator[list[tuple[int, int, int]]]:
+    """(text, begin, end) of the chunks of all texts, in order, in groups of most characters."""
+    out, size = [], 0
+    for t, own in enumerate(owns):
+        for begin, end in own.plan():
+            if out and size + end - begin > most:
+                yield out
+                out, size = [], 0
+            out.append((t, begin, end))
+            size += end - begin
+    if out:
+        yield out
 
 
 def counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP, limit: int = LIMIT) -> Callable[[], Callable[[list], list]]:
     def make():
         tokenizer = load(path)
-        known: dict[str, int] = {}
+        encode = lambda x: tokenizer.encode(x, add_special_tokens=False)
 
         def count(texts: list) -> list:
-            split = [None if x is not None and len(x) > chunk else pieces(x or "") for x in texts]
-            seen = set().union(*(p for p in split if p))
-            if len(known) > MEMORY:
-                known.clear()
-            fresh = list(seen.difference(known))
-            plain = {p: q.lower() for p in fresh if p.isascii() and (q := p[:-1] if p[-1] in ENDS else p).isalpha()}
-            wanted = [p for p in dict.fromkeys(plain.get(p, p) for p in fresh) if p not in known]
-            known.update(zip(wanted, (len(e.ids) for e in tokenizer.encode_batch(wanted, add_special_tokens=False)), strict=True))
-            for p, q in plain.items():
-                known[p] = known[q] + (len(q) < len(p))
-            n = [sum(map(known.__getitem__, p)) if p is not None else len(encode_long(x, tokenizer, chunk, overlap)) for x, p in zip(texts, split, strict=True)]
-            for p in fresh:
-                if len(p) > PIECE:
-                    known.pop(p, None)
-                    known.pop(plain.get(p), None)
+            n = [0] * len(texts)
+
+            def counting(t: int):
+                def emit(_, i: int, j: int) -> None:
+                    n[t] += j - i
+
+                return emit
+
+            owns = [Splicer(x or "", encode, counting(t), chunk, overlap) for t, x in enumerate(texts)]
+            for group in _groups(owns, GROUP):
+                made = tokenizer.encode_batch([owns[t].text[a:b] for t, a, b in group], add_special_tokens=False)
+                for (t, a, b), e in zip(group, made, strict=True):
+                    owns[t].feed(a, b, e)
+                    if b == len(owns[t].text):
+                        owns[t].close()
             size = [len(x.encode("utf-8", "surrogatepass")) if x else 0 for x in texts]
             return [size, n, [k > limit for k in n]]
 
