@@ -1,10 +1,14 @@
 """Quality scores from a linear-chain conditional random field over the lines of a text.
 
 Every line that has a word is good (1) or bad (0). The field scores a line by its own features,
-those of its neighbours, and the label of the line before. It is trained on documents with a
-quality label, each line taking that of its document, by maximum likelihood with a gradient from
-forward-backward. A document's score is the mean of the marginal of "good" over its lines,
-weighted by their lengths.
+those of its neighbours, and the label of the line before. Only documents are labelled, so the labels
+of lines are latent: a document's label holds for most of its lines, not for all. First a model of
+single lines (own features only) is fitted to the labels of their documents, both weighing the same; a line that it finds
+bad in a good document, or good in a bad one, by a margin, changes sides, but a bad
+document keeps its worst line. The field is then trained on these labels by maximum likelihood, with a
+gradient from forward-backward. A document's aggregate is the mean of the marginal of "good" over its
+lines, weighted by their lengths; its score is a logistic function of the aggregate, fitted to the
+documents' labels, as a bad document may have many good lines.
 
 Training takes at most MAX_DOCUMENTS labelled documents, those with the smallest hash of the id,
 each with all its lines, as long as they have MAX_LINES lines each on average (one document may have
@@ -13,14 +17,16 @@ Labels of documents whose crc32 of the id modulo FOLDS is 0 are never read. Lang
 ids are no features.
 
 Edge cases: null counts as empty; a text without words is scored as one empty line. Without any
-labelled document all scores are 0.5. Repeated labels of one id: the largest counts. Rows with a
-null id count as held out.
+labelled document all scores are 0.5. Repeated labels of one id: the largest counts. Of several texts
+of a labelled id that of the smallest features is trained on. Rows with a null id count as held out.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,8 @@ MAX_DOCUMENTS = 4000
 MAX_LINES = 60
 #: Steps and rate of the optimiser (Adam), and the weight of the squared norm.
 STEPS, RATE, RIDGE = 200, 0.4, 1e-5
+#: A line changes sides in a good document below the first of these, in a bad one above the second.
+SURELY_BAD, SURELY_GOOD = 0.3, 0.7
 
 OWN = ("bias", "length", "symbols", "marks", "capitals", "digits", "bars", "word_length", "few_words", "repeated_words", "repeated_line", "same_word")
 #: Features that are also taken from the line before and the line after (0 beyond the edge).
@@ -73,9 +81,9 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(flat) > 2:
         key = mix(mix(mix(flat[:-2] + np.uint64(1)) ^ flat[1:-1]) ^ flat[2:])
         key = (doc[:-2] << np.uint64(48)) | (key >> np.uint64(16))
-        same = doc[:-2] == doc[2:]
-        _, where, n = np.unique(key, return_inverse=True, return_counts=True)
-        again[:-2] = same & (n[where] > 1)
+        within = np.flatnonzero(doc[:-2] == doc[2:])
+        _, where, n = np.unique(key[within], return_inverse=True, return_counts=True)
+        again[within] = n[where] > 1
     repeated = np.bincount(line, again, minlength=len(starts))
     whole: dict = {}
     lines = b"\n".join(coded).split(b"\n")
@@ -145,30 +153,85 @@ def marginals(x: np.ndarray, of: np.ndarray, weights: np.ndarray, pairs: np.ndar
     return good, joint.sum(axis=0), float(z.sum())
 
 
-def train(x: np.ndarray, of: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and label-pair scores that maximise the likelihood of the lines' labels."""
-    theta = np.zeros(x.shape[1] + 4)
-    if not len(x):
-        return theta[:-4], theta[-4:].reshape(2, 2)
-    mean, var = np.zeros_like(theta), np.zeros_like(theta)
-    inner = np.append(False, of[1:] == of[:-1])
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (label[np.flatnonzero(inner) - 1], label[inner]), 1)
-    docs = len(np.unique(of))
+class Model(NamedTuple):
+    """Weights of the features, scores of label pairs, slope and intercept of the score."""
+
+    weights: np.ndarray
+    pairs: np.ndarray
+    slope: float
+    intercept: float
+
+
+def _ascend(gradient: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Where a concave function, less the ridge, is largest (Adam from 0)."""
+    theta, mean, var = np.zeros(size), np.zeros(size), np.zeros(size)
     for step in range(1, STEPS + 1):
-        good, expected, _ = marginals(x, of, theta[:-4], theta[-4:].reshape(2, 2))
-        grad = np.append(x.T @ (label - good), (seen - expected).ravel()) / docs - RIDGE * theta
+        grad = gradient(theta) - RIDGE * theta
         mean = 0.9 * mean + 0.1 * grad
         var = 0.99 * var + 0.01 * grad**2
         theta = theta + RATE * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
-    return theta[:-4], theta[-4:].reshape(2, 2)
+    return theta
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def line_labels(x: np.ndarray, of: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Labels of lines from those of their documents (one for each line)."""
+    own = x[:, : len(OWN)]
+    share = np.bincount(label, minlength=2)
+    even = len(label) / (2 * np.maximum(share, 1))[label]  # both labels weigh the same
+    weights = _ascend(lambda theta: own.T @ (even * (label - _logistic(own @ theta))) / len(own), own.shape[1])
+    good = _logistic(own @ weights)
+    out = label.copy()
+    out[(label == 1) & (good < SURELY_BAD)] = 0
+    worst = np.zeros(len(of), bool)
+    order = np.lexsort((good, of))
+    worst[order[np.append(True, of[order][1:] != of[order][:-1])]] = True
+    out[(label == 0) & (good > SURELY_GOOD) & ~worst] = 1
+    return out
+
 
+def aggregate(x: np.ndarray, of: np.ndarray, length: np.ndarray, weights: np.ndarray, pairs: np.ndarray, n: int) -> np.ndarray:
+    """Length-weighted mean marginal of each of n documents."""
+    good, _, _ = marginals(x, of, weights, pairs)
+    return np.bincount(of, good * length, minlength=n) / np.bincount(of, length, minlength=n)
 
-def scores(texts: list, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Length-weighted mean marginal of each text."""
+
+def train(x: np.ndarray, of: np.ndarray, length: np.ndarray, label: np.ndarray) -> Model:
+    """The model of documents' labels (one for each line; documents are numbered from 0)."""
+    if not len(x):
+        return Model(np.zeros(x.shape[1]), np.zeros((2, 2)), 0.0, 0.0)
+    lines = line_labels(x, of, label)
+    inner = np.append(False, of[1:] == of[:-1])
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (lines[np.flatnonzero(inner) - 1], lines[inner]), 1)
+    docs = int(of[-1]) + 1
+
+    def gradient(theta: np.ndarray) -> np.ndarray:
+        good, expected, _ = marginals(x, of, theta[:-4], theta[-4:].reshape(2, 2))
+        return np.append(x.T @ (lines - good), (seen - expected).ravel()) / docs
+
+    theta = _ascend(gradient, x.shape[1] + 4)
+    weights, pairs = theta[:-4], theta[-4:].reshape(2, 2)
+    seen_as = np.stack([aggregate(x, of, length, weights, pairs, docs), np.ones(docs)], axis=1)
+    truth = np.zeros(docs)
+    truth[of] = label
+    slope, intercept = _ascend(lambda t: seen_as.T @ (truth - _logistic(seen_as @ t)) / docs, 2)
+    return Model(weights, pairs, max(float(slope), 0.0), float(intercept))
+
+
+def scores(texts: list, model: Model) -> np.ndarray:
+    """Score of each text."""
     x, of, length = features(texts)
-    good, _, _ = marginals(x, of, *model)
-    return np.clip(np.bincount(of, good * length, minlength=len(texts)) / np.bincount(of, length, minlength=len(texts)), 0.0, 1.0)
+    return _logistic(model.slope * aggregate(x, of, length, model.weights, model.pairs, len(texts)) + model.intercept)
+
+
+def line_marginals(text: str, model: Model) -> np.ndarray:
+    """Probability of "good" of each line with words."""
+    x, of, _ = features([text])
+    return marginals(x, of, model.weights, model.pairs)[0]
 
 
 def held_out(doc: str = "doc_id"):
@@ -176,7 +239,7 @@ def held_out(doc: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc).cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality", most: int = MAX_DOCUMENTS) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality", most: int = MAX_DOCUMENTS) -> Model:
     """The model, from a bounded sample of labelled documents; features are made on the executors."""
     chosen = labels.where(~held_out(doc) & F.col(label).isNotNull()).groupBy(doc).agg(F.max(label).alias("label"))
     chosen = chosen.orderBy(F.xxhash64(doc), doc).limit(most).withColumnRenamed(doc, "of")
@@ -184,27 +247,28 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
 
     def make():
         def run(texts: list) -> list:
-            x, of, _ = features(texts)
-            return [[part.tobytes() for part in np.split(x, np.searchsorted(of, np.arange(1, len(texts))))]]
+            x, of, length = features(texts)
+            rows = np.column_stack([x, length])
+            return [[part.tobytes() for part in np.split(rows, np.searchsorted(of, np.arange(1, len(texts))))]]
 
         return run
 
-    rows = map_text(own, text, make, [("x", pa.binary())]).select("of", "label", "x").dropDuplicates(["of"]).orderBy(F.xxhash64("of"), "of")
+    rows = map_text(own, text, make, [("x", pa.binary())]).groupBy("of").agg(F.min(F.struct("label", "x")).alias("r")).select("of", "r.*").orderBy(F.xxhash64("of"), "of")
     kept, lines = [], 0
     for r in rows.toLocalIterator():
-        part = np.frombuffer(r["x"]).reshape(-1, SIZE)
+        part = np.frombuffer(r["x"]).reshape(-1, SIZE + 1)
         lines += len(part)
         if kept and lines > MAX_DOCUMENTS * MAX_LINES:
             break
         kept.append((r["of"], int(r["label"]), part))
     kept.sort(key=lambda r: r[0])
     parts = [part for _, _, part in kept]
-    x = np.concatenate(parts) if parts else np.zeros((0, SIZE))
+    x = np.concatenate(parts) if parts else np.zeros((0, SIZE + 1))
     n = [len(p) for p in parts]
-    return train(x, np.repeat(np.arange(len(parts)), n), np.repeat([k for _, k, _ in kept], n).astype(np.int64))
+    return train(x[:, :-1], np.repeat(np.arange(len(parts)), n), x[:, -1], np.repeat([k for _, k, _ in kept], n).astype(np.int64))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", cut: float = CUT) -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:
     """docs with score and predicted."""
     own = map_text(docs, text, lambda: lambda x: [scores(x, model)], [("score", pa.float64())])
     return own.withColumn("predicted", (F.col("score") >= cut).cast("int"))

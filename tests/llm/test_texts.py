@@ -202,6 +202,24 @@ def test_classifier_learns_from_late_lines(spark):
     assert low < crf.CUT < high, (low, high)
 
 
+def test_lines_of_one_document_differ(spark):
+    """A good document with a block of junk gets both labels, though every label is one of a whole document."""
+    rng = random.Random(11)
+    fine = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(10)) + "."
+    junk = lambda: " ".join(rng.choice(["$$$", "###", "!!!", "|||", "CLICK"]) for _ in range(10))
+    rows = [(i, "\n".join(fine() if i % 4 or rng.random() < 0.3 else junk() for _ in range(rng.randint(5, 30)))) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in rows], "doc_id long, quality int")
+    model = crf.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    kinds = [fine] * 20 + [junk] * 6 + [fine] * 20
+    text = "\n".join(k() for k in kinds)
+    assert [x > 0.5 for x in crf.line_marginals(text, model)] == [k is fine for k in kinds]
+    assert crf.scores([text], model)[0] > crf.CUT > crf.scores(["\n".join(junk() for _ in range(9))], model)[0]
+    # a repeated id: the same model whatever the order
+    twice = [*rows, *((i, t.upper()) for i, t in rows)]
+    a, b = (crf.fit(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((twice, 3), (twice[::-1], 5)))
+    assert (a.weights == b.weights).all() and (a.pairs == b.pairs).all()
+
+
 # secrets
 
 
