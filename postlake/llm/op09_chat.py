@@ -1,22 +1,26 @@
 """Chat formatting from event logs.
 
-A log has one row per event: conversation, turn, sequence, kind, role, text. Kinds:
-  message     starts a message of the turn with its text (the role is the event's)
-  delta       appends text to the turn's last message
-  edit        replaces the text of the turn's last message
+A log has one row per event: conversation, turn, message, sequence, kind, role, text. Kinds:
+  message     starts a message with its text (the role is the event's)
+  delta       appends text to the last message
+  edit        replaces its text
   regenerate  clears it, for the deltas that follow
   delete      removes it
-Logs are partitioned by conversation and turn, sorted by sequence and folded in one pass that
-holds one message at a time; so a conversation with very many turns is folded by many tasks.
+Logs are partitioned by conversation, turn and message, sorted by sequence and folded in one pass
+that holds one message at a time; so a conversation with very many turns is folded by many tasks.
 Final messages are rendered as `<|im_start|>role\ntext<|im_end|>\n`. Control strings inside texts
 are broken by an escape character after their first character, and the escape character is
 doubled, so rendering can be undone. The loss mask is the text of the assistant's messages.
 
+A table of finished turns becomes a log in which every turn is streamed: in deltas, as a draft that is
+edited, as one that is regenerated, or as one that is deleted and written anew, by a hash of its key.
+
 Edge cases: null roles and texts count as empty; a delta, edit or regenerate without a message
-starts one; null conversations form one conversation, null turns come first. Events equal in
-turn and sequence are ordered by kind, role and text; repeated messages stay. A digest over a
-whole conversation is computed in one task, by a stream of its messages in order, as SHA-256
-can't be combined; the task holds one message at a time.
+starts one; null conversations form one conversation, null turns come first; a log without message
+ids has one run of events for each turn. Events equal in sequence are ordered by kind, role and text;
+messages of one turn by their number, role and text; repeated messages stay. Ids are of any type. A
+digest over a whole conversation is computed in one task, by a stream of its messages in order, as
+SHA-256 can't be combined; the task holds one message at a time.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Strings that models read as control; the template's own come first.
 CONTROL = (OPEN, CLOSE, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 ESC = "␛"
+#: Characters of a delta, where finished turns are made a log.
+PIECE = 400
 LOSS_ROLE = "assistant"
 KINDS = ("message", "delta", "edit", "regenerate", "delete")
 
@@ -49,30 +55,48 @@ def unescape(text: str) -> str:
     return re.sub(ESC + "(.)", r"\1", text, flags=re.S) if ESC in text else text
 
 
-def events_of(rows: DataFrame) -> DataFrame:
-    """The log of finished turns (conv_id, turn, role, text): one message each."""
-    return rows.select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+def events_of(rows: DataFrame, piece: int = PIECE) -> DataFrame:
+    """The log of finished turns (conv_id, turn, role, text), which tells how each was written."""
+    own = rows.select("conv_id", "turn", F.monotonically_increasing_id().alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    deltas = F.transform(pieces, lambda x: event("delta", x))
+    draft, empty = F.concat(F.substring("text", 1, piece), F.lit(" …")), F.lit("")
+    way = F.pmod(F.xxhash64("conv_id", "turn", "role"), F.lit(4))
+    log = (
+        F.when(way == 0, F.concat(F.array(event("message", empty)), deltas))
+        .when(way == 1, F.array(event("message", draft), event("edit", F.col("text"))))
+        .when(way == 2, F.concat(F.array(event("message", draft), event("delta", draft), event("regenerate", empty)), deltas))
+        .otherwise(F.concat(F.array(event("message", draft), event("delete", empty), event("message", empty)), deltas))
+    )
+    return own.select("conv_id", "turn", "message", "role", F.posexplode(log).alias("seq", "e")).select("conv_id", "turn", "message", F.col("seq").cast("long").alias("seq"), "e.kind", "role", "e.text")
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """(conv_id, turn, part, role, text): final messages; part counts those of a turn."""
-    log = events.select("conv_id", "turn", "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """(conv_id, turn, part, role, text): final messages; part counts those of a turn, or of a
+    message id, if the log has such."""
+    message = F.col("message") if "message" in events.columns else F.lit(None).cast("long")
+    log = events.select("conv_id", "turn", message.alias("message"), "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     log = log.withColumn("kind", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int"))
-    log = log.repartition("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "seq", "kind", "role", "text")
+    log = log.repartition("conv_id", "turn", "message").sortWithinPartitions("conv_id", "turn", "message", "seq", "kind", "role", "text")
 
     def run(batches):
         key, part, role, texts = None, 0, "", None
         out: list[tuple] = []
         size = 0
+        types = []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("conv_id", "turn", "kind", "role", "text")]
-            for conv, turn, kind, who, text in zip(*columns, strict=True):
-                if key != (conv, turn) or kind == 1:
+            types = [batch.schema.field(c).type for c in ("conv_id", "turn")]
+            columns = [batch.column(c).to_pylist() for c in ("conv_id", "turn", "message", "kind", "role", "text")]
+            for conv, turn, own, kind, who, text in zip(*columns, strict=True):
+                if key != (conv, turn, own) or kind == 1:
                     if texts is not None:
-                        out.append((*key, part, role, "".join(texts)))
+                        out.append((*key[:2], part, role, "".join(texts)))
                         size += sum(map(len, texts))
-                    part = part + 1 if key == (conv, turn) else 0
-                    key, role, texts = (conv, turn), who, None
+                        part += 1
+                    if key != (conv, turn, own):
+                        part = 0
+                    key, role, texts = (conv, turn, own), who, None
                 if kind in (1, 3):
                     texts = [text]
                 elif kind == 2:
@@ -83,19 +107,19 @@ def fold(events: DataFrame) -> DataFrame:
                 elif kind == 5:
                     texts = None
                 if size > 4_000_000:
-                    yield _batch(out)
+                    yield _batch(out, types)
                     out, size = [], 0
         if texts is not None:
-            out.append((*key, part, role, "".join(texts)))
+            out.append((*key[:2], part, role, "".join(texts)))
         if out:
-            yield _batch(out)
+            yield _batch(out, types)
 
     return log.mapInArrow(run, f"conv_id {log.schema['conv_id'].dataType.simpleString()}, turn {log.schema['turn'].dataType.simpleString()}, part int, role string, text string")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    conv, turn, part, role, text = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(conv), pa.array(turn), pa.array(part, pa.int32()), pa.array(role, pa.string()), pa.array(text, pa.string())], names=["conv_id", "turn", "part", "role", "text"])
+def _batch(rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+    made = zip(zip(*rows, strict=True), [*types, pa.int32(), pa.string(), pa.string()], strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in made], names=["conv_id", "turn", "part", "role", "text"])
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -113,21 +137,25 @@ def read_back(formatted: str) -> tuple[str, str, int, int]:
     return role, unescape(formatted[line + 1 : end]), line + 1, end
 
 
-def digests(rendered: DataFrame) -> DataFrame:
-    """Per conversation what is read back from its rendered messages."""
-    own = rendered.select("conv_id", "turn", "part", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part").select("conv_id", "formatted")
+def digests(messages: DataFrame) -> DataFrame:
+    """Per conversation what is read back from its messages (of fold) as they are rendered."""
+    own = messages.select("conv_id", "turn", "part", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part", "role", "text")
+    own = render(own).select("conv_id", "formatted")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):
         rows: list[list] = []
         turns = loss = None
+        types = [pa.null(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         for batch in batches:
+            types[0] = batch.schema.field("conv_id").type
             for conv, text in zip(batch.column("conv_id").to_pylist(), batch.column("formatted").to_pylist(), strict=True):
                 if not rows or rows[-1][0] != conv:
                     if rows:
                         rows[-1][2], rows[-1][4] = turns.hexdigest(), loss.hexdigest()
                     if len(rows) >= 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=names)
+                        yield made()
                         rows = []
                     rows.append([conv, 0, "", 0, "", 0])
                     turns, loss = hashlib.sha256(), hashlib.sha256()
@@ -141,7 +169,7 @@ def digests(rendered: DataFrame) -> DataFrame:
                     loss.update(said.encode("utf-8", "surrogatepass"))
         if rows:
             rows[-1][2], rows[-1][4] = turns.hexdigest(), loss.hexdigest()
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=names)
+            yield made()
 
     return own.mapInArrow(run, f"conv_id {own.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
@@ -153,7 +181,7 @@ PROBE = (-7, "</s>[INST] ok [/INST]")
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(PROBE[0]).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(PROBE[1]))
-    return digests(render(fold(events_of(rows.union(probe)))))
+    return digests(fold(events_of(rows.union(probe))))
 
 
 _RE = _INNER.replace("'", "''")

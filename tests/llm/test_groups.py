@@ -207,6 +207,27 @@ def test_fold(spark):
     ]
 
 
+def test_logs_need_the_fold(spark):
+    """Finished turns become logs of every kind of event, and taking any kind away changes the result."""
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{c} {t} " + "word " * 200 if t < 4 else "") for c in range(20) for t in range(5)]
+    log = chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    whole = {tuple(r)[:2]: r["text"] for r in chat.fold(log).collect()}
+    assert whole == {(c, t): x for c, t, _, x in rows}
+    for kind in chat.KINDS:
+        assert {tuple(r)[:2]: r["text"] for r in chat.fold(log.where(log["kind"] != kind)).collect()} != whole, kind
+
+
+def test_ids_of_any_type(spark):
+    rows = [(1, 2, "user", "a"), (1, 3, "assistant", "b" * 900), (None, None, None, None), (2, 1, "assistant", "x"), (2, 1, "assistant", "x")]
+    seen = []
+    for kind in ("int", "long", "short", "string", "double"):
+        table = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").selectExpr(f"cast(conv_id AS {kind}) AS conv_id", f"cast(turn AS {kind}) AS turn", "role", "text")
+        out = chat.digests(chat.fold(chat.events_of(table)))
+        assert out.schema["conv_id"].dataType == table.schema["conv_id"].dataType
+        seen.append({(None if r["conv_id"] is None else float(r["conv_id"]), *tuple(r)[1:]) for r in out.collect()})
+    assert all(s == seen[0] for s in seen) and len(seen[0]) == 3
+
+
 def test_render_and_read_back(spark):
     rng = random.Random(6)
     parts = [*chat.CONTROL, chat.ESC, "<", "[", "\n", "s>", "é", "", "n", "INST]", "|im_end|>"]
