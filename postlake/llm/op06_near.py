@@ -16,9 +16,9 @@ similarity is THRESHOLD or more; a class is a connected component. A pair at the
 no band with probability 6e-5.
 
 Equal texts are one node from the start (128-bit digest) and need no verification. Counts and
-extremes are combined before every shuffle; joins on hot keys are plain shuffled joins, which
-Spark splits. Texts are shuffled only if their digest is in a bitmap of the wanted ones, of a
-fixed size. Nothing else is collected but counts.
+extremes are combined before every shuffle; rows of hot digests, buckets and classes are not shuffled
+by them (see _with). Texts are shuffled only if their digest is in a bitmap of the wanted ones, whose
+size follows their number up to a bound. Nothing else is collected but counts.
 
 Edge cases: a null text is alone in its class; texts without words are linked to equal texts only. A null id
 gets the class of its text, whose name is the smallest id there (null if there is none). Rows
@@ -52,8 +52,12 @@ REGISTERS = BANDS * ROWS
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 FIELDS = [("digest", pa.binary()), ("bands", pa.list_(pa.int64()))]
-#: Bits of the bitmap of wanted digests that each task gets (2 MB).
-BITS = 24
+#: A key with more than one HOT-th of all rows is hot; so there are HOT of them at most.
+HOT = 2000
+#: The bitmap of wanted digests that each task gets has BITS_EACH bits for each, rounded up to a power of
+#: two, of 2 ** FEWEST_BITS to 2 ** MOST_BITS bits (16 MB). Beyond some 10 ** 8 wanted digests it is full,
+#: and all texts are shuffled; a cluster with the memory for it may raise MOST_BITS (32: 512 MB).
+BITS_EACH, FEWEST_BITS, MOST_BITS = 8, 16, 27
 #: Slots of the table of shingle frequencies that each task gets (8 MB).
 SLOTS = 20
 
@@ -179,13 +183,20 @@ def _digest(texts: list) -> list:
     return [[None if x is None else xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in texts]]
 
 
+def _bits(n: int) -> int:
+    """The power of two of the bits of a bitmap of n digests."""
+    return min(max((max(n, 1) * BITS_EACH - 1).bit_length(), FEWEST_BITS), MOST_BITS)
+
+
 def _bitmap(digests: DataFrame) -> np.ndarray:
-    """A bitmap of 2 ** BITS bits with those of the column digest set; its size does not depend on their number."""
-    bit = F.conv(F.substring(F.hex("digest"), 1, BITS // 4), 16, 10).cast("long")
-    words = digests.select((bit / 32).cast("long").alias("w"), (bit % 32).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v"))
-    out = np.zeros(1 << (BITS - 5), np.uint32)
-    for r in words.toLocalIterator():
-        out[r["w"]] = r["v"]
+    """A bitmap with the bits of the column digest (a written table) set, of a size by their number."""
+    bits = _bits(digests.count())
+    bit = F.shiftrightunsigned(F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long"), 32 - bits)
+    words = digests.select(F.shiftright(bit, 5).alias("w"), (bit % 32).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v"))
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    for r in words.groupBy(F.shiftright("w", 10).alias("block")).agg(F.collect_list(F.struct("w", "v")).alias("words")).toLocalIterator():  # 1024 words at most
+        for w, v in r["words"]:
+            out[w] = v
     return out
 
 
@@ -197,19 +208,39 @@ def _marked(docs: DataFrame, text: str, bits: np.ndarray, inside: bool, digest:
 
 def _looked_up(texts: list, bits: np.ndarray) -> list:
     digests = _digest(texts)[0]
-    at = [0 if d is None else int.from_bytes(d[:4], "big") >> (32 - BITS) for d in digests]
+    shift = 32 - (len(bits) * 32 - 1).bit_length()
+    at = [0 if d is None else int.from_bytes(d[:4], "big") >> shift for d in digests]
     return [digests, [d is not None and bool(bits[k >> 5] >> np.uint32(k & 31) & 1) for d, k in zip(digests, at, strict=True)]]
 
 
 def _texts(source: DataFrame, need: DataFrame) -> DataFrame:
-    """(digest, text) of the needed digests, once each."""
+    """(digest, text) of the needed digests (a written table), once each."""
     own = _marked(source.select("text").where("text IS NOT NULL"), "text", _bitmap(need), True, "own")
     return stored(own.join(need, own["own"] == need["digest"], "left_semi").groupBy("own").agg(F.first("text").alias("text")).withColumnRenamed("own", "digest"))
 
 
+def _with(rows: DataFrame, key: str, table: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with a written table that has one row a key, and n, the rows of the key.
+
+    Rows of hot keys, those with more than total / HOT of total rows, stay where they are: what the
+    table says of these HOT keys at most is broadcast. The others are shuffled, and null keys match nothing.
+    """
+    more = [c for c in table.columns if c not in (key, "n")]
+    named = table.select(F.col(key).alias("__key"), *more, "n")
+    hot = F.broadcast(named.where(F.col("n") * HOT > total).drop("n"))
+    here = rows.join(hot, rows[key] == hot["__key"], "inner").drop("__key")
+    mark = F.broadcast(named.where(F.col("n") * HOT > total).select(F.col("__key").alias("__hot")))
+    rest = rows.where(F.col(key).isNotNull()).join(mark, rows[key] == mark["__hot"], "left_anti")
+    other = named.where(F.col("n") * HOT <= total).drop("n")
+    out = here.unionByName(rest.join(other, rest[key] == other["__key"], how).drop("__key"))
+    if how == "left":
+        out = out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+    return out
+
+
 def _links(source: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
     """Verified pairs, written to the shared folder."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    need = stored(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
     return stored(_verified(pairs, _texts(source, need), size, threshold))
 
 
@@ -275,7 +306,7 @@ def _across(source: DataFrame, shared: DataFrame, label: DataFrame, size: int, t
     open_ = stored(named.join(open_, "key").select("digest", "label").distinct())
     if open_.isEmpty():
         return open_.select(F.col("digest").alias("a"), F.col("digest").alias("b"))
-    texts = _texts(source, open_.select("digest"))
+    texts = _texts(source, stored(open_.select("digest").distinct()))
     rows = stored(_prefixes(texts, _frequencies(texts, size), size, threshold).join(open_, "digest"))
     # without those that no text which has the shingle could match
     best = rows.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("w").alias("low_w"), F.min(F.expr("o / w")).alias("low_x"), F.min("p").alias("all_p"))
@@ -292,12 +323,15 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int
     class, first marks its row (each of them, if it is repeated)."""
     source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     sketches = stored(map_text(source, "text", lambda: lambda x: sketch(x, size, bands, rows), FIELDS).drop("text"))
-    nodes = stored(sketches.where("digest IS NOT NULL").groupBy("digest").agg(F.first("bands").alias("bands")))
+    total = sketches.count()
+    nodes = stored(sketches.where("digest IS NOT NULL").groupBy("digest").agg(F.first("bands").alias("bands"), F.count("*").alias("n")))
     band = nodes.select("digest", F.explode("bands").alias("key"))
-    shared = stored(band.join(band.groupBy("key").count().where("count > 1"), "key"))
+    buckets = stored(band.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("count")).where("n > 1"))
+    shared = stored(_with(band, "key", buckets, total * bands))
     central = shared.groupBy("digest").agg(F.sum("count").alias("met")).withColumnRenamed("digest", "d")
-    ranked = shared.join(central, shared["digest"] == central["d"]).select("key", F.struct("met", "digest").alias("rank"))
-    star = ranked.join(ranked.groupBy("key").agg(F.max("rank").alias("top")), "key").where("rank <> top")
+    ranked = stored(shared.join(central, shared["digest"] == central["d"]).select("key", F.struct("met", "digest").alias("rank")))
+    tops = stored(ranked.groupBy("key").agg(F.max("rank").alias("top"), F.count("*").alias("n")))
+    star = _with(ranked, "key", tops, total * bands).where("rank <> top")
     star = stored(star.select(F.least("rank.digest", "top.digest").alias("a"), F.greatest("rank.digest", "top.digest").alias("b")).distinct())
     links = _links(source, star, size, threshold)
     label = stored(components(links))
@@ -307,11 +341,13 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int
         more = _links(source, rest, size, threshold)
         if not more.isEmpty():
             label = stored(components(links.union(more)))
-    one = sketches.select("doc", "digest").join(label, sketches["digest"] == label["node"], "left").select("doc", "digest", F.coalesce("label", "digest").alias("label"))
-    name = one.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "digest")).alias("top")).withColumnRenamed("label", "of")
+    labels = stored(nodes.select("digest", "n").join(label, nodes["digest"] == label["node"], "left").select("digest", "n", F.coalesce("label", "digest").alias("label")))
+    one = stored(_with(sketches.select("doc", "digest"), "digest", labels, total, "left"))
+    firsts = one.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "digest")).alias("top"), F.count("*").alias("n"))
+    named = _with(one, "label", stored(firsts), total, "left")
     alone = F.col("label").isNull()
     first = alone | (F.col("doc").eqNullSafe(F.col("top.doc")) & (F.col("digest") == F.col("top.digest")))
-    return one.join(name, one["label"] == name["of"], "left").select("doc", "digest", F.when(alone, F.col("doc")).otherwise(F.col("top.doc")).alias("class_id"), first.alias("first"))
+    return named.select("doc", "digest", F.when(alone, F.col("doc")).otherwise(F.col("top.doc")).alias("class_id"), first.alias("first"))
 
 
 def one_each(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,7 +358,7 @@ def one_each(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     others are shuffled to the list of the first rows.
     """
     found = stored(classes(docs, doc, text).where("digest IS NOT NULL").groupBy("doc", "digest").agg(F.min("first").alias("first"), F.count("*").alias("n")))
-    bits = _bitmap(found.where("NOT first OR n > 1").select("digest"))
+    bits = _bitmap(stored(found.where("NOT first OR n > 1").select("digest")))
     keep = found.where("first").select("doc", "digest")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     doubtful = _marked(docs, text, bits, True).dropDuplicates([doc, "__digest"])
