@@ -17,7 +17,7 @@ no band with probability 6e-5.
 
 Equal texts are one node from the start (128-bit digest) and need no verification. Counts and
 extremes are combined before every shuffle; rows of hot digests, buckets and classes are not shuffled
-by them (see _with). Texts are shuffled only if their digest is in a bitmap of the wanted ones, whose
+by them (see hot_join). Texts are shuffled only if their digest is in a bitmap of the wanted ones, whose
 size follows their number up to a bound. Nothing else is collected but counts.
 
 Edge cases: a null text is alone in its class; texts without words are linked to equal texts only. A null id
@@ -219,7 +219,7 @@ def _texts(source: DataFrame, need: DataFrame) -> DataFrame:
     return stored(own.join(need, own["own"] == need["digest"], "left_semi").groupBy("own").agg(F.first("text").alias("text")).withColumnRenamed("own", "digest"))
 
 
-def _with(rows: DataFrame, key: str, table: DataFrame, total: int, how: str = "inner") -> DataFrame:
+def hot_join(rows: DataFrame, key: str, table: DataFrame, total: int, how: str = "inner") -> DataFrame:
     """rows joined (inner or left) with a written table that has one row a key, and n, the rows of the key.
 
     Rows of hot keys, those with more than total / HOT of total rows, stay where they are: what the
@@ -327,11 +327,11 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int
     nodes = stored(sketches.where("digest IS NOT NULL").groupBy("digest").agg(F.first("bands").alias("bands"), F.count("*").alias("n")))
     band = nodes.select("digest", F.explode("bands").alias("key"))
     buckets = stored(band.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("count")).where("n > 1"))
-    shared = stored(_with(band, "key", buckets, total * bands))
+    shared = stored(hot_join(band, "key", buckets, total * bands))
     central = shared.groupBy("digest").agg(F.sum("count").alias("met")).withColumnRenamed("digest", "d")
     ranked = stored(shared.join(central, shared["digest"] == central["d"]).select("key", F.struct("met", "digest").alias("rank")))
     tops = stored(ranked.groupBy("key").agg(F.max("rank").alias("top"), F.count("*").alias("n")))
-    star = _with(ranked, "key", tops, total * bands).where("rank <> top")
+    star = hot_join(ranked, "key", tops, total * bands).where("rank <> top")
     star = stored(star.select(F.least("rank.digest", "top.digest").alias("a"), F.greatest("rank.digest", "top.digest").alias("b")).distinct())
     links = _links(source, star, size, threshold)
     label = stored(components(links))
@@ -342,9 +342,9 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int
         if not more.isEmpty():
             label = stored(components(links.union(more)))
     labels = stored(nodes.select("digest", "n").join(label, nodes["digest"] == label["node"], "left").select("digest", "n", F.coalesce("label", "digest").alias("label")))
-    one = stored(_with(sketches.select("doc", "digest"), "digest", labels, total, "left"))
+    one = stored(hot_join(sketches.select("doc", "digest"), "digest", labels, total, "left"))
     firsts = one.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "digest")).alias("top"), F.count("*").alias("n"))
-    named = _with(one, "label", stored(firsts), total, "left")
+    named = hot_join(one, "label", stored(firsts), total, "left")
     alone = F.col("label").isNull()
     first = alone | (F.col("doc").eqNullSafe(F.col("top.doc")) & (F.col("digest") == F.col("top.digest")))
     return named.select("doc", "digest", F.when(alone, F.col("doc")).otherwise(F.col("top.doc")).alias("class_id"), first.alias("first"))
