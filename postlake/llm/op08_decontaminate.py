@@ -6,9 +6,10 @@ window. The hashes of all windows are shipped to the executors with the plan as
 window of every document is looked up in it, and what is found is verified by joining on the
 words themselves. Only windows that hit leave their row, so texts are never shuffled.
 
-The set is broadcast only if the benchmark has MAX_SET distinct windows at most, which is counted
-first; beyond that all windows of the documents are joined with those of the benchmark by a
-shuffle, with the same result.
+Up to MAX_SET distinct windows, which are counted first, the hashes are literals of the plan and each
+window is tested in its row. More are broadcast as a table of hashes, in blocks of MAX_HASHES: every
+block scans the documents once, and what doesn't hit is dropped before any shuffle. The words (and
+ids of items) are joined to hits only, by broadcast if both are within MAX_SET. All ways give the same result.
 
 Edge cases: a null text has no words (0 words, no hits); a null item has no windows. Rows that
 repeat both id and text count as one document. An empty benchmark hits nothing. Items whose ids
@@ -22,12 +23,14 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm.common import table
+from postlake.llm.common import stored, table
 
 #: Words of a window.
 WINDOW = 10
 #: Most distinct windows (about 100 bytes each in an executor) that are broadcast.
 MAX_SET = 100_000
+#: Most hashes of windows in a broadcast table (8 bytes each, some 100 MB in an executor).
+MAX_HASHES = 4_000_000
 #: Fixed value of the contract: what separates words, after A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -59,38 +62,67 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", win
     return w.groupBy("n", "key").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _found(w: str, sizes: list[int], hashes: dict[int, list[int]] | None) -> Column:
-    """Array of (i, n, key) of the windows of the array column w that are in the hash sets, or of all."""
+def _found(w: str, sizes: list[int], hashes: dict[int, list[int]]) -> Column:
+    """Array of (i, n, key) of the windows of the array column w that are in the hash sets."""
     parts = []
     for n in sizes:
-        test = "true" if hashes is None else f"xxhash64(slice({w}, i, {n})) IN ({', '.join(f'{h}L' for h in hashes[n])})"
-        at = f"CASE WHEN size({w}) >= {n} THEN filter(sequence(1, size({w}) - {n} + 1), i -> {test}) ELSE array() END"
+        at = f"CASE WHEN size({w}) >= {n} THEN filter(sequence(1, size({w}) - {n} + 1), i -> xxhash64(slice({w}, i, {n})) IN ({', '.join(f'{h}L' for h in hashes[n])})) ELSE array() END"
         parts.append(f"transform({at}, i -> named_struct('i', i, 'n', {n}, 'key', array_join(slice({w}, i, {n}), ' ')))")
     return F.expr(f"concat({', '.join(parts)})" if parts else "cast(array() as array<struct<i:int,n:int,key:string>>)")
 
 
 def _sets(win: DataFrame, max_set: int) -> tuple[list[int], dict[int, list[int]] | None, bool]:
-    """Sizes of the windows, and their hashes by size if there are max_set at most."""
-    count = {r["n"]: r["count"] for r in win.groupBy("n").count().collect()}
+    """Sizes of the windows, their hashes by size if there are max_set at most, and whether the ids of
+    their items are that few, too."""
+    count = {r["n"]: (r["count"], r["ids"]) for r in win.groupBy("n").agg(F.count("*").alias("count"), F.sum(F.size("items")).alias("ids")).collect()}
     sizes = sorted(count)
-    if sum(count.values()) > max_set:
+    small = sum(ids for _, ids in count.values()) <= max_set
+    if sum(n for n, _ in count.values()) > max_set:
         return sizes, None, False
     hashes: dict[int, list[int]] = {n: [] for n in sizes}
-    for r in win.select("n", F.xxhash64(F.split("key", " ")).alias("h")).collect():  # max_set rows at most
+    for r in win.select("n", _hash("key").alias("h")).collect():  # max_set rows at most
         hashes[r["n"]].append(r["h"])
-    return sizes, hashes, True
+    return sizes, hashes, small
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
+def _hash(key: str) -> Column:
+    return F.xxhash64(F.split(key, " "))
+
+
+def _hits(d: DataFrame, win: DataFrame, sizes: list[int], max_hashes: int) -> DataFrame:
+    """d (with the words w, and what names a row) by window that is in the benchmark: i, n, key and items
+    instead of w. The hashes of the benchmark's windows are broadcast, in as many blocks as it takes."""
+    win = stored(win)
+    own = [c for c in d.columns if c != "w"]
+    looks = [f"transform(CASE WHEN size(w) >= {n} THEN sequence(1, size(w) - {n} + 1) ELSE array() END, i -> named_struct('i', i, 'n', {n}, 'h', xxhash64(slice(w, i, {n})), 'key', array_join(slice(w, i, {n}), ' ')))" for n in sizes]
+    rows = d.select(*own, F.explode(F.expr(f"concat({', '.join(looks)})")).alias("f")).select(*own, "f.*")
+    hashes = stored(win.select(_hash("key").alias("wh")).distinct())
+    blocks = -(-hashes.count() // max_hashes)
+    out = None
+    for b in range(blocks):
+        part = rows.join(F.broadcast(hashes.where(F.pmod("wh", F.lit(blocks)) == b)), F.col("h") == F.col("wh"), "left_semi").drop("h")
+        out = part if out is None else out.union(part)
+    own_win = win.select(F.col("n").alias("wn"), F.col("key").alias("wk"), "items")
+    return out.join(own_win, (F.col("n") == F.col("wn")) & (F.col("key") == F.col("wk"))).drop("wn")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_set: int = MAX_SET, max_hashes: int = MAX_HASHES) -> DataFrame:
     """One row per distinct (id, text): doc, text_hash, n_words, n_hit, n_items, items, contaminated."""
     win = windows(benchmark, item, item_text, window)
     sizes, hashes, small = _sets(win, max_set)
     d = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("text_hash"), words(text).alias("w"))
-    d = d.select("doc", "text_hash", F.size("w").cast("long").alias("n_words"), _found("w", sizes, hashes).alias("found"))
-    d = d.select("doc", "text_hash", "n_words", F.explode_outer("found").alias("f")).select("doc", "text_hash", "n_words", "f.i", "f.n", "f.key")
-    own = win.select(F.col("n").alias("wn"), F.col("key").alias("wk"), "items")
-    hit = d.join(F.broadcast(own) if small else own, (F.col("n") == F.col("wn")) & (F.col("key") == F.col("wk")), "left")
-    per = hit.groupBy("doc", "text_hash", "n_words").agg(
+    if small or not sizes:
+        d = d.select("doc", "text_hash", F.size("w").cast("long").alias("n_words"), _found("w", sizes, hashes or {}).alias("found"))
+        d = d.select("doc", "text_hash", "n_words", F.explode_outer("found").alias("f")).select("doc", "text_hash", "n_words", "f.i", "f.n", "f.key")
+        own = win.select(F.col("n").alias("wn"), F.col("key").alias("wk"), "items")
+        hit = d.join(F.broadcast(own), (F.col("n") == F.col("wn")) & (F.col("key") == F.col("wk")), "left")
+    else:
+        rows = d.select("doc", "text_hash", F.size("w").cast("long").alias("n_words"))
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("i", "int"), ("n", "int"), ("wk", "string"), ("items", "array<string>"))]
+        hit = _hits(d, win, sizes, max_hashes)
+        hit = hit.select("doc", "text_hash", F.lit(None).cast("long").alias("n_words"), "i", "n", "wk", "items").unionByName(rows.select("*", *none))
+    per = hit.groupBy("doc", "text_hash").agg(
+        F.max("n_words").alias("n_words"),
         F.collect_set(F.when(F.col("wk").isNotNull(), F.struct("i", "n"))).alias("at"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
@@ -98,22 +130,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str =
     return per.select(F.col("doc").alias(doc), "text_hash", "n_words", F.size(at).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.size("at") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_set: int = MAX_SET, max_hashes: int = MAX_HASHES) -> DataFrame:
     """The rows of docs without any benchmark window, all columns as they are."""
     win = windows(benchmark, item, item_text, window)
-    sizes, hashes, small = _sets(win, max_set)
+    sizes, hashes, _ = _sets(win, max_set)
     if not sizes:
         return docs
-    if small:
+    if hashes is not None:
         keys: dict[int, list[str]] = {n: [] for n in sizes}
         for r in win.select("n", "key").collect():  # max_set rows at most
             keys[r["n"]].append(r["key"])
         # the words are bound as a variable, so that a filter, wherever it moves, makes them once a row
         looks = [f"exists(filter(CASE WHEN size(w) >= {n} THEN sequence(1, size(w) - {n} + 1) ELSE array() END, i -> xxhash64(slice(w, i, {n})) IN ({', '.join(f'{h}L' for h in hashes[n])})), i -> array_join(slice(w, i, {n}), ' ') IN ({', '.join(quoted(k) for k in keys[n])}))" for n in sizes]
         return docs.where(F.expr(f"NOT exists(array({words_sql(f'`{text}`')}), w -> {' OR '.join(looks)})"))
-    d = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("t"), words(text).alias("w"))
-    d = d.select("h", F.md5("t").alias("m"), F.explode(_found("w", sizes, None)).alias("f"))
-    bad = d.join(win, (F.col("f.n") == F.col("n")) & (F.col("f.key") == F.col("key")), "left_semi").select("m").distinct()
+    d = docs.select(F.md5(text).alias("m"), words(text).alias("w"))
+    bad = _hits(d, win, sizes, max_hashes).select("m").distinct()
     return docs.join(bad, F.md5(docs[text]) == bad["m"], "left_anti")
 
 

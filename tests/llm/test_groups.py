@@ -209,10 +209,11 @@ def test_decontamination(spark):
     docs += [(60, "grÖße äö"), (61, "GRÖßE ÄÖ, 1/2")]
     frame = spark.createDataFrame([(i, t, "own") for i, t in docs], "doc_id long, text string, items string")
     want = brute_scan(docs, items)
-    for most in (dec.MAX_SET, 3):  # by broadcast set, and by shuffle
-        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], ",".join(r["items"])) for r in dec.scan(frame, bench, max_set=most).collect()}
-        assert got == want
-        kept = dec.clean(frame, bench, max_set=most)
+    for most, block in ((dec.MAX_SET, 1), (3, dec.MAX_HASHES), (3, 20)):  # in the plan, as a broadcast table, in blocks of one
+        rows = dec.scan(frame, bench, max_set=most, max_hashes=block).collect()
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], ",".join(r["items"])) for r in rows}
+        assert got == want and len(rows) == len(docs)
+        kept = dec.clean(frame, bench, max_set=most, max_hashes=block)
         assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {i for i, x in want.items() if not x[1]}
     assert any(x[1] for x in want.values()) and not all(x[1] for x in want.values())
     assert dec.scan(frame.limit(0), bench).count() == 0
