@@ -23,12 +23,12 @@ VIEWS = {
       c_custkey % 23 = 0 AS no_own_career_page, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP_NTZ '2024-01-20 00:00:00' ELSE TIMESTAMP_NTZ '2024-01-02 00:00:00' END AS first_seen_at,
       CASE WHEN c_custkey % 13 = 0 THEN DATE '2024-01-10' END AS terminated_on, CASE WHEN c_custkey % 29 = 0 THEN TIMESTAMP_NTZ '2024-03-01 00:00:00' END AS loss_postponed_until FROM customer""",
     "company_check": """SELECT c_custkey AS company_id, CASE c_custkey % 3 WHEN 0 THEN 'CONNECTED' WHEN 1 THEN 'NO_CAREER_PAGE' ELSE 'UNREACHABLE' END AS result,
-      CASE WHEN c_custkey % 7 = 0 THEN TIMESTAMP_NTZ '2024-01-30 00:00:00' ELSE TIMESTAMP_NTZ '2024-01-05 00:00:00' END AS first_checked_at FROM customer WHERE c_custkey % 4 <> 0""",
+      CASE WHEN c_custkey % 7 = 0 THEN TIMESTAMP_NTZ '2024-01-30 00:00:00' ELSE TIMESTAMP_NTZ '2024-01-05 00:00:00' END AS first_checked_at FROM customer WHERE c_acctbal > 500""",
     "source": """SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 0 THEN 'GREENHOUSE' WHEN 1 THEN 'WORKDAY' WHEN 2 THEN 'PORTAL' WHEN 3 THEN 'PROFESIA' ELSE 'PERSONIO' END AS provider,
       CASE s_suppkey % 4 WHEN 0 THEN 'SK' WHEN 1 THEN 'CZ' END AS country, CASE s_suppkey % 6 WHEN 0 THEN 'UNAVAILABLE' WHEN 1 THEN 'TEMP_FAILING' ELSE 'OK' END AS availability,
       TIMESTAMP_NTZ '2024-01-03 00:00:00' AS created_at, CASE WHEN s_suppkey % 11 = 0 THEN TIMESTAMP_NTZ '2024-01-09 00:00:00' END AS closed_at FROM supplier""",
     "company_source": """SELECT DISTINCT o_custkey AS company_id, l_suppkey AS source_id, CASE (o_custkey + l_suppkey) % 5 WHEN 0 THEN 'GROUP' WHEN 1 THEN 'AGENCY' ELSE 'EMPLOYER' END AS role
-      FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderkey % 9 = 0""",
+      FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_quantity <= 6""",
     "company_site": """SELECT p_partkey AS id, 1 + p_partkey % 1500 AS company_id, CASE p_partkey % 3 WHEN 0 THEN 'FOUND' WHEN 1 THEN 'CANDIDATE' ELSE 'REJECTED' END AS status, p_brand AS proof,
       CASE p_size % 7 WHEN 0 THEN 'SOURCE_FOUND' WHEN 1 THEN 'FORMAT_UNSUPPORTED' WHEN 2 THEN 'PORTAL_ONLY' WHEN 3 THEN 'NO_CAREER_PAGE' WHEN 4 THEN 'UNREACHABLE' WHEN 5 THEN 'USE_FORBIDDEN' END AS check_result,
       TIMESTAMP_NTZ '2024-01-06 00:00:00' AS found_at, CASE WHEN p_size % 8 <> 0 THEN TIMESTAMP_NTZ '2024-01-07 00:00:00' END AS checked_at FROM part""",
@@ -42,17 +42,17 @@ VIEWS = {
     "job_posting": """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS vacancy_id, l_suppkey AS source_id, 'profesia:' || (10000 + l_partkey) AS external_id, 'Title ' || (l_partkey % 40) || CASE WHEN l_linenumber = 2 THEN ' (m/z)' ELSE '' END AS title,
       CASE WHEN l_returnflag = 'R' THEN TIMESTAMP_NTZ '2024-01-08 00:00:00' END AS closed_at, CASE WHEN l_quantity > 40 THEN 'G' || (l_partkey % 6) END AS occupation_code, CASE WHEN l_quantity < 5 THEN 'G' || (l_partkey % 6) END AS title_occupation_code FROM lineitem""",
     "position": "SELECT p_size AS id, 'P' || p_size AS code, 'G' || (p_size % 6) AS occupation_code FROM part GROUP BY p_size",
-    "vacancy_position_match": "SELECT DISTINCT l_orderkey AS vacancy_id, p_size AS position_id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND l_orderkey % 2 = 0",
+    "vacancy_position_match": "SELECT DISTINCT l_orderkey AS vacancy_id, p_size AS position_id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND l_returnflag <> 'A'",
     "condition": "SELECT n_nationkey AS id, n_regionkey AS user_id, CASE n_nationkey % 3 WHEN 0 THEN ARR('SK') WHEN 1 THEN ARR('CZ', 'DE') ELSE ARR('SK', 'CZ') END AS countries, CASE n_nationkey % 4 WHEN 0 THEN 'REMOTE' WHEN 1 THEN 'OFFICE' END AS work_format FROM nation",
     "condition_position": "SELECT n_nationkey AS condition_id, 1 + n_nationkey * 2 AS position_id FROM nation",
     "condition_occupation": "SELECT n_nationkey AS condition_id, 'G' || (n_nationkey % 8) AS code FROM nation",
-    "offer_position": "SELECT 10000 + p_partkey AS num, 'G' || (p_size % 6) AS code FROM part WHERE p_partkey % 9 = 0",
-    "user_status": "SELECT o_custkey % 5 AS user_id, o_orderkey AS vacancy_id, CASE o_orderkey % 3 WHEN 0 THEN 'VIEWED' WHEN 1 THEN 'APPLIED' ELSE 'NOT_INTERESTED' END AS status FROM orders WHERE o_orderkey % 7 = 0",
-    "delivered": "SELECT o_orderkey % 25 AS condition_id, o_orderkey AS vacancy_id FROM orders WHERE o_orderkey % 4 < 2",
+    "offer_position": "SELECT 10000 + p_partkey AS num, 'G' || (p_size % 6) AS code FROM part WHERE p_size <= 6",
+    "user_status": "SELECT o_custkey % 5 AS user_id, o_orderkey AS vacancy_id, CASE o_orderkey % 3 WHEN 0 THEN 'VIEWED' WHEN 1 THEN 'APPLIED' ELSE 'NOT_INTERESTED' END AS status FROM orders WHERE o_orderpriority = '1-URGENT'",
+    "delivered": "SELECT o_orderkey % 25 AS condition_id, o_orderkey AS vacancy_id FROM orders WHERE o_totalprice > 200000",
     "crawl_run": """SELECT event_id AS id, 1 + user_id % 100 AS source_id, ts AS started_at, ts AS finished_at, CASE event_type WHEN 'click' THEN 'COMPLETE' WHEN 'view' THEN 'COMPLETE' WHEN 'error' THEN 'FAILED' ELSE 'PARTIAL' END AS state,
       CASE event_type WHEN 'error' THEN 'TIMEOUT' WHEN 'signup' THEN 'PAGE_LIMIT' ELSE 'COUNT_DROP' END AS reason FROM events""",
     "task": "SELECT event_id AS id, event_type AS type, CASE WHEN value > 50 THEN 'FAILED' ELSE 'DONE' END AS state, ts AS updated_at FROM events",
-    "benchmark_company": "SELECT r AS rank, CASE WHEN r % 5 = 0 THEN NULL ELSE r END AS company_id FROM (SELECT c_custkey AS r FROM customer WHERE c_custkey % 3 = 0) x",
+    "benchmark_company": "SELECT r AS rank, CASE WHEN r % 5 = 0 THEN NULL ELSE r END AS company_id FROM (SELECT c_custkey AS r FROM customer WHERE c_mktsegment = 'BUILDING') x",
 }
 
 

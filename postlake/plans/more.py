@@ -43,7 +43,6 @@ both("f16_country_filter", "SELECT s_suppkey FROM supplier JOIN nation ON n_nati
 both("j01_inner", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 100000")
 both("j02_left", "SELECT n_name, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name")
 both("j12_parameters", "SELECT o_orderkey FROM orders CROSS JOIN (SELECT CAST(150000 AS DOUBLE) AS floor) p WHERE o_totalprice > p.floor")
-both("j17_employers_of_posting", "SELECT DISTINCT id, company FROM (SELECT j.id, cs.company_id AS company FROM job_posting j JOIN company_source cs ON cs.source_id = j.source_id AND cs.role = 'EMPLOYER' WHERE j.id % 7 = 0 UNION ALL SELECT j.id, 1 + o.num % 100 AS company FROM job_posting j JOIN offer_position o ON j.external_id = 'profesia:' || o.num WHERE j.id % 7 = 0) x")
 both("g03_count_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag")
 both("g06_max_filter", "SELECT o_custkey, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS last_done FROM orders GROUP BY o_custkey")
 both("g07_min_max_sum", "SELECT l_suppkey, min(l_shipdate) AS first, max(l_shipdate) AS last, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY l_suppkey".replace("sum(CAST(l_quantity AS BIGINT))", "CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT)"))
@@ -246,7 +245,6 @@ def p18(t):
 
 
 both("p19_country_code_in_list", "SELECT n_nationkey, regexp_extract(n_name || ', x, SK', '([A-Z]{2})$', 1) AS code FROM nation")
-both("v03_pending_examples", "SELECT vec_id FROM embeddings e WHERE vec_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.vec_id)")
 
 
 @R.add("v04_answer_cache", "SELECT l_orderkey, l_linenumber, c.code FROM lineitem JOIN (SELECT p_partkey, min(p_brand) AS code FROM part WHERE p_size < 10 GROUP BY p_partkey) c ON c.p_partkey = l_partkey WHERE l_quantity > 45")
@@ -258,15 +256,6 @@ def v04(t):
 # merges and repairs
 
 
-@R.add("b09_strong_signal", """SELECT n.k, arg_min(o.v, CAST(o.signal AS VARCHAR) || lpad(CAST(o.v AS VARCHAR), 12, '0')) AS v FROM (SELECT o_orderkey AS k, o_custkey AS a, o_orderkey % 97 AS b FROM orders WHERE o_orderkey % 10 = 0) n JOIN
-  (SELECT c_custkey AS v, 1 AS signal, c_custkey AS a, NULL AS b FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT p_partkey, 2, NULL, p_partkey FROM part WHERE p_partkey < 97) o ON o.a = n.a OR o.b = n.b GROUP BY n.k""")
-def b09(t):
-    n = t("orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 97).alias("b"))
-    first = n.join(t("customer").where("c_custkey % 2 = 0"), F.col("a") == F.col("c_custkey")).select("k", F.lit(1).alias("signal"), F.col("c_custkey").alias("v"))
-    second = n.join(t("part").where("p_partkey < 97"), F.col("b") == F.col("p_partkey")).select("k", F.lit(2).alias("signal"), F.col("p_partkey").alias("v"))
-    return first.union(second).groupBy("k").agg(F.min_by("v", F.struct("signal", "v")).alias("v"))
-
-
 @R.add("b11_replace_children", "SELECT s_suppkey AS k, s_nationkey AS parent FROM supplier WHERE s_nationkey % 2 = 0 UNION ALL SELECT s_suppkey + 1000, s_nationkey FROM supplier WHERE s_nationkey % 2 = 1 AND s_suppkey % 2 = 0")
 def b11(t):
     s = t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("parent"))
@@ -275,7 +264,6 @@ def b11(t):
     return merges.replace_children(s, fresh, parents, "parent")
 
 
-both("b10_title_and_place", "SELECT j.id, min(v.id) AS vacancy FROM job_posting j JOIN (SELECT id, 'Title ' || (id % 40) AS title FROM vacancy WHERE id % 50 = 0) v ON v.title = j.title WHERE j.id % 11 = 0 GROUP BY j.id")
 both("b13_dedupe_boards", "SELECT lower(p_brand) AS board, min(p_partkey) AS kept, count(*) AS n FROM part GROUP BY lower(p_brand)")
 both("b16_versioned_condition", "SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY id) AS version, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) = 1 AS active FROM (SELECT n_nationkey AS id, n_regionkey AS user_id FROM nation) x".replace("row_number() OVER (PARTITION BY user_id ORDER BY id) AS version", "CAST(row_number() OVER (PARTITION BY user_id ORDER BY id) AS BIGINT) AS version"))
 both("b17_version_bump", "SELECT count(*) AS stale FROM vacancy WHERE 'd' || (1 + id % 2) <> 'd' || (SELECT count(*) FROM position WHERE id < 3)")
@@ -295,13 +283,6 @@ both("r15_freshness_gate", "SELECT count(*) AS n FROM orders WHERE (SELECT max(t
 # named queries
 
 
-@R.add("q03_responses_by_group", "SELECT grp, count(*) AS n FROM (SELECT CASE WHEN s = 'REJECTED' OR c OR (s = 'APPLIED' AND d >= 42) THEN 'FINISHED' WHEN s = 'APPLIED' AND d >= 21 THEN 'SILENT' ELSE 'ACTIVE' END AS grp FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'APPLIED' WHEN 1 THEN 'INTERVIEW' WHEN 2 THEN 'REJECTED' ELSE 'APPLIED' END AS s, o_orderstatus = 'F' AS c, o_orderkey % 70 AS d FROM orders WHERE o_orderkey % 3 = 0)) GROUP BY grp")
-def q03(t):
-    k = F.col("o_orderkey")
-    s = F.when(k % 4 == 1, "INTERVIEW").when(k % 4 == 2, "REJECTED").otherwise("APPLIED")
-    return t("orders").where("o_orderkey % 3 = 0").groupBy(lifecycle.response_group(s, F.col("o_orderstatus") == "F", k % 70).alias("grp")).agg(F.count("*").alias("n"))
-
-
 both("q04_details_accessible", "SELECT v.id, v.title, s.status FROM vacancy v LEFT JOIN user_status s ON s.vacancy_id = v.id AND s.user_id = 2 WHERE s.status IS NOT NULL OR EXISTS (SELECT 1 FROM delivered d JOIN condition c ON c.id = d.condition_id WHERE d.vacancy_id = v.id AND c.user_id = 2)")
 
 
@@ -312,12 +293,12 @@ def q11(t):
     return e.groupBy("metric").pivot("day", days).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@R.add("q12_unlinked_sources", duck(" SELECT s.id, (SELECT list(title ORDER BY title)[1:5] FROM (SELECT DISTINCT title FROM job_posting j WHERE j.source_id = s.id)) AS title FROM source s WHERE s.closed_at IS NULL AND s.id NOT IN (SELECT source_id FROM company_source WHERE company_id % 2 = 0) AND s.id IN (SELECT source_id FROM job_posting)"))
+@R.add("q12_unlinked_sources", duck(" SELECT s.id, (SELECT list(title ORDER BY title)[1:5] FROM (SELECT DISTINCT title FROM job_posting j WHERE j.source_id = s.id)) AS title FROM source s WHERE s.closed_at IS NULL AND s.id NOT IN (SELECT source_id FROM company_source WHERE role <> 'GROUP') AND s.id IN (SELECT source_id FROM job_posting)"))
 def q12(t):
     from postlake.operators.aggregates import first_values
 
     d = Domain(t)
-    free = d["source"].where("closed_at IS NULL").join(d["company_source"].where("company_id % 2 = 0"), F.col("id") == F.col("source_id"), "left_anti").select("id")
+    free = d["source"].where("closed_at IS NULL").join(d["company_source"].where("role <> 'GROUP'"), F.col("id") == F.col("source_id"), "left_anti").select("id")
     titles = d["job_posting"].select(F.col("source_id").alias("id"), "title").distinct().join(free, "id", "left_semi")
     return first_values(titles, "id", "title", "title", 5)
 
@@ -365,7 +346,7 @@ def q28(t):
     return s.groupBy("company_id").agg(F.min_by("id", F.struct(ranked(F.col("proof"), ["Brand#11", "Brand#22"]), "id")).alias("id"))
 
 
-both("q29_offers_per_employer", "SELECT employer, count(*) AS n FROM (SELECT o_custkey AS employer, o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0 UNION SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 = 0) x GROUP BY employer")
+both("q29_offers_per_employer", "SELECT employer, count(*) AS n FROM (SELECT o_custkey AS employer, o_orderkey AS k FROM orders WHERE o_totalprice > 100000 UNION SELECT o_custkey, o_orderkey FROM orders WHERE o_orderpriority < '3') x GROUP BY employer")
 
 
 @R.add("q30_boards_per_company", "SELECT c_custkey % 10 AS company, list_sort(list(DISTINCT 'GREENHOUSE:b' || c_custkey % 4)) AS boards FROM customer GROUP BY 1")
@@ -416,23 +397,23 @@ def p17(t):
     return cp.site_by_name(c)
 
 
-# the same over whole tables
+# of whole tables
 
-both("j17_employers_of_posting_whole", "SELECT DISTINCT id, company FROM (SELECT j.id, cs.company_id AS company FROM job_posting j JOIN company_source cs ON cs.source_id = j.source_id AND cs.role = 'EMPLOYER' UNION ALL SELECT j.id, 1 + o.num % 100 AS company FROM job_posting j JOIN offer_position o ON j.external_id = 'profesia:' || o.num) x")
-both("v03_pending_examples_whole", "SELECT vec_id FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.vec_id)")
-both("b10_title_and_place_whole", "SELECT j.id, v.vacancy FROM job_posting j JOIN (SELECT 'Title ' || (id % 40) AS title, min(id) AS vacancy FROM vacancy GROUP BY 'Title ' || (id % 40)) v ON v.title = j.title")
+both("j17_employers_of_posting", "SELECT DISTINCT id, company FROM (SELECT j.id, cs.company_id AS company FROM job_posting j JOIN company_source cs ON cs.source_id = j.source_id AND cs.role = 'EMPLOYER' UNION ALL SELECT j.id, 1 + o.num % 100 AS company FROM job_posting j JOIN offer_position o ON j.external_id = 'profesia:' || o.num) x")
+both("v03_pending_examples", "SELECT vec_id FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.vec_id)")
+both("b10_title_and_place", "SELECT j.id, v.vacancy FROM job_posting j JOIN (SELECT 'Title ' || (id % 40) AS title, min(id) AS vacancy FROM vacancy GROUP BY 'Title ' || (id % 40)) v ON v.title = j.title")
 
 
-@R.add("b09_strong_signal_whole", """SELECT k, arg_min(v, (signal, v)) AS v FROM (SELECT o_orderkey AS k, 1 AS signal, c_custkey AS v FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 UNION ALL SELECT o_orderkey, 2, p_partkey FROM orders JOIN part ON p_partkey = o_orderkey) GROUP BY k""")
-def b09_whole(t):
+@R.add("b09_strong_signal", """SELECT k, arg_min(v, (signal, v)) AS v FROM (SELECT o_orderkey AS k, 1 AS signal, c_custkey AS v FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 UNION ALL SELECT o_orderkey, 2, p_partkey FROM orders JOIN part ON p_partkey = o_orderkey) GROUP BY k""")
+def b09(t):
     n = t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a"))
     first = n.join(t("customer").where("c_acctbal > 0"), F.col("a") == F.col("c_custkey")).select("k", F.lit(1).alias("signal"), F.col("c_custkey").alias("v"))
     second = n.join(t("part"), F.col("k") == F.col("p_partkey")).select("k", F.lit(2).alias("signal"), F.col("p_partkey").alias("v"))
     return first.union(second).groupBy("k").agg(F.min_by("v", F.struct("signal", "v")).alias("v"))
 
 
-@R.add("q03_responses_by_group_whole", "SELECT CASE WHEN s = 'REJECTED' OR c OR (s = 'APPLIED' AND d >= 42) THEN 'FINISHED' WHEN s = 'APPLIED' AND d >= 21 THEN 'SILENT' ELSE 'ACTIVE' END AS grp, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 1 THEN 'INTERVIEW' WHEN 2 THEN 'REJECTED' ELSE 'APPLIED' END AS s, o_orderstatus = 'F' AS c, o_orderkey % 70 AS d FROM orders) GROUP BY grp")
-def q03_whole(t):
+@R.add("q03_responses_by_group", "SELECT CASE WHEN s = 'REJECTED' OR c OR (s = 'APPLIED' AND d >= 42) THEN 'FINISHED' WHEN s = 'APPLIED' AND d >= 21 THEN 'SILENT' ELSE 'ACTIVE' END AS grp, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 1 THEN 'INTERVIEW' WHEN 2 THEN 'REJECTED' ELSE 'APPLIED' END AS s, o_orderstatus = 'F' AS c, o_orderkey % 70 AS d FROM orders) GROUP BY grp")
+def q03(t):
     k = F.col("o_orderkey")
     s = F.when(k % 4 == 1, "INTERVIEW").when(k % 4 == 2, "REJECTED").otherwise("APPLIED")
     return t("orders").groupBy(lifecycle.response_group(s, F.col("o_orderstatus") == "F", k % 70).alias("grp")).agg(F.count("*").alias("n"))

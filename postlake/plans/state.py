@@ -12,14 +12,14 @@ from postlake.streaming import twins
 
 R = Registry()
 
-_OLD = "SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS seg, c_acctbal AS bal FROM customer WHERE c_custkey % 3 <> 0"
-_NEW = "SELECT c_custkey AS k, 'new ' || c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE lower(c_mktsegment) END AS seg, c_acctbal + 1 AS bal FROM customer WHERE c_custkey % 2 = 0"
+_OLD = "SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS seg, c_acctbal AS bal FROM customer WHERE c_acctbal > 500"
+_NEW = "SELECT c_custkey AS k, 'new ' || c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE lower(c_mktsegment) END AS seg, c_acctbal + 1 AS bal FROM customer WHERE c_mktsegment <> 'BUILDING'"
 
 
 def _sides(t):
     k = F.col("c_custkey")
-    old = t("customer").where(k % 3 != 0).select(k.alias("k"), F.col("c_name").alias("name"), F.when(k % 4 != 0, F.col("c_mktsegment")).alias("seg"), F.col("c_acctbal").alias("bal"))
-    new = t("customer").where(k % 2 == 0).select(k.alias("k"), F.concat(F.lit("new "), "c_name").alias("name"), F.when(k % 5 != 0, F.lower("c_mktsegment")).alias("seg"), (F.col("c_acctbal") + 1).alias("bal"))
+    old = t("customer").where("c_acctbal > 500").select(k.alias("k"), F.col("c_name").alias("name"), F.when(k % 4 != 0, F.col("c_mktsegment")).alias("seg"), F.col("c_acctbal").alias("bal"))
+    new = t("customer").where("c_mktsegment <> 'BUILDING'").select(k.alias("k"), F.concat(F.lit("new "), "c_name").alias("name"), F.when(k % 5 != 0, F.lower("c_mktsegment")).alias("seg"), (F.col("c_acctbal") + 1).alias("bal"))
     return old, new
 
 
@@ -57,8 +57,8 @@ def b06(t):
     return merges.collapse(t("orders").select("o_custkey", "o_orderpriority", "o_orderdate", "o_orderkey"), c.where("kept <> merged"), "o_custkey", ["o_orderpriority"], [F.col("o_orderdate"), F.col("o_orderkey")], ["o_orderdate", "o_orderkey"])
 
 
-_KNOWN = "SELECT o_custkey % 3 AS source_id, 'x' || o_orderkey AS external_id, o_orderkey % 4 AS missing, CASE WHEN o_orderkey % 7 = 0 THEN TIMESTAMP '2024-01-01' END AS closed_at FROM orders WHERE o_orderkey % 3 <> 0"
-_FETCHED = "SELECT o_custkey % 3 AS source_id, 'x' || o_orderkey AS external_id, CASE WHEN o_orderkey % 11 = 0 THEN 'ftp://x' ELSE 'https://h/x' END AS url FROM orders WHERE o_orderkey % 2 = 0"
+_KNOWN = "SELECT o_custkey % 3 AS source_id, 'x' || o_orderkey AS external_id, o_orderkey % 4 AS missing, CASE WHEN o_orderkey % 7 = 0 THEN TIMESTAMP '2024-01-01' END AS closed_at FROM orders WHERE o_orderstatus <> 'P'"
+_FETCHED = "SELECT o_custkey % 3 AS source_id, 'x' || o_orderkey AS external_id, CASE WHEN o_orderkey % 11 = 0 THEN 'ftp://x' ELSE 'https://h/x' END AS url FROM orders WHERE o_totalprice > 100000"
 _B08 = f"""WITH k AS ({_KNOWN}), f AS ({_FETCHED}), r AS (SELECT * FROM (VALUES (0, true, false), (1, false, false), (2, false, true)) v(source_id, complete, unrec)),
 x AS (SELECT coalesce(k.source_id, f.source_id) AS source_id, coalesce(k.external_id, f.external_id) AS external_id, k.external_id IS NOT NULL AS old, f.external_id IS NOT NULL AND starts_with(f.url, 'https') AS seen, f.external_id IS NULL AS unlisted, k.missing, k.closed_at
   FROM k FULL JOIN f ON k.source_id = f.source_id AND k.external_id = f.external_id),
@@ -72,8 +72,8 @@ SELECT source_id, event, count(*) AS n, sum(missing)::BIGINT AS missing FROM (SE
 def b08(t):
     k, none = F.col("o_orderkey"), F.lit(None).cast("string")
     x = t("orders").withColumns({"source_id": F.col("o_custkey") % 3, "external_id": F.concat(F.lit("x"), "o_orderkey"), "location": none, "content": none})
-    known = x.where(k % 3 != 0).select("source_id", "external_id", F.lit("t").alias("title"), F.lit("https://h/x").alias("url"), "location", "content", F.lit(True).alias("confirmed"), (k % 4).alias("missing"), F.when(k % 7 == 0, F.lit("2024-01-01").cast("timestamp_ntz")).alias("closed_at"))
-    fetched = x.where(k % 2 == 0).select("source_id", "external_id", F.lit("n").alias("title"), F.when(k % 11 == 0, "ftp://x").otherwise("https://h/x").alias("url"), "location", "content")
+    known = x.where("o_orderstatus <> 'P'").select("source_id", "external_id", F.lit("t").alias("title"), F.lit("https://h/x").alias("url"), "location", "content", F.lit(True).alias("confirmed"), (k % 4).alias("missing"), F.when(k % 7 == 0, F.lit("2024-01-01").cast("timestamp_ntz")).alias("closed_at"))
+    fetched = x.where("o_totalprice > 100000").select("source_id", "external_id", F.lit("n").alias("title"), F.when(k % 11 == 0, "ftp://x").otherwise("https://h/x").alias("url"), "location", "content")
     run = known.select("source_id").distinct().select("source_id", (F.col("source_id") == 0).alias("complete"), (F.col("source_id") == 2).alias("unrecognised"), F.lit("2024-02-01").cast("timestamp_ntz").alias("read_at"))
     return lifecycle.posting_merge(known, fetched, run).groupBy("source_id", "event").agg(F.count("*").alias("n"), F.sum("missing").alias("missing"))
 
@@ -104,33 +104,17 @@ def b18(t):
     return t("orders").select("o_orderkey", lifecycle.response_group(s, F.col("o_orderstatus") == "P", k % 60).alias("grp"))
 
 
-_EDGES = "SELECT DISTINCT least(p_partkey, q) AS a, greatest(p_partkey, q) AS b FROM (SELECT p_partkey, (p_partkey * 7) % 400 AS q FROM part WHERE p_partkey < 400 AND p_size % 3 = 0) WHERE p_partkey <> q"
-_J21 = f"""WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+#: The graph of _copies in SQL, and its components.
+_EDGES = """k AS (SELECT doc_id, unnest(['t:' || sha256(text), 'k:' || lower(split_part(text, chr(10), 1))]) AS key FROM documents WHERE text IS NOT NULL),
+e AS (SELECT DISTINCT a, doc_id AS b FROM k JOIN (SELECT key, min(doc_id) AS a FROM k GROUP BY key) f USING (key) WHERE a <> doc_id)"""
+_J21 = f"""WITH RECURSIVE {_EDGES}, u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
 c AS (SELECT x AS node, x AS label FROM u UNION SELECT c.node, u.y FROM c JOIN u ON u.x = c.label)
 SELECT node, min(label) AS label FROM c GROUP BY node"""
-
-
-def _edges(t):
-    p = t("part").where("p_partkey < 400 AND p_size % 3 = 0").select("p_partkey", ((F.col("p_partkey") * 7) % 400).alias("q")).where("p_partkey <> q")
-    return p.select(F.least("p_partkey", "q").alias("a"), F.greatest("p_partkey", "q").alias("b")).distinct()
-
-
-@R.add("j21_min_label_components", _J21)
-def j21(t):
-    return resolve.components(_edges(t))
-
-
-_Q18 = f"""WITH e AS ({_EDGES}), p AS (SELECT a, b, 1 + (a + b) % 6 AS rank FROM e UNION SELECT b, a, 1 + (a + b) % 6 FROM e),
+_Q18 = f"""WITH {_EDGES}, p AS (SELECT a, b, 1 + (a + b) % 6 AS rank FROM e UNION SELECT b, a, 1 + (a + b) % 6 FROM e),
 best AS (SELECT a AS merged, b AS kept, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b, rank) AS r FROM p WHERE b < a) WHERE r = 1)
 SELECT * FROM best WHERE merged NOT IN (SELECT kept FROM best)"""
 
 
-@R.add("q18_merge_batch", _Q18)
-def q18(t):
-    pairs = _edges(t).withColumn("rank", 1 + (F.col("a") + F.col("b")) % 6)
-    return resolve.keepers(pairs)
-
-
 def _copies(t):
     """Pairs (a, b) of all documents: each with the first one of the same text, and of the same first line but for case."""
     own = t("documents").select("doc_id", F.explode(F.array(F.concat(F.lit("t:"), F.sha2("text", 256)), F.concat(F.lit("k:"), F.lower(F.split_part("text", F.lit("\n"), F.lit(1)))))).alias("key")).where("key IS NOT NULL")
@@ -138,30 +122,30 @@ def _copies(t):
     return own.join(first, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
 
 
-@R.add("j21_min_label_components_whole")
-def j21_whole(t):
+@R.add("j21_min_label_components", _J21)
+def j21(t):
     return resolve.components(_copies(t))
 
 
-@R.add("q18_merge_batch_whole")
-def q18_whole(t):
+@R.add("q18_merge_batch", _Q18)
+def q18(t):
     return resolve.keepers(_copies(t).withColumn("rank", 1 + (F.col("a") + F.col("b")) % 6))
 
 
-@R.add("q18_resolve_all")
+@R.add("q18_resolve_all", f"SELECT node AS merged, label AS kept FROM ({_J21}) WHERE node <> label")
 def q18_all(t):
-    return resolve.resolve_all(_copies(t).withColumn("rank", F.lit(1)))
+    return resolve.resolve_all(_copies(t).withColumn("rank", F.lit(1))).select("merged", "kept")
 
 
-@R.add("b07_journal", """SELECT k, '{"k":' || k || ',"name":"' || name || '"}' AS image FROM (SELECT s_suppkey AS k, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0)""")
+@R.add("b07_journal", """SELECT k, '{"k":' || k || ',"name":"' || name || '"}' AS image FROM (SELECT s_suppkey AS k, s_name AS name FROM supplier WHERE s_acctbal > 0)""")
 def b07(t):
-    return t("supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"), F.to_json(F.struct(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))).alias("image"))
+    return t("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k"), F.to_json(F.struct(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))).alias("image"))
 
 
 @R.add("b07_unmerge_from_journal", "SELECT s_suppkey AS k, s_name AS name FROM supplier")
 def b07_back(t):
     back = b07(t).select(F.from_json("image", "k long, name string").alias("i")).select("i.*")
-    return t("supplier").where("s_suppkey % 2 <> 0").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")).union(back)
+    return t("supplier").where("NOT s_acctbal > 0").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")).union(back)
 
 
 @R.add("x_same_employer_keys", "SELECT count(*) AS n, count(DISTINCT lower(c_name)) AS names FROM customer")

@@ -324,12 +324,6 @@ def p08(t):
     return t("documents").select("doc_id", F.explode_outer(languages.language_requirements(html)).alias("r")).select("doc_id", "r.language", "r.required")
 
 
-@R.add("p16_html_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[a-zA-Z/!][^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM (SELECT page_id, html FROM pages WHERE NOT contains(html, '&amp;') AND NOT contains(html, '&copy'))""")
-def p16(t):
-    return t("pages").where(~F.contains("html", F.lit("&amp;")) & ~F.contains("html", F.lit("&copy"))).select("page_id", scalars.html_text(F.col("html")).alias("text"))
-
-
-
 def _turn(x: str) -> str:
     x = rf"regexp_replace({x}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g')"
     x = f"regexp_replace({x}, '(?s)<[a-zA-Z/!][^>]*>', ' ', 'g')"
@@ -338,29 +332,19 @@ def _turn(x: str) -> str:
     return x
 
 
-@R.add("p16_html_text_whole", rf"SELECT page_id, trim(regexp_replace({_turn(_turn('html'))}, '\s+', ' ', 'g')) AS text FROM pages")
-def p16_whole(t):
+@R.add("p16_html_text", rf"SELECT page_id, trim(regexp_replace({_turn(_turn('html'))}, '\s+', ' ', 'g')) AS text FROM pages")
+def p16(t):
     return t("pages").select("page_id", scalars.html_text(F.col("html")).alias("text"))
 
 
-_V02 = f"""WITH q AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 = 0), e AS (SELECT vec_id AS example, label AS code, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 <> 0),
-p AS (SELECT q.id, e.example, e.code, list_inner_product(q.v, e.v) AS s FROM q, e), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, example) AS r FROM p),
+_V02 = f"""WITH q AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), e AS (SELECT vec_id AS example, label AS code, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT q.id, e.example, e.code, list_inner_product(q.v, e.v) AS s FROM q, e WHERE q.id <> e.example), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, example) AS r FROM p),
 n AS (SELECT id, code, round(sum(s), 9) AS votes, min(r) AS nearest, max(s) AS top FROM r WHERE r <= {neighbours.K} GROUP BY id, code)
 SELECT id, code FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, nearest) AS k, max(top) OVER (PARTITION BY id) AS best FROM n) WHERE k = 1 AND best >= 0.3"""
 
 
-def _vectors(t):
-    e = t("embeddings")
-    return e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), e.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("example"), F.col("label").alias("code"), F.col("embedding").alias("vector"))
-
-
 @R.add("v02_knn_vote", _V02)
 def v02(t):
-    return neighbours.vote(*_vectors(t), least=0.3)
-
-
-@R.add("v02_knn_vote_whole", _V02.replace("WHERE vec_id % 5 = 0", "WHERE vec_id % 20 = 0").replace(" WHERE vec_id % 5 <> 0", "").replace("FROM q, e)", "FROM q, e WHERE q.id <> e.example)"))
-def v02_whole(t):
     e = t("embeddings")
     queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return neighbours.vote_all(queries, e.select(F.col("vec_id").alias("example"), F.col("label").alias("code"), F.col("embedding").alias("vector")), least=0.3, own=False)
