@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset a temporary folder in local mode (tests), else an error, as
+    executors don't see each other's folders."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     at = tempfile.mkdtemp(prefix="postlake-")
     spark.sparkContext.setCheckpointDir(at)
     return at
