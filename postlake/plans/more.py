@@ -53,7 +53,8 @@ both("w08_count_over_partition", "SELECT s_suppkey, count(*) OVER (PARTITION BY
 both("t04_top_one", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
 
 
-@R.add("j09_places_relation")
+@R.add("j09_places_relation", """SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
+JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1), (2, 2), (4, 4)) v(i, j) ON v.i = a.s_suppkey % 5 AND v.j = b.s_suppkey % 5""")
 def j09(t):
     names = ["Nitra", "Bratislava; Nitra", "Nitriansky kraj", "", "Košice IV"]
     at = F.get(F.array(*map(F.lit, names)), (F.col("s_suppkey") % 5).cast("int"))
@@ -99,12 +100,18 @@ def _name(t):
     return t("customer").select("c_custkey", F.get(F.array(*map(F.lit, _NAMES)), (F.col("c_custkey") % len(_NAMES)).cast("int")).alias("name"))
 
 
-@R.add("x15_brand_keys")
+@R.add("x15_brand_keys", "SELECT c_custkey, v.keys FROM customer JOIN (VALUES (0, ['acme']), (1, ['ingjan']), (2, ['drmax']), (3, []), (4, ['jsb', 'jsbstav']), (5, ['firma']), (6, ['marks', 'marksspencer']), (7, [])) v(i, keys) ON v.i = c_custkey % 8")
 def x15(t):
     return _name(t).select("c_custkey", brands.brand_keys(F.col("name")).alias("keys"))
 
 
-@R.add("x16_candidate_addresses")
+#: Names by customer, and the addresses made of each.
+_STEMS = ((0, "acme"), (1, "ingjan"), (1, "ing-jan"), (2, "drmax"), (3, "spojena"), (3, "spojenaskola"), (3, "spojena-skola"), (4, "jsb"), (4, "jsbstav"), (4, "jsb-stav"), (5, "firma"), (6, "marks"), (6, "marksspencer"), (6, "marks-spencer"))
+_HOSTS = ("www.*.sk/", "www.*-slovakia.sk/", "www.*slovakia.sk/", "www.*.com/sk/", "www.*.com/slovakia/", "www.*.com/", "www.*slovensko.sk/", "www.*-slovensko.sk/", "www.*-jobs.sk/", "www.*jobs.sk/", "www.*-kariera.sk/", "kariera.*.sk/")
+_ADDRESSES = [(i, h.replace("*", stem)) for i, stem in _STEMS for h in _HOSTS] + [(6, "www.marksandspencer.sk/"), (6, "www.marksandspencer.com/")]
+
+
+@R.add("x16_candidate_addresses", "SELECT c_custkey, v.address FROM customer JOIN (VALUES " + ", ".join(f"({i}, '{a}')" for i, a in _ADDRESSES) + ") v(i, address) ON v.i = c_custkey % 8")
 def x16(t):
     return _name(t).select("c_custkey", F.explode(brands.candidate_addresses(F.col("name"))).alias("address"))
 
@@ -233,7 +240,7 @@ def p15(t):
     return t("part").groupBy(F.substring("p_brand", 1, 7).alias("direction")).agg(F.array_sort(F.collect_set("p_brand")).alias("groups"))
 
 
-@R.add("p18_mail_names_company")
+@R.add("p18_mail_names_company", "SELECT c_custkey, c_custkey % 8 = 0 AS named FROM customer")
 def p18(t):
     @F.pandas_udf("boolean")
     def named(domain, name):

@@ -179,7 +179,13 @@ def r03(t):
     return twins.absences(t("events").select("user_id", "event_id", "ts", (F.col("event_type") == "click").alias("seen")))
 
 
-@R.add("r11_rate_limiter")
+_R11 = """WITH RECURSIVE e AS (SELECT user_id AS host, event_id, epoch_us(ts) AS asked, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+c AS (SELECT host, event_id, r, 0::BIGINT AS w, asked + 3600000000 AS free FROM e WHERE r = 1
+  UNION ALL SELECT e.host, e.event_id, e.r, greatest(c.free - e.asked, 0)::BIGINT, CASE WHEN c.free - e.asked <= 7200000000 THEN greatest(c.free, e.asked) + 3600000000 ELSE c.free END FROM c JOIN e ON e.host = c.host AND e.r = c.r + 1)
+SELECT host, event_id, w <= 7200000000 AS granted, CASE WHEN w <= 7200000000 THEN w END AS wait FROM c"""
+
+
+@R.add("r11_rate_limiter", _R11)
 def r11(t):
     return twins.rate_limited(t("events").select(F.col("user_id").alias("host"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")), interval=3_600_000_000, most=7_200_000_000)
 
