@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from postlake.plans import domain, feeds, more, relational, state, text
+from postlake.plans import domain, feeds, more, queues, relational, state, text
 
-PARTS = (relational, text, state, domain, feeds, more)
+PARTS = (relational, text, state, domain, feeds, queues, more)
 QUERIES = {k: v for p in PARTS for k, v in p.R.queries.items()}
 ORACLE_SQL = {k: v for p in PARTS for k, v in p.R.sql.items()}

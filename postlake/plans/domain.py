@@ -29,7 +29,7 @@ VIEWS = {
       TIMESTAMP_NTZ '2024-01-03 00:00:00' AS created_at, CASE WHEN s_suppkey % 11 = 0 THEN TIMESTAMP_NTZ '2024-01-09 00:00:00' END AS closed_at FROM supplier""",
     "company_source": """SELECT DISTINCT o_custkey AS company_id, l_suppkey AS source_id, CASE (o_custkey + l_suppkey) % 5 WHEN 0 THEN 'GROUP' WHEN 1 THEN 'AGENCY' ELSE 'EMPLOYER' END AS role
       FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_quantity <= 6""",
-    "company_site": """SELECT p_partkey AS id, 1 + p_partkey % 1500 AS company_id, CASE p_partkey % 3 WHEN 0 THEN 'FOUND' WHEN 1 THEN 'CANDIDATE' ELSE 'REJECTED' END AS status, p_brand AS proof,
+    "company_site": """SELECT p_partkey AS id, 1 + p_partkey % 1500 AS company_id, CASE p_partkey % 3 WHEN 0 THEN 'FOUND' WHEN 1 THEN 'CANDIDATE' ELSE 'REJECTED' END AS status, p_brand AS proof, CASE WHEN p_size % 4 = 0 THEN 'COMMON_CRAWL' ELSE 'SEARCH' END AS source,
       CASE p_size % 7 WHEN 0 THEN 'SOURCE_FOUND' WHEN 1 THEN 'FORMAT_UNSUPPORTED' WHEN 2 THEN 'PORTAL_ONLY' WHEN 3 THEN 'NO_CAREER_PAGE' WHEN 4 THEN 'UNREACHABLE' WHEN 5 THEN 'USE_FORBIDDEN' END AS check_result,
       TIMESTAMP_NTZ '2024-01-06 00:00:00' AS found_at, CASE WHEN p_size % 8 <> 0 THEN TIMESTAMP_NTZ '2024-01-07 00:00:00' END AS checked_at FROM part""",
     "vacancy": """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'CLOSED' WHEN 'O' THEN 'ACTIVE' ELSE 'NEEDS_RECHECK' END AS state, 'v' || o_orderkey AS title,
@@ -224,16 +224,6 @@ def report1(t):
     return market.report_checks(Domain(t))
 
 
-@R.add("q23_report_pages", duck(" SELECT coalesce(s.page, 'NO_SITE') AS page, count(*) AS companies FROM benchmark_company b LEFT JOIN (SELECT company_id, CASE min(CASE check_result WHEN 'SOURCE_FOUND' THEN 1 WHEN 'FORMAT_UNSUPPORTED' THEN 2 WHEN 'PORTAL_ONLY' THEN 3 WHEN 'NO_CAREER_PAGE' THEN 4 WHEN 'UNREACHABLE' THEN 5 WHEN 'USE_FORBIDDEN' THEN 6 ELSE 7 END) WHEN 1 THEN 'PAGE_FOUND' WHEN 2 THEN 'FORMAT_UNSUPPORTED' WHEN 3 THEN 'NO_OWN_PAGE' WHEN 4 THEN 'NO_CAREER_PAGE' WHEN 5 THEN 'UNREACHABLE' WHEN 6 THEN 'USE_FORBIDDEN' ELSE 'NOT_CHECKED' END AS page FROM company_site WHERE status = 'FOUND' GROUP BY 1) s ON s.company_id = b.company_id WHERE b.company_id IS NOT NULL GROUP BY 1"))
-def report2(t):
-    return market.report_pages(Domain(t))
-
-
-@R.add("q23_report_channels", duck(" SELECT CASE WHEN o THEN 'state portal only' ELSE 'own source' END AS channel, count(*) AS companies FROM (SELECT k.company_id, bool_and(s.provider = 'PORTAL') AS o FROM company_check k JOIN company_source cs ON cs.company_id = k.company_id JOIN source s ON s.id = cs.source_id WHERE k.result = 'CONNECTED' GROUP BY 1) GROUP BY 1"))
-def report3(t):
-    return market.report_channels(Domain(t))
-
-
 @R.add("q06_digest_due", "SELECT c_custkey FROM (SELECT c_custkey, TIMESTAMP '2024-01-15 07:30:00' AT TIME ZONE 'UTC' AT TIME ZONE CASE c_custkey % 3 WHEN 0 THEN 'Europe/Bratislava' WHEN 1 THEN 'America/New_York' ELSE 'Asia/Tokyo' END AS l FROM customer) WHERE hour(l) >= 8 AND (c_custkey % 4 = 0 OR c_custkey % 4 = 1 AND isodow(l) <= 5 OR c_custkey % 4 = 2 AND isodow(l) = 1 + c_custkey % 7)")
 def due(t):
     k = F.col("c_custkey")

@@ -213,21 +213,87 @@ def report_checks(t: Tables) -> DataFrame:
     return b.join(t["company_check"].select("company_id", "result"), "company_id", "left").groupBy(F.coalesce("result", F.lit("NOT_CHECKED")).alias("result")).agg(F.count("*").alias("companies"))
 
 
+def _benchmark(t: Tables) -> DataFrame:
+    return t["benchmark_company"].where("company_id IS NOT NULL").select("company_id")
+
+
+def report_registry(t: Tables) -> DataFrame:
+    """One row: benchmark companies in the registry, those of them that have ended, those not in it."""
+    c = t["company"].select(F.col("id").alias("company_id"), "terminated_on")
+    return t["benchmark_company"].join(c, "company_id", "left").agg(F.count("company_id").alias("in_registry"), F.count("terminated_on").alias("terminated"), F.count_if(F.col("company_id").isNull()).alias("not_in_registry"))
+
+
+def report_sites(t: Tables) -> DataFrame:
+    """One row: benchmark companies with a found site, and all of them."""
+    found = t["company_site"].where("status = 'FOUND'").select("company_id").distinct().withColumn("found", F.lit(True))
+    return _benchmark(t).join(found, "company_id", "left").agg(F.count("found").alias("site_found"), F.count("*").alias("in_registry"))
+
+
+def checked_sites(t: Tables) -> DataFrame:
+    """Found sites that are checked: of those known from the crawl index alone only a company's first."""
+    found = t["company_site"].where("status = 'FOUND'")
+    crawled = F.col("source") == "COMMON_CRAWL"
+    per = found.groupBy("company_id").agg(F.bool_and(crawled).alias("only_crawled"), F.min("id").alias("lowest"))
+    return found.join(per, "company_id").where(~crawled | (F.col("only_crawled") & (F.col("id") == F.col("lowest")))).drop("only_crawled", "lowest")
+
+
 def report_pages(t: Tables) -> DataFrame:
-    """(page, companies): the best result of a company's sites, 'no site' without any."""
-    best = t["company_site"].where("status = 'FOUND'").groupBy("company_id").agg(F.min(ranked(F.col("check_result"), SITE_RESULTS)).alias("best"))
-    b = t["benchmark_company"].where("company_id IS NOT NULL").join(best, "company_id", "left")
-    page = F.when(F.col("best").isNull(), "NO_SITE").otherwise(unranked(F.col("best"), CHANNELS, "NOT_CHECKED"))
+    """(page, companies): the best result of a company's checked sites, NO_SITE without any."""
+    order = [r for r in SITE_RESULTS if r != "PORTAL_ONLY"]  # a site with the portal alone counts as not checked
+    best = checked_sites(t).groupBy("company_id").agg(F.min(ranked(F.col("check_result"), order)).alias("best"))
+    b = _benchmark(t).join(best, "company_id", "left")
+    page = F.when(F.col("best").isNull(), "NO_SITE").otherwise(unranked(F.col("best"), ["PAGE_FOUND", *order[1:]], "NOT_CHECKED"))
     return b.groupBy(page.alias("page")).agg(F.count("*").alias("companies"))
 
 
 def report_channels(t: Tables) -> DataFrame:
-    """(channel, companies) of connected companies: the state portal alone, or an own source."""
-    own = t["company_check"].where("result = 'CONNECTED'").select("company_id").join(t["company_source"], "company_id").join(t["source"].select(F.col("id").alias("source_id"), "provider"), "source_id")
+    """(channel, companies) of connected benchmark companies: the state portal alone, or an own source."""
+    connected = _benchmark(t).join(t["company_check"].where("result = 'CONNECTED'").select("company_id"), "company_id")
+    own = connected.join(t["company_source"], "company_id").join(t["source"].select(F.col("id").alias("source_id"), "provider"), "source_id")
     per = own.groupBy("company_id").agg(F.bool_and(F.col("provider") == "PORTAL").alias("only"))
     return per.groupBy(F.when(F.col("only"), "state portal only").otherwise("own source").alias("channel")).agg(F.count("*").alias("companies"))
 
 
+def report_candidates(t: Tables) -> DataFrame:
+    """(proof, check_result, companies): candidates of benchmark companies without a found site."""
+    s = t["company_site"]
+    open_ = _benchmark(t).join(s.where("status = 'FOUND'").select("company_id"), "company_id", "left_anti")
+    own = open_.join(s.where("status = 'CANDIDATE'"), "company_id")
+    return own.groupBy("proof", F.coalesce("check_result", F.lit("NOT_CHECKED")).alias("check_result")).agg(F.count_distinct("company_id").alias("companies"))
+
+
+def report_groups(t: Tables, countries: tuple[str, ...] = ("SK", "*")) -> DataFrame:
+    """One row: benchmark companies with a source of their group, and those whose group has vacancies there."""
+    here = t["vacancy"].where(F.arrays_overlap("work_countries", F.array(*map(F.lit, countries)))).select(F.col("id").alias("vacancy_id"))
+    sources = t["job_posting"].join(here, "vacancy_id").select("source_id").distinct().withColumn("has", F.lit(True))
+    own = _benchmark(t).join(t["company_source"].where("role = 'GROUP'"), "company_id").join(sources, "source_id", "left")
+    return own.agg(F.count_distinct("company_id").alias("companies"), F.count_distinct(F.when(F.col("has"), F.col("company_id"))).alias("with_vacancies"))
+
+
+def dictionary_view(positions: DataFrame, terms: DataFrame) -> DataFrame:
+    """positions (id, ...) with the terms of each kind, in order of their ids; a position without terms has none."""
+    kinds = {"TITLE": "titles", "ROLE": "roles", "KEYWORD": "keywords", "EXCLUDE": "excluded"}
+    own = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("id", "term")))), lambda x: x["term"])
+    per = terms.groupBy("position_id").agg(*[own(k).alias(n) for k, n in kinds.items()])
+    out = positions.join(per, positions["id"] == per["position_id"], "left").drop("position_id")
+    return out.withColumns({n: F.coalesce(n, F.array().cast("array<string>")) for n in kinds.values()})
+
+
+def search_misses(asked: DataFrame, query: str, time: str, most: int = 100) -> DataFrame:
+    """(query, misses, last_at) of searches without a result, the most frequent first, then the latest."""
+    key = F.lower(F.trim(F.regexp_replace(query, r"\s+", " ")))
+    return asked.groupBy(key.alias("query")).agg(F.count("*").alias("misses"), F.max(time).alias("last_at")).orderBy(F.desc("misses"), F.desc("last_at"), "query").limit(most)
+
+
+def chosen_without_vacancies(t: Tables, hits: DataFrame) -> DataFrame:
+    """(code, conditions) of the positions and groups that conditions name and no open vacancy matches;
+    hits has (code, vacancy_id)."""
+    positions = t["condition_position"].join(t["position"].select(F.col("id").alias("position_id"), "code"), "position_id").select("code")
+    chosen = _union([x.groupBy("code").agg(F.count("*").alias("conditions")) for x in (positions, t["condition_occupation"].select("code"))])
+    open_ = t["vacancy"].where("state <> 'CLOSED'").select(F.col("id").alias("vacancy_id"))
+    return chosen.join(hits.join(open_, "vacancy_id", "left_semi").select("code").distinct(), "code", "left_anti")
+
+
 def employers(t: Tables) -> DataFrame:
     """(vacancy_id, employer): the name to show, of a company before that of a group, smallest id first."""
     c = t["company"].select(F.col("id").alias("company_id"), "name")

@@ -278,14 +278,6 @@ both("b19_site_review", "SELECT company_id, id, CASE WHEN n = 1 THEN 'FOUND' ELS
 
 # time and queues
 
-both("r04_timeouts", "SELECT count(*) FILTER (WHERE last_confirmed_at < TIMESTAMP_NTZ '2024-01-02 12:00:00') AS hidden, count(*) AS n FROM vacancy".replace("TIMESTAMP_NTZ '2024", "<<TIMESTAMP_NTZ||TIMESTAMP>> '2024"))
-both("r05_monotone_dates", "SELECT o_custkey, min(o_orderdate) AS first FROM orders GROUP BY o_custkey")
-both("r07_missing_days", "SELECT d.day FROM (SELECT <<explode(sequence(DATE '2024-01-20', DATE '2024-02-05'))||unnest(generate_series(DATE '2024-01-20', DATE '2024-02-05', INTERVAL 1 DAY))::DATE>> AS day FROM region WHERE r_regionkey = 0) d WHERE NOT EXISTS (SELECT 1 FROM events e WHERE CAST(e.ts AS DATE) = d.day)".replace("SELECT d.day", "SELECT <<date_format(d.day, 'yyyy-MM-dd')||strftime(d.day, '%Y-%m-%d')>> AS day"))
-both("r08_task_states", """SELECT user_id, last, fails FROM (SELECT user_id, event_type AS last, count(CASE WHEN event_type = 'error' THEN 1 END) OVER (PARTITION BY user_id) AS fails, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) x WHERE r = 1""")
-both("r10_exclusive_fifo", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events WHERE value > 50) x WHERE r = 1")
-both("r12_cursor", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00' OR (ts = TIMESTAMP '2024-01-10 00:00:00' AND event_id > 500)".replace("TIMESTAMP '", "<<TIMESTAMP_NTZ||TIMESTAMP>> '"))
-both("r14_shrink_guard", "SELECT count(*) AS n FROM part WHERE (SELECT count(*) FROM part WHERE p_size > 5) * 2 >= (SELECT count(*) FROM part)")
-both("r15_freshness_gate", "SELECT count(*) AS n FROM orders WHERE (SELECT max(ts) FROM events) >= TIMESTAMP '2024-01-28 00:00:00'".replace("TIMESTAMP '", "<<TIMESTAMP_NTZ||TIMESTAMP>> '"))
 
 # named queries
 
