@@ -53,17 +53,16 @@ def absences(reads: DataFrame, close_after: int = CLOSE_AFTER) -> DataFrame:
     return own.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long", "missing int", "append", GroupStateTimeout.NoTimeout)
 
 
-def append_once(stream: DataFrame, out: str, checkpoint: str, keys: list[str]):
-    """A running query that appends each key once to a Parquet table: every micro-batch drops what
-    the table has, so a batch that is run again appends nothing twice."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-        there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-        fresh = batch.dropDuplicates(keys)
-        if there:
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(out), keys, "left_anti")
-        fresh.write.mode("append").parquet(out)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_once(stream: DataFrame, out: str, checkpoint: str, keys: list[str], watermark: tuple[str, str] | None = None):
+    """A running query that writes each key once to a Parquet table.
+
+    Repeated keys are dropped by the stream's own state, within the watermark (column, delay) if there
+    is one. Every micro-batch is written to a folder by its number, over what a failed attempt left
+    there; so nothing that was written is read again, and the folder out belongs to one checkpoint.
+    """
+    own = stream.withWatermark(*watermark).dropDuplicatesWithinWatermark(keys) if watermark else stream.dropDuplicates(keys)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return own.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
