@@ -22,13 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is named (tests)."""
+    """The shared folder of spark.checkpoint.dir; where none is named a temporary one in local mode (tests),
+    else an error, as executors don't see each other's folders."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     at = tempfile.mkdtemp(prefix="postlake-checkpoint-")
     spark.sparkContext.setCheckpointDir(at)
     return at
