@@ -40,3 +40,8 @@ def unranked(rank: Column, order: list[str], other: str = "NONE") -> Column:
     for i in reversed(range(len(order))):
         out = F.when(rank == i, order[i]).otherwise(out)
     return out
+
+
+def optional(column: Column, value: object) -> Column:
+    """A filter that a search may leave out: true for all rows without a value."""
+    return F.lit(True) if value is None else column == F.lit(value)

@@ -69,3 +69,14 @@ def flagged(df: DataFrame, key: str, other: DataFrame, other_key: str, flag: str
 def matched_by_paths(paths: list[DataFrame]) -> DataFrame:
     """Union of paths of one schema, each pair once."""
     return reduce(lambda a, b: a.unionByName(b), paths).distinct()
+
+
+def counted(df: DataFrame, key: str, other: DataFrame, other_key: str, column: str) -> DataFrame:
+    """df with the number of rows of other that have its key, 0 without any; other is counted before the join."""
+    n = other.groupBy(F.col(other_key).alias("__k")).agg(F.count("*").alias(column))
+    return df.join(n, df[key] == n["__k"], "left").drop("__k").withColumn(column, F.coalesce(column, F.lit(0)))
+
+
+def with_parameters(df: DataFrame, **values: object) -> DataFrame:
+    """df with the parameters of a query as columns, the same in every row."""
+    return df.withColumns({name: F.lit(v) for name, v in values.items()})

@@ -64,3 +64,8 @@ def replace_children(old: DataFrame, new: DataFrame, parents: DataFrame, key: st
 def visit(seen: Column, boundary: Column, now: Column, gap_seconds: int = 1800) -> Column:
     """Start of the current visit: the last time seen if that is longer ago than the gap, else as it was."""
     return F.when(seen < now - F.make_dt_interval(secs=F.lit(gap_seconds)), seen).otherwise(boundary)
+
+
+def dedupe(rows: DataFrame, keys: list[str], id_: str) -> DataFrame:
+    """(keys, kept, n): the smallest id of rows that are one by their keys, and their number."""
+    return rows.groupBy(*keys).agg(F.min(id_).alias("kept"), F.count("*").alias("n"))

@@ -25,3 +25,11 @@ def with_size(df: DataFrame, key: str, column: str = "size") -> DataFrame:
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """One page of a total order."""
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def versions(df: DataFrame, owner: str, order: str) -> DataFrame:
+    """df with version, the number of a row among its owner's, and active, which marks the last one."""
+    own = Window.partitionBy(owner).orderBy(order)
+    last = df.groupBy(F.col(owner).alias("__o")).agg(F.max(order).alias("__last"))
+    out = df.withColumn("version", F.row_number().over(own).cast("long")).join(last, F.col(owner).eqNullSafe(F.col("__o")), "left")
+    return out.withColumn("active", F.col(order).eqNullSafe(F.col("__last"))).drop("__o", "__last")

@@ -301,6 +301,42 @@ def employers(t: Tables) -> DataFrame:
     return first_by(rows.withColumnRenamed("name", "employer"), ["vacancy_id"], [F.col("role") == "GROUP", F.col("company_id")], ["employer"])
 
 
+def employers_of_postings(postings: DataFrame, company_sources: DataFrame, offers: DataFrame) -> DataFrame:
+    """(id, company_id) of postings: the employers of its source, and that of the portal's offer (num,
+    company_id) it comes from."""
+    own = postings.join(company_sources.where("role = 'EMPLOYER'"), "source_id").select("id", "company_id")
+    named = offers.select(F.concat(F.lit("profesia:"), F.col("num").cast("string")).alias("external_id"), "company_id")
+    return own.union(postings.join(named, "external_id").select("id", "company_id")).distinct()
+
+
+def stale(rows: DataFrame, version: str, current: str) -> DataFrame:
+    """Rows that were computed with another version, or never."""
+    return rows.where(~F.col(version).eqNullSafe(F.lit(current)))
+
+
+def accessible(t: Tables, user: int) -> DataFrame:
+    """Vacancies with the user's status that the user may open: those with one, and those delivered to one
+    of the user's conditions."""
+    own = t["user_status"].where(F.col("user_id") == user).select(F.col("vacancy_id").alias("id"), "status")
+    mine = t["condition"].where(F.col("user_id") == user).select(F.col("id").alias("condition_id"))
+    sent = t["delivered"].join(mine, "condition_id", "left_semi").select(F.col("vacancy_id").alias("id")).distinct().withColumn("sent", F.lit(True))
+    return t["vacancy"].join(own, "id", "left").join(sent, "id", "left").where("status IS NOT NULL OR sent").drop("sent")
+
+
+def company_search(companies: DataFrame, sources: DataFrame, checks: DataFrame, sites: DataFrame, said: str) -> DataFrame:
+    """companies (id, name, registration_number) found by number, if said is one, else by a part of their
+    name's slug; with in_group, the result of their check, and their first site."""
+    from postlake.functions.keys import name_slug
+
+    number = said.strip().replace(" ", "")
+    slug = F.nullif(name_slug(F.lit(said)), F.lit(""))
+    found = companies.where(F.col("registration_number") == number.zfill(8)) if number.isdigit() else companies.where(F.contains(name_slug(F.col("name")), slug))
+    group = sources.where("role = 'GROUP'").select(F.col("company_id").alias("id")).distinct().withColumn("in_group", F.lit(True))
+    site = sites.groupBy(F.col("company_id").alias("id")).agg(F.min_by("url", "id").alias("site"))
+    out = found.join(group, "id", "left").join(checks.select(F.col("company_id").alias("id"), "result"), "id", "left").join(site, "id", "left")
+    return out.withColumn("in_group", F.coalesce("in_group", F.lit(False)))
+
+
 def learn_heads(postings: DataFrame, share: float = 0.7, least: int = 2) -> DataFrame:
     """(head, code, n, total): title heads whose portal codes agree by majority."""
     from postlake.functions.keys import title_head
