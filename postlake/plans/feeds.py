@@ -226,8 +226,8 @@ def s30(t):
     return pages.employer_list(_parts(t).select(body.alias("body"))).select("number", "name")
 
 
-@R.add("s31_accumulate", """SELECT s_suppkey AS board, 2 AS got, CASE s_nationkey % 4 WHEN 0 THEN 'COMPLETE' WHEN 1 THEN 'PARTIAL:PAGE_FAILED' WHEN 2 THEN 'PARTIAL:PAGE_LIMIT' ELSE 'UNAVAILABLE' END AS state FROM supplier WHERE s_nationkey % 4 < 3
-UNION ALL SELECT s_suppkey, 0, 'UNAVAILABLE' FROM supplier WHERE s_nationkey % 4 = 3""")
+@R.add("s31_accumulate", """SELECT s_suppkey AS board, CAST(2 AS BIGINT) AS got, CASE s_nationkey % 4 WHEN 0 THEN 'COMPLETE' WHEN 1 THEN 'PARTIAL:PAGE_FAILED' WHEN 2 THEN 'PARTIAL:PAGE_LIMIT' ELSE 'UNAVAILABLE' END AS state FROM supplier WHERE s_nationkey % 4 < 3
+UNION ALL SELECT s_suppkey, CAST(0 AS BIGINT), 'UNAVAILABLE' FROM supplier WHERE s_nationkey % 4 = 3""")
 def s31(t):
     s, kind = t("supplier"), F.col("s_nationkey") % 4
     rows = s.where(kind < 3).select(F.col("s_suppkey").alias("board"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("page_no"))

@@ -10,14 +10,14 @@ from postlake.plans.registry import Registry
 
 R = Registry()
 
-#: Titles made of first lines, with the marks that titles carry.
-_TITLE = """CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '(m/ž/d) ' WHEN 2 THEN 'Kuchár/ka ' WHEN 3 THEN '(TOBI s.r.o.) ' WHEN 4 THEN 'Вчитель ' ELSE 'SKLADNÍK - ' END || split_part(text, chr(10), 1)
+#: Titles made of whole texts, with the marks that titles carry.
+_TITLE = """CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '(m/ž/d) ' WHEN 2 THEN 'Kuchár/ka ' WHEN 3 THEN '(TOBI s.r.o.) ' WHEN 4 THEN 'Вчитель ' ELSE 'SKLADNÍK - ' END || text
 || CASE doc_id % 5 WHEN 0 THEN ' (muž/žena)' WHEN 1 THEN ' 1 500 €' WHEN 2 THEN ' od 1200 EUR/mes. brutto' WHEN 3 THEN ' - Bratislava' ELSE ' | m/ž' END"""
 
 
 def _line():
-    """The first line of a document, which stands for a title or a name."""
-    return F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+    """The text of a document, which stands for a title or a name."""
+    return F.col("text")
 
 
 def _title():
@@ -155,7 +155,7 @@ def x12(t):
     return t("pages").select("page_id", keys.without_copy_suffix(F.concat(F.lit("R-"), "page_id", F.when(F.col("page_id") % 2 == 0, "-3").otherwise("x"))).alias("id"))
 
 
-_SLUG = _chain(f"lower(translate(split_part(text, chr(10), 1) || ' ' || CASE doc_id % 3 WHEN 0 THEN 'spol. s r.o.' WHEN 1 THEN 'GmbH' ELSE 'a. s.' END, '{keys.SLUG_FROM}', '{keys.SLUG_TO}'))", ("[^a-z0-9]+", "-"), ("^-+|-+$", ""), (keys.LEGAL_END, ""))
+_SLUG = _chain(f"lower(translate(text || ' ' || CASE doc_id % 3 WHEN 0 THEN 'spol. s r.o.' WHEN 1 THEN 'GmbH' ELSE 'a. s.' END, '{keys.SLUG_FROM}', '{keys.SLUG_TO}'))", ("[^a-z0-9]+", "-"), ("^-+|-+$", ""), (keys.LEGAL_END, ""))
 
 
 @R.add("x13_name_slug", f"SELECT doc_id, {_SLUG} AS slug FROM documents")
@@ -194,7 +194,7 @@ def x20(t):
     return t("supplier").select("s_suppkey", F.when(b.isNotNull(), F.concat_ws(":", b["provider"], b["board"])).alias("board"))
 
 
-@R.add("x27_canonical_query", r"SELECT doc_id, CASE WHEN length(q) BETWEEN 2 AND 100 THEN q END AS query FROM (SELECT doc_id, lower(trim(regexp_replace('  ' || split_part(text, chr(10), 1), '\s+', ' ', 'g'))) AS q FROM documents)")
+@R.add("x27_canonical_query", r"SELECT doc_id, CASE WHEN length(q) BETWEEN 2 AND 100 THEN q END AS query FROM (SELECT doc_id, lower(trim(regexp_replace('  ' || text, '\s+', ' ', 'g'))) AS q FROM documents)")
 def x27(t):
     return t("documents").select("doc_id", keys.canonical_query(F.concat(F.lit("  "), _line())).alias("query"))
 
@@ -291,7 +291,7 @@ def _p02_sql() -> str:
 
 @R.add("p02_position_match", _p02_sql())
 def p02(t):
-    d = t("documents").select("doc_id", positions.normal(_line()).alias("h"), positions.normal(F.col("text")).alias("b"))
+    d = t("documents").select("doc_id", positions.normal(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))).alias("h"), positions.normal(F.col("text")).alias("b"))
     return d.select("doc_id", F.explode(positions.matches(DICTIONARY, F.col("h"), F.col("b"))).alias("m")).select("doc_id", "m.code")
 
 
@@ -308,8 +308,6 @@ def p06(t):
 
 
 _WHERE = ["Bratislava, Slovakia", "Remote - EU", "SVK.Bratislava", "IND - Hyderabad (Telangana)", "Wien | Praha", "2 Locations", ""]
-
-
 _EU = "['AT', 'BE', 'BG', 'CY', 'CZ', 'DE', 'DK', 'EE', 'ES', 'FI', 'FR', 'GR', 'HR', 'HU', 'IE', 'IT', 'LT', 'LU', 'LV', 'MT', 'NL', 'PL', 'PT', 'RO', 'SE', 'SI', 'SK']"
 #: What the rules give for the places of _WHERE; the name, which names a home city, decides where no place does.
 _P04 = f"""SELECT c_custkey, v.countries FROM customer JOIN (VALUES (0, ['SK']), (1, {_EU}), (2, ['SK']), (3, ['IN']), (4, ['AT', 'CZ']), (5, ['SK']), (6, ['SK'])) v(i, countries) ON v.i = c_custkey % 7"""
