@@ -35,10 +35,9 @@ def at(value: dt.datetime | dt.date) -> Column:
     return F.lit(value).cast("timestamp_ntz") if isinstance(value, dt.datetime) else F.lit(value)
 
 
-def search_matches(t: Tables, now: dt.datetime) -> DataFrame:
-    """(condition_id, code, vacancy_id), distinct: chosen positions, portal codes of chosen groups,
-    positions of the groups, recognised codes, and mapped positions of portal offers; without
-    vacancies that their employer posted more than four months ago."""
+def _matches(t: Tables) -> DataFrame:
+    """(condition_id, code, vacancy_id), with repeats: chosen positions, portal codes of chosen groups,
+    positions of the groups, recognised codes, and mapped positions of portal offers."""
     chosen, groups, posting, match = t["condition_position"], t["condition_occupation"], t["job_posting"], t["vacancy_position_match"]
     position = t["position"].select(F.col("id").alias("position_id"), F.col("code").alias("position_code"), "occupation_code")
     coded = lambda column: groups.join(posting.select(F.col(column).alias("code"), "vacancy_id"), "code").select("condition_id", "code", "vacancy_id")
@@ -51,15 +50,21 @@ def search_matches(t: Tables, now: dt.datetime) -> DataFrame:
     if "offer_position" in t:
         offers = t["offer_position"].select(F.concat(F.lit("profesia:"), "num").alias("external_id"), "code")
         paths.append(groups.join(offers, "code").join(posting.select("external_id", "vacancy_id"), "external_id").select("condition_id", "code", "vacancy_id"))
+    return _union(paths)
+
+
+def search_matches(t: Tables, now: dt.datetime) -> DataFrame:
+    """(condition_id, code, vacancy_id), distinct, without vacancies that their employer posted more
+    than four months ago."""
     open_ = t["vacancy"].where(fresh(F.col("posted_at"), at(now))).select(F.col("id").alias("vacancy_id"))
-    return _union(paths).distinct().join(open_, "vacancy_id", "left_semi")
+    return _matches(t).distinct().join(open_, "vacancy_id", "left_semi")
 
 
 def _fitting(t: Tables, now: dt.datetime, hide_after_days: int) -> DataFrame:
     """(condition, vacancy) pairs that fit by position, place, format, freshness and state."""
-    hits = search_matches(t, now).select("condition_id", "vacancy_id").distinct()
+    hits = _matches(t).select("condition_id", "vacancy_id").distinct()
     c = t["condition"].select(F.col("id").alias("condition_id"), "user_id", F.col("countries").alias("wanted"), F.col("work_format").alias("wanted_format"))
-    v = t["vacancy"].where((F.col("state") != "CLOSED") & (F.col("last_confirmed_at") >= at(now - dt.timedelta(days=hide_after_days)))).withColumnRenamed("id", "vacancy_id")
+    v = t["vacancy"].where((F.col("state") != "CLOSED") & (F.col("last_confirmed_at") >= at(now - dt.timedelta(days=hide_after_days))) & fresh(F.col("posted_at"), at(now))).withColumnRenamed("id", "vacancy_id")
     fits = (F.arrays_overlap("wanted", "work_countries") | (F.cardinality("work_countries") == 0)) & format_rule(F.col("wanted_format"), F.col("work_format"))
     return hits.join(c, "condition_id").join(v, "vacancy_id").where(fits)
 
