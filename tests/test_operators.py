@@ -70,3 +70,34 @@ def test_resolve(spark):
     assert {(r["merged"], r["kept"]) for r in resolve.resolve_all(pairs, blocked).collect()} == {(9, 1), (5, 1), (3, 1), (21, 20)}
     got = {r["node"]: r["label"] for r in resolve.components(spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (None, 2)], "a int, b int")).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 40: 40, 50: 40}
+
+
+def test_claims_by_hand(spark):
+    import datetime as dt
+
+    from postlake.operators import queues
+
+    now = dt.datetime(2024, 1, 1, 12)
+    t = lambda hour: dt.datetime(2024, 1, 1, hour)
+    rows = [
+        (1, "a", "WAITING", None, queues.BUSY, t(11), 4, 0),  # waits for group x and is alive: 2 must not overtake it
+        (2, "a", "QUEUED", None, None, t(10), 0, 0),
+        (3, "b", "RUNNING", t(13), None, t(10), 1, 0),  # group y runs
+        (4, "b", "QUEUED", None, None, t(10), 0, 0),
+        (5, "c", "RUNNING", t(11), None, t(10), 7, 2),  # group z: its lease is over
+        (6, "c", "QUEUED", None, None, t(10), 2, 0),
+        (7, "c", "QUEUED", None, None, t(10), 0, 0),
+        (8, "free", "QUEUED", None, None, t(10), 0, 0),
+        (9, "free", "QUEUED", None, None, t(10), 5, 0),
+    ]
+    tasks = spark.createDataFrame(rows, "id long, type string, state string, lease_until timestamp_ntz, last_error string, updated_at timestamp_ntz, claim_seq int, attempts int")
+    groups = {"a": "x", "b": "y", "c": "z"}
+    got = queues.claims(tasks, now, 60, groups, 7200).collect()
+    assert {(r["id"], r["claim_seq"], r["state"]) for r in got} == {(6, 3, "RUNNING"), (8, 1, "RUNNING"), (9, 6, "RUNNING")}
+    assert {r["lease_until"] for r in got} == {dt.datetime(2024, 1, 1, 12, 1)}
+    # a task that has waited without a change for too long is lost and holds nobody up
+    assert {r["id"] for r in queues.claims(tasks, now, 60, groups, 60).collect()} == {2, 6, 8, 9}
+    late = queues.expired(tasks, now, 3).collect()
+    assert [(r["id"], r["state"], r["attempts"], r["last_error"]) for r in late] == [(5, "FAILED", 3, queues.EXPIRED)]
+    reports = spark.createDataFrame([(3, 1, "DONE"), (5, 6, "DONE"), (8, 0, "DONE")], "id long, claim_seq int, outcome string")
+    assert [tuple(r) for r in queues.finished(tasks, reports).collect()] == [(3, "DONE")]
