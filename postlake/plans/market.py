@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.functions.keys import fold, same_title
@@ -342,6 +342,59 @@ def company_search(companies: DataFrame, sources: DataFrame, checks: DataFrame,
     return out.withColumn("in_group", F.coalesce("in_group", F.lit(False)))
 
 
+def matched_positions(hits: DataFrame, page: DataFrame) -> DataFrame:
+    """(condition_id, vacancy_id, codes): for the rows of a result page the codes by which they match, in order."""
+    own = hits.join(page.select("condition_id", "vacancy_id"), ["condition_id", "vacancy_id"], "left_semi")
+    return own.groupBy("condition_id", "vacancy_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+
+def by_status(vacancies: DataFrame, statuses: DataFrame, user: int, wanted: list[str], words: list[str] = ()) -> DataFrame:
+    """vacancies (id, title, ...) that have one of these statuses of a user, with status and changed_at,
+    the latest change first; every word must stand in the title."""
+    own = statuses.where((F.col("user_id") == user) & F.col("status").isin(*wanted)).select(F.col("vacancy_id").alias("id"), "status", "changed_at")
+    return search(vacancies.join(own, "id"), ["title"], list(words)).orderBy(F.desc("changed_at"), F.desc("id"))
+
+
+def employers_to_connect(offers: DataFrame, companies: DataFrame, links: DataFrame) -> DataFrame:
+    """(registration_number, company_id) of employers of current portal offers whose company is known,
+    alive and no agency, and has no portal source of that number; links has (company_id, board). Offers may
+    write a number with leading zeros that the company's has not."""
+    own = companies.where("terminated_on IS NULL AND NOT agency").select(F.col("id").alias("company_id"), F.col("registration_number").alias("own"))
+    number = F.col("registration_number")
+    asked = offers.select(number).where(number.isNotNull()).distinct().withColumn("own", F.explode(F.array_distinct(F.array(number, F.ltrim(number, F.lit("0"))))))
+    found = asked.join(own, "own").select("registration_number", "company_id").distinct()
+    return found.join(links.select("company_id", F.col("board").alias("registration_number")), ["registration_number", "company_id"], "left_anti")
+
+
+def employers_without_company(offers: DataFrame, companies: DataFrame, boards: DataFrame) -> DataFrame:
+    """(board, employer): employers of current portal offers that no company has the number of, and that
+    have no source; the board is the number, or the slug of the name where there is none."""
+    from postlake.functions.keys import name_slug
+
+    known = companies.select(F.col("registration_number").alias("own")).distinct()
+    number = F.col("registration_number")
+    own = offers.join(known, number == F.col("own"), "left_anti").join(known, F.ltrim(number, F.lit("0")) == F.col("own"), "left_anti")
+    named = own.select(F.coalesce(number, F.concat(F.lit("name:"), name_slug(F.col("employer")))).alias("board"), "employer")
+    return named.join(boards.select("board"), "board", "left_anti").groupBy("board").agg(F.min("employer").alias("employer"))
+
+
+def boards_to_check(boards: DataFrame, sources: DataFrame, before: dt.datetime, limit: int) -> DataFrame:
+    """(provider, board) of discovered boards (provider, board, checked_at) that are no source yet and were
+    not checked since: never checked ones first, providers in turn."""
+    due = boards.where(F.col("checked_at").isNull() | (F.col("checked_at") < at(before))).join(sources, ["provider", "board"], "left_anti")
+    turn = F.row_number().over(Window.partitionBy("provider").orderBy(F.asc_nulls_first("checked_at"), "board"))
+    return due.withColumn("turn", turn).orderBy(F.asc_nulls_first("checked_at"), "turn", "provider").limit(limit).select("provider", "board")
+
+
+def sites_to_check(sites: DataFrame, companies: DataFrame, before: dt.datetime, limit: int) -> DataFrame:
+    """The next site of each company (id, company_id) that is alive and an employer, of those found or
+    candidates and not checked since; important companies first, then the longest unchecked."""
+    alive = companies.where("terminated_on IS NULL AND NOT not_employer").select(F.col("id").alias("company_id"), "priority")
+    due = sites.where(F.col("status").isin("FOUND", "CANDIDATE") & (F.col("checked_at").isNull() | (F.col("checked_at") < at(before)))).join(alive, "company_id")
+    first = F.row_number().over(Window.partitionBy("company_id").orderBy(F.asc_nulls_first("checked_at"), "id"))
+    return due.withColumn("turn", first).where("turn = 1").orderBy(F.desc("priority"), F.asc_nulls_first("checked_at"), "id").limit(limit).select("id", "company_id")
+
+
 def learn_heads(postings: DataFrame, share: float = 0.7, least: int = 2) -> DataFrame:
     """(head, code, n, total): title heads whose portal codes agree by majority."""
     from postlake.functions.keys import title_head

@@ -152,3 +152,60 @@ def chosen(t):
     d = Domain(t)
     hits = d["vacancy_position_match"].join(d["position"].select(F.col("id").alias("position_id"), "code"), "position_id").select("code", "vacancy_id").union(d["job_posting"].select("occupation_code", "vacancy_id"))
     return market.chosen_without_vacancies(d, hits)
+
+
+# pages of results, work queues
+
+
+@R.add("q02_matched_positions", duck(", m AS (SELECT DISTINCT s.condition_id, x.vacancy_id, p.code FROM condition_position s JOIN position p ON p.id = s.position_id JOIN vacancy_position_match x ON x.position_id = s.position_id) SELECT m.condition_id, m.vacancy_id, list(m.code ORDER BY m.code) AS codes FROM m JOIN delivered d ON d.condition_id = m.condition_id AND d.vacancy_id = m.vacancy_id GROUP BY 1, 2"))
+def matched(t):
+    d = Domain(t)
+    hits = d["condition_position"].join(d["position"].select(F.col("id").alias("position_id"), "code"), "position_id").join(d["vacancy_position_match"], "position_id").select("condition_id", "vacancy_id", "code").distinct()
+    return market.matched_positions(hits, d["delivered"])
+
+
+@R.add("q03_list_by_status", "SELECT o_orderkey AS id, CASE WHEN o_orderpriority < '3' THEN 'APPLIED' ELSE 'VIEWED' END AS status FROM orders WHERE o_custkey % 5 = 2 AND o_orderpriority < '5' AND ('v' || o_orderkey) LIKE '%11%'")
+def list_by_status(t):
+    o = t("orders")
+    name = F.concat(F.lit("V"), F.col("o_orderkey").cast("string"))
+    status = F.when(F.col("o_orderpriority") < "3", "APPLIED").when(F.col("o_orderpriority") < "5", "VIEWED").otherwise("NOT_INTERESTED")
+    statuses = o.select((F.col("o_custkey") % 5).alias("user_id"), F.col("o_orderkey").alias("vacancy_id"), status.alias("status"), F.col("o_orderdate").alias("changed_at"))
+    return market.by_status(o.select(F.col("o_orderkey").alias("id"), name.alias("title")), statuses, 2, ["APPLIED", "VIEWED"], ["v", "11"]).select("id", "status")
+
+
+_OFFERS = "SELECT lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS registration_number, 'Firma ' || o_custkey AS employer FROM orders WHERE o_orderstatus <> 'F'"
+_COMPANIES = "SELECT c_custkey AS id, CAST(c_custkey AS VARCHAR) AS registration_number, c_acctbal < 0 AS agency, CASE WHEN c_mktsegment = 'BUILDING' THEN '2024-01-01' END AS terminated_on FROM customer WHERE c_acctbal < 6000"
+
+
+def _portal(t):
+    o, c = t("orders"), t("customer")
+    offers = o.where("o_orderstatus <> 'F'").select(F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("registration_number"), F.concat(F.lit("Firma "), F.col("o_custkey").cast("string")).alias("employer"))
+    companies = c.where("c_acctbal < 6000").select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("string").alias("registration_number"), (F.col("c_acctbal") < 0).alias("agency"), F.when(F.col("c_mktsegment") == "BUILDING", "2024-01-01").alias("terminated_on"))
+    links = c.where("c_acctbal > 3000").select(F.col("c_custkey").alias("company_id"), F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("board"))
+    return offers, companies, links
+
+
+@R.add("q22_employers_to_connect", f"SELECT DISTINCT o.registration_number, c.id AS company_id FROM ({_OFFERS}) o JOIN ({_COMPANIES}) c ON c.registration_number IN (o.registration_number, ltrim(o.registration_number, '0')) WHERE c.terminated_on IS NULL AND NOT c.agency AND c.id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 3000)")
+def to_connect(t):
+    return market.employers_to_connect(*_portal(t))
+
+
+@R.add("q22_employers_unregistered", f"SELECT o.registration_number AS board, min(o.employer) AS employer FROM ({_OFFERS}) o WHERE NOT EXISTS (SELECT 1 FROM ({_COMPANIES}) c WHERE c.registration_number = ltrim(o.registration_number, '0')) AND o.registration_number NOT IN (SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer WHERE c_acctbal > 8000) GROUP BY 1")
+def unregistered(t):
+    offers, companies, links = _portal(t)
+    some = t("customer").where("c_acctbal > 8000").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("board"))
+    return market.employers_without_company(offers, companies, some)
+
+
+@R.add("q21_board_queue", "SELECT provider, board FROM (SELECT p_brand AS provider, p_name || p_partkey AS board, CASE WHEN p_size > 30 THEN DATE '2024-01-01' + p_size END AS checked_at FROM part) b WHERE (checked_at IS NULL OR checked_at < DATE '2024-02-10') AND board NOT IN (SELECT p_name || p_partkey FROM part WHERE p_retailprice > 1500) ORDER BY checked_at NULLS FIRST, row_number() OVER (PARTITION BY provider ORDER BY checked_at NULLS FIRST, board), provider LIMIT 50")
+def boards(t):
+    p = t("part")
+    board = F.concat("p_name", F.col("p_partkey").cast("string"))
+    own = p.select(F.col("p_brand").alias("provider"), board.alias("board"), F.when(F.col("p_size") > 30, F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")).cast("timestamp_ntz")).alias("checked_at"))
+    return market.boards_to_check(own, p.where("p_retailprice > 1500").select(F.col("p_brand").alias("provider"), board.alias("board")), dt.datetime(2024, 2, 10), 50)
+
+
+@R.add("q21_site_queue", duck(" SELECT id, company_id FROM (SELECT s.id, s.company_id, s.checked_at, c.id % 3 AS priority, row_number() OVER (PARTITION BY s.company_id ORDER BY s.checked_at NULLS FIRST, s.id) AS r FROM company_site s JOIN company c ON c.id = s.company_id WHERE c.terminated_on IS NULL AND NOT c.not_employer AND s.status IN ('FOUND', 'CANDIDATE') AND (s.checked_at IS NULL OR s.checked_at < TIMESTAMP '2024-01-08 00:00:00')) WHERE r = 1 ORDER BY priority DESC, checked_at NULLS FIRST, id LIMIT 40"))
+def site_queue(t):
+    d = Domain(t)
+    return market.sites_to_check(d["company_site"], d["company"].withColumn("priority", F.col("id") % 3), dt.datetime(2024, 1, 8), 40)
