@@ -88,3 +88,22 @@ def days_without(rows: DataFrame, time: str, first: dt.date, last: dt.date) -> D
     spark = rows.sparkSession
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
     return days.join(rows.select(F.col(time).cast("date").alias("day")).distinct(), "day", "left_anti")
+
+
+def outbox_batch(outbox: DataFrame, most: int) -> DataFrame:
+    """The next messages (id, sent_at, ...) to publish: those not sent, oldest first."""
+    return outbox.where("sent_at IS NULL").orderBy("id").limit(most)
+
+
+def outbox_sent(outbox: DataFrame, answers: DataFrame, now: dt.datetime) -> DataFrame:
+    """outbox (id, sent_at, attempts) after a batch was published; answers (id, answer) has the broker's:
+    CONFIRMED messages are sent; RETURNED ones, which nobody takes, stay with one attempt more. If any
+    message of the batch has no answer (null), the whole batch stays as it was and is published again,
+    so every message arrives at least once, in order."""
+    whole = answers.agg(F.coalesce(F.bool_and(F.col("answer").isNotNull()), F.lit(True)).alias("whole"))
+    said = answers.crossJoin(F.broadcast(whole)).where("whole").select(F.col("id").alias("of"), "answer")  # one row
+    own = outbox.join(said, F.col("id") == F.col("of"), "left")
+    open_ = F.col("sent_at").isNull()
+    sent = F.when(open_ & (F.col("answer") == "CONFIRMED"), _at(now)).otherwise(F.col("sent_at"))
+    tries = F.when(open_ & (F.col("answer") == "RETURNED"), F.col("attempts") + 1).otherwise(F.col("attempts"))
+    return own.withColumns({"sent_at": sent, "attempts": tries}).drop("of", "answer")

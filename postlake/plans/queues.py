@@ -209,3 +209,19 @@ def boards(t):
 def site_queue(t):
     d = Domain(t)
     return market.sites_to_check(d["company_site"], d["company"].withColumn("priority", F.col("id") % 3), dt.datetime(2024, 1, 8), 40)
+
+
+_OUTBOX = "SELECT event_id AS id, CASE WHEN event_type = 'view' THEN ts END AS sent_at FROM events"
+
+
+@R.add("r09_outbox", f"""WITH o AS ({_OUTBOX}), b AS (SELECT id FROM o WHERE sent_at IS NULL ORDER BY id LIMIT 500)
+SELECT o.id, o.sent_at IS NOT NULL OR (b.id IS NOT NULL AND e.value < 90) AS sent, CAST(CASE WHEN b.id IS NOT NULL AND NOT e.value < 90 THEN 1 ELSE 0 END AS BIGINT) AS attempts FROM o JOIN events e ON e.event_id = o.id LEFT JOIN b ON b.id = o.id""")
+def r09(t):
+    """Two batches: the first has a message without an answer and changes nothing, the second counts."""
+    e = t("events")
+    outbox = e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", F.col("ts")).alias("sent_at"), F.lit(0).cast("long").alias("attempts"))
+    batch = queues.outbox_batch(outbox, 500).select("id").join(e, F.col("id") == F.col("event_id"))
+    answer = F.when(F.col("value") < 90, "CONFIRMED").otherwise("RETURNED")
+    lost = queues.outbox_sent(outbox, batch.select("id", F.when(F.col("value") < 95, answer).alias("answer")), NOW)
+    done = queues.outbox_sent(lost, batch.select("id", answer.alias("answer")), NOW)
+    return done.select("id", F.col("sent_at").isNotNull().alias("sent"), "attempts")
