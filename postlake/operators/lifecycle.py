@@ -75,3 +75,24 @@ def response_group(status: Column, closed: Column, days: Column, silent: int = 2
 def dropped(open_postings: Column, listed: Column, least: int = 5) -> Column:
     """Whether a read lists suspiciously few: fewer than half of at least so many open postings."""
     return (open_postings >= least) & (listed * 2 < open_postings)
+
+
+def posting_check(checks: DataFrame) -> DataFrame:
+    """What single pages say of postings that a list with a country filter no longer has: checks
+    (external_id, status, error, title, ...) with result. A page that is there (a success with a title)
+    is PRESENT: its details are taken and no absence counts; one that the source says is gone (404, 410)
+    is ABSENT: an absence counts; anything else is UNKNOWN: nothing counts, and the next read checks again."""
+    from postlake.sources.pages import http_outcome
+
+    kind = http_outcome(F.col("status"), F.col("error"))["kind"]
+    there = kind.isNull() & F.col("status").isNotNull() & (F.coalesce(F.trim("title"), F.lit("")) != "")
+    return checks.withColumn("result", F.when(there, "PRESENT").when(kind == "NOT_FOUND", "ABSENT").otherwise("UNKNOWN"))
+
+
+def after_checks(unlisted: DataFrame, checks: DataFrame) -> DataFrame:
+    """unlisted postings (external_id, missing, title) after their check: missing 0 and the page's title if
+    present, one more if absent, unchanged if unknown or not checked."""
+    c = posting_check(checks).select(F.col("external_id").alias("of"), "result", F.col("title").alias("now"))
+    own = unlisted.join(c, F.col("external_id") == F.col("of"), "left")
+    missing = F.when(F.col("result") == "PRESENT", 0).when(F.col("result") == "ABSENT", F.col("missing") + 1).otherwise(F.col("missing"))
+    return own.withColumns({"missing": missing, "title": F.when(F.col("result") == "PRESENT", F.col("now")).otherwise(F.col("title"))}).drop("of", "now", "result")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postlake import sinks
 from postlake.functions.scalars import html_text
+from postlake.operators import lifecycle
 from postlake.operators.resolve import shared_folder
 from postlake.plans.registry import Registry
 from postlake.sources import pages, parsers, registries
@@ -165,6 +166,26 @@ def s18(t):
     return registries.companies(read).withColumn("terminated_on", F.col("terminated_on").cast("string"))
 
 
+@R.add("s17_resumed_import", """SELECT 'batch ' || ((r - 1) // 400) AS batch, count(*) AS n, min(k) AS first FROM (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_mktsegment, c_nationkey, c_custkey) AS r FROM customer) WHERE r <= 1200 GROUP BY 1""")
+def s17(t):
+    """Three batches, each from the cursor of the one before."""
+    records = t("customer").select(F.col("c_mktsegment").alias("export"), F.col("c_nationkey").alias("file"), F.col("c_custkey").alias("place"))
+    cursor, out = None, None
+    for k in range(3):
+        batch, cursor = registries.resume(records, cursor, 400)
+        part = batch.groupBy(F.lit(f"batch {k}").alias("batch")).agg(F.count("*").alias("n"), F.min("place").alias("first"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@R.add("s32_posting_check", """SELECT p_partkey AS external_id, CASE p_size % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 2 END AS missing, CASE WHEN p_size % 5 = 0 THEN 'now ' || p_name ELSE p_name END AS title FROM part""")
+def s32(t):
+    p, k = t("part"), F.col("p_size") % 5
+    status = F.when(k == 0, 200).when(k == 1, 404).when(k == 2, 503).when(k == 3, 200)
+    checks = p.where("p_size % 5 < 4").select(F.col("p_partkey").alias("external_id"), status.alias("status"), F.lit(None).cast("string").alias("error"), F.when(k == 0, _text("now ", F.col("p_name"))).otherwise(" ").alias("title"))
+    return lifecycle.after_checks(p.select(F.col("p_partkey").alias("external_id"), F.lit(2).alias("missing"), F.col("p_name").alias("title")), checks)
+
+
 _SIZE_ROWS = ", ".join(f"('{k}', {v})" for k, v in pages.SIZES.items() if v is not None)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from postlake.functions.keys import host, labelled_numbers
 from postlake.functions.scalars import html_text
 from postlake.matching.positions import normal
+from postlake.operators.queues import after
 
 RECORD = """id string, identifiers array<struct<value:string,validTo:string>>, fullNames array<struct<value:string,validTo:string>>,
 legalForms array<struct<value:struct<code:string>,validTo:string>>, statisticalCodes struct<mainActivity:struct<code:string>>, termination string"""
@@ -99,3 +100,18 @@ def robots(pages: DataFrame) -> DataFrame:
         return pd.Series([allowed(r, p or "/") for r, p in zip(rules, path, strict=True)])
 
     return pages.withColumn("allowed", decide("rules", "path"))
+
+
+def resume(records: DataFrame, cursor: dict | None, most: int) -> tuple[DataFrame, dict | None]:
+    """(records of the next batch, the cursor behind them) of exports read file by file.
+
+    records has export (its date; full ones come before the daily ones by their date), file and place, by
+    which they are ordered; the cursor names the last one taken, None at the begin. A batch has at most so
+    many records; the cursor stays where it is if nothing is left. A batch that is taken again from
+    its cursor is the same, so an import may stop anywhere.
+    """
+    order = ("export", "file", "place")
+    rest = records if cursor is None else after(records, cursor)
+    batch = rest.orderBy(*order).limit(most)
+    last = batch.agg(F.max(F.struct(*order)).alias("last")).collect()[0]["last"]  # one row
+    return batch, last.asDict() if last else cursor
