@@ -100,8 +100,9 @@ def outbox_sent(outbox: DataFrame, answers: DataFrame, now: dt.datetime) -> Data
     CONFIRMED messages are sent; RETURNED ones, which nobody takes, stay with one attempt more. If any
     message of the batch has no answer (null), the whole batch stays as it was and is published again,
     so every message arrives at least once, in order."""
-    whole = answers.agg(F.coalesce(F.bool_and(F.col("answer").isNotNull()), F.lit(True)).alias("whole"))
-    said = answers.crossJoin(F.broadcast(whole)).where("whole").select(F.col("id").alias("of"), "answer")  # one row
+    if not answers.where("answer IS NULL").isEmpty():
+        return outbox
+    said = answers.select(F.col("id").alias("of"), "answer")
     own = outbox.join(said, F.col("id") == F.col("of"), "left")
     open_ = F.col("sent_at").isNull()
     sent = F.when(open_ & (F.col("answer") == "CONFIRMED"), _at(now)).otherwise(F.col("sent_at"))
