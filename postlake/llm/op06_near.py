@@ -302,8 +302,8 @@ def _across(source: DataFrame, shared: DataFrame, label: DataFrame, size: int, t
     components themselves, that may reach the threshold: they share one of their rarest shingles,
     and what comes before it in either leaves enough."""
     named = stored(shared.join(label, shared["digest"] == label["node"], "left").select("key", "digest", F.coalesce("label", "digest").alias("label")))
-    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    open_ = stored(named.join(open_, "key").select("digest", "label").distinct())
+    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x < y").select("key", "n")
+    open_ = stored(hot_join(named, "key", stored(mixed), named.count()).select("digest", "label").distinct())
     if open_.isEmpty():
         return open_.select(F.col("digest").alias("a"), F.col("digest").alias("b"))
     texts = _texts(source, stored(open_.select("digest").distinct()))
