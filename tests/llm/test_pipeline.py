@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+import duckdb
+
 import corpus_pipeline
 from postlake.llm import op01_quality, op04_bpe, op07_secrets, queries
 from postlake.llm.op02_tokens import load
@@ -37,7 +39,11 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     rows = documents()
     spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    good = [(i, t) for i, t in rows if op01_quality.measure([t])[-1][0]]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", [(k, t) for k, (_, t) in enumerate(rows)])
+    kept = dict(duck.execute(f"SELECT doc_id, kept FROM ({op01_quality.SQL})").fetchall())
+    good = [row for k, row in enumerate(rows) if kept[k]]
     assert {202, 203, 204, 201}.isdisjoint(i for i, _ in good) and len(good) > 30
     named = brute_classes(good)
     one = {(i, t) for i, t in good if named[i, t] == i}
