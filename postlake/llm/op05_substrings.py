@@ -51,7 +51,7 @@ _WINDOW = 16
 _FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _INVERSES = tuple(pow(f, -1, 1 << 64) for f in _FACTORS)
 
-FIELDS = [("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64())), *((n, pa.list_(pa.int32())) for n in ("start", "end", "word", "last", "unit"))]
+FIELDS = [("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64())), *((n, pa.list_(pa.int32())) for n in ("start", "end", "word", "last"))]
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -71,7 +71,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def units(texts: list, near: int = NEAR, bits: np.ndarray | None = None) -> list:
-    """For each text the arrays of FIELDS: digests, code points, words (end exclusive) and numbers of its
+    """For each text the arrays of FIELDS: digests, code points and words (end exclusive) of its
     chunks, or of those whose digest is in a bitmap."""
     import xxhash
 
@@ -116,7 +116,7 @@ def units(texts: list, near: int = NEAR, bits: np.ndarray | None = None) -> list
         digests.append(mix((total[b] - total[a]) * _powers(inverse, n)[a] + (b - a).astype(np.uint64)).view(np.int64))
     points = np.cumsum((data & 0xC0) != 0x80)
     zero = points[offset[own]] - 1
-    made = [*digests, points[begin[a]] - 1 - zero, points[end[b - 1] - 1] - zero, a - first_word[own], b - first_word[own], np.arange(len(own)) - np.searchsorted(own, own)]
+    made = [*digests, points[begin[a]] - 1 - zero, points[end[b - 1] - 1] - zero, a - first_word[own], b - first_word[own]]
     if bits is not None:
         k = made[0].view(np.uint64) >> np.uint64(64 - (len(bits) * 32 - 1).bit_length())
         keep = (bits[(k >> np.uint64(5)).astype(np.int64)] >> (k & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
@@ -138,20 +138,22 @@ def _bitmap(many: DataFrame) -> np.ndarray:
 
 
 def repeated(docs: DataFrame, doc: str = "doc_id", text: str = "text", near: int = NEAR) -> DataFrame:
-    """(doc, hash, unit, start, end, word, last, first_doc, first_start, here, n) of the chunks that occur more
-    than once; hash is one of the text, here tells whether this is the first place."""
+    """(doc, hash, at, words, first_doc, here) of the chunks that occur more than once; hash is
+    one of the text, here tells whether this is the first place. Rows are kept small for the shuffles:
+    two numbers in one, and one half of the digest as the key, the other as a test."""
     source = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     once = map_text(source.select("text"), "text", lambda: lambda x: units(x, near)[:1], FIELDS[:1]).select(F.explode("h1").alias("h1"))
     many = stored(once.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"))
     bits = _bitmap(many)
     own = map_text(source, "text", lambda: lambda x: units(x, near, bits), FIELDS).drop("text")
-    rows = own.select("doc", "hash", F.explode(F.arrays_zip(*[n for n, _ in FIELDS])).alias("u")).select("doc", "hash", F.struct("u.h1", "u.h2").alias("key"), *[f"u.{n}" for n, _ in FIELDS[2:]])
-    firsts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "hash")).alias("first")).where("n > 1")
-    firsts = stored(firsts.select("key", "n", F.col("n").alias("times"), "first"))
+    pair = lambda x, y: F.shiftleft(F.col(x).cast("long"), 32).bitwiseOR(F.col(y).cast("long"))
+    rows = own.select("doc", "hash", F.explode(F.arrays_zip(*[n for n, _ in FIELDS])).alias("u")).select("doc", "hash", "u.*").select("doc", "hash", "h1", "h2", pair("start", "end").alias("at"), pair("word", "last").alias("words"))
+    firsts = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at", "hash")).alias("first")).where("n > 1")
+    firsts = stored(firsts.select("h1", "n", F.col("h2").alias("same"), "first"))
     total = firsts.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
-    found = hot_join(rows, "key", firsts, total)
-    here = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("start") == F.col("first.start")) & (F.col("hash") == F.col("first.hash"))
-    return found.select("doc", "hash", *[n for n, _ in FIELDS[2:]], F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start"), here.alias("here"), F.col("times").alias("n"))
+    found = hot_join(rows, "h1", firsts, total).where("h2 = same")
+    here = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("at") == F.col("first.at")) & (F.col("hash") == F.col("first.hash"))
+    return found.select("doc", "hash", "at", "words", F.col("first.doc").alias("first_doc"), here.alias("here"))
 
 
 def spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", near: int = NEAR, least: int = LEAST, later_only: bool = False) -> DataFrame:
@@ -165,9 +167,14 @@ def spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", near: int =
     found = repeated(docs, doc, text, near)
     if later_only:
         found = found.where(~F.col("here"))
-    found = found.dropDuplicates(["doc", "hash", "unit"])
-    step = lambda *by: F.col("unit") - F.dense_rank().over(Window.partitionBy(*by).orderBy("unit"))
-    found = found.withColumn("run", step("doc", "hash")).withColumn("stretch", step("doc", "hash", "first_doc"))
+    order = Window.partitionBy("doc", "hash").orderBy("words")
+    high, low = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+    before = F.lag(F.struct("words", "first_doc")).over(order)
+    found = found.withColumn("before", before).where("before.words IS NULL OR before.words <> words")  # repeated rows once
+    begins = F.coalesce(high("words") != low("before.words"), F.lit(True))
+    turns = begins | ~F.col("first_doc").eqNullSafe(F.col("before.first_doc"))
+    found = found.withColumns({"begins": begins.cast("long"), "turns": turns.cast("long")})
+    found = found.select("doc", "hash", "first_doc", "here", high("at").alias("start"), low("at").alias("end"), high("words").alias("word"), low("words").alias("last"), F.sum("begins").over(order).alias("run"), F.sum("turns").over(order).alias("stretch"))
     parts = found.groupBy("doc", "hash", "run", "first_doc", "stretch").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
