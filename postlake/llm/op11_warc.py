@@ -2,8 +2,8 @@
 
 Pages become records: of pages with equal payloads of least bytes or more, those with the largest id keep
 theirs (response), the others refer to it (revisit). Records are sorted by id, url and digest over ranges;
-the bounds of the ranges are those of the SAMPLE records for each range whose hashes are smallest, and
-their number follows the bytes (ranges and their size grow alike), so neither depends on a cluster. The
+the bounds of the ranges come from the records whose hashes are small, SAMPLE for each range, and the
+number of ranges follows the bytes (it and their size grow alike), so neither depends on a cluster. The
 shuffle deals a range to the partition of its number. A task regenerates headers, ids and digests of
 its records, gzips each as a member of its own and rolls files by compressed size, under temporary names.
 When all tasks have ended, the driver gives the files of one attempt a task their names and writes
@@ -29,11 +29,11 @@ import hashlib
 import json
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,7 +51,7 @@ ROLL = 1_000_000_000
 #: A range has as many times UNIT bytes as there are ranges.
 UNIT = 16_384
 #: Sampled records for each range.
-SAMPLE = 32
+SAMPLE = 16
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "manifest.json"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -110,13 +110,25 @@ def _tie() -> Column:
     return F.xxhash64("url", "sha1", "number")
 
 
-def bounds(own: DataFrame, n: int) -> list[tuple[int, int]]:
-    """First (id, tie) of all of n ranges but the first. An id that the sample holds once is wholly in the range
-    it begins; one that it holds more often is split by its ties, which tell equal rows apart."""
-    some = own.select(F.coalesce("page_id", F.lit(-(2**63))).alias("id"), _tie().alias("tie"), F.xxhash64("page_id", "url", "sha1").alias("order"))
-    at = sorted((r["id"], r["tie"]) for r in some.orderBy("order", "id", "tie").limit(SAMPLE * n).collect())  # SAMPLE * n rows
-    often = Counter(i for i, _ in at)
-    return sorted({(i, tie if often[i] > 1 else -(2**63)) for i, tie in (at[len(at) * k // n] for k in range(1, n) if at)})
+def bounds(own: DataFrame, n: int, total: int) -> list[tuple[int, int]]:
+    """First (id, tie) of all of n ranges but the first, of own (of named, total rows).
+
+    Ids are sampled by a hash of their rows, so that the sample follows from the pages alone. An id with more
+    than half a range of a second sample, which also hashes the rows' numbers, is hot: it is split by the
+    ties of its rows there, other ids lie in one range as a whole. SAMPLE * n rows each are expected.
+    """
+    page, most = F.coalesce("page_id", F.lit(-(2**63))).alias("id"), min(2**63 - 1, int(2**64 * SAMPLE * n / max(total, 1)) - 2**63)
+    ids = own.where(F.xxhash64("page_id", "url", "sha1") <= F.lit(most)).select(page).distinct().toArrow().column("id").to_numpy()
+    rows = own.where(F.xxhash64("number", "page_id") <= F.lit(most)).select(page, _tie().alias("tie")).toArrow()
+    own_ids, ties = rows.column("id").to_numpy(), rows.column("tie").to_numpy()
+    each, inverse, count = np.unique(own_ids, return_inverse=True, return_counts=True)
+    hot = count > SAMPLE // 2
+    some = ids[~np.isin(ids, each[hot])]
+    at = np.concatenate([some, own_ids[hot[inverse]]])
+    tie = np.concatenate([np.full(len(some), -(2**63)), ties[hot[inverse]]])
+    order = np.lexsort((tie, at))
+    cut = order[np.unique(len(at) * np.arange(1, n) // n)] if len(at) else order
+    return sorted(set(zip(at[cut].tolist(), tie[cut].tolist(), strict=True)))
 
 
 def ranged(rows: DataFrame, at: list[tuple[int, int]], n: int) -> DataFrame:
@@ -250,7 +262,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, roll: int = ROLL, u
     own = named(pages)
     sizes = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("html") + F.lit(500)).alias("b")).collect()[0]  # one row
     n = max(1, math.ceil(math.sqrt((sizes["b"] or 0) / unit)))
-    rows = ranged(decided(own, sizes["n"], least), bounds(own, n), n)
+    rows = ranged(decided(own, sizes["n"], least), bounds(own, n, sizes["n"]), n)
     rows.write.format("postlake_warc").option("path", folder).option("roll", roll).mode("overwrite").save()
     return manifest(folder)
 
