@@ -203,13 +203,6 @@ def v03(t):
     return t("embeddings").join(t("labels"), C("doc_id") == C("vec_id"), "left_anti").select("vec_id")
 
 
-@R.add("b10_title_and_place")
-def b10(t):
-    d = Domain(t)
-    first = d["vacancy"].groupBy(F.concat(F.lit("Title "), (C("id") % 40).cast("string")).alias("title")).agg(F.min("id").alias("vacancy"))
-    return d["job_posting"].join(first, "title").select("id", "vacancy")
-
-
 # queries of their own
 
 

@@ -400,15 +400,6 @@ def p17(t):
 
 both("j17_employers_of_posting", "SELECT DISTINCT id, company FROM (SELECT j.id, cs.company_id AS company FROM job_posting j JOIN company_source cs ON cs.source_id = j.source_id AND cs.role = 'EMPLOYER' UNION ALL SELECT j.id, 1 + o.num % 100 AS company FROM job_posting j JOIN offer_position o ON j.external_id = 'profesia:' || o.num) x")
 both("v03_pending_examples", "SELECT vec_id FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.vec_id)")
-both("b10_title_and_place", "SELECT j.id, v.vacancy FROM job_posting j JOIN (SELECT 'Title ' || (id % 40) AS title, min(id) AS vacancy FROM vacancy GROUP BY 'Title ' || (id % 40)) v ON v.title = j.title")
-
-
-@R.add("b09_strong_signal", """SELECT k, arg_min(v, (signal, v)) AS v FROM (SELECT o_orderkey AS k, 1 AS signal, c_custkey AS v FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 UNION ALL SELECT o_orderkey, 2, p_partkey FROM orders JOIN part ON p_partkey = o_orderkey) GROUP BY k""")
-def b09(t):
-    n = t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a"))
-    first = n.join(t("customer").where("c_acctbal > 0"), F.col("a") == F.col("c_custkey")).select("k", F.lit(1).alias("signal"), F.col("c_custkey").alias("v"))
-    second = n.join(t("part"), F.col("k") == F.col("p_partkey")).select("k", F.lit(2).alias("signal"), F.col("p_partkey").alias("v"))
-    return first.union(second).groupBy("k").agg(F.min_by("v", F.struct("signal", "v")).alias("v"))
 
 
 @R.add("q03_responses_by_group", "SELECT CASE WHEN s = 'REJECTED' OR c OR (s = 'APPLIED' AND d >= 42) THEN 'FINISHED' WHEN s = 'APPLIED' AND d >= 21 THEN 'SILENT' ELSE 'ACTIVE' END AS grp, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 1 THEN 'INTERVIEW' WHEN 2 THEN 'REJECTED' ELSE 'APPLIED' END AS s, o_orderstatus = 'F' AS c, o_orderkey % 70 AS d FROM orders) GROUP BY grp")

@@ -137,17 +137,6 @@ def q18_all(t):
     return resolve.resolve_all(_copies(t).withColumn("rank", F.lit(1))).select("merged", "kept")
 
 
-@R.add("b07_journal", """SELECT k, '{"k":' || k || ',"name":"' || name || '"}' AS image FROM (SELECT s_suppkey AS k, s_name AS name FROM supplier WHERE s_acctbal > 0)""")
-def b07(t):
-    return t("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k"), F.to_json(F.struct(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))).alias("image"))
-
-
-@R.add("b07_unmerge_from_journal", "SELECT s_suppkey AS k, s_name AS name FROM supplier")
-def b07_back(t):
-    back = b07(t).select(F.from_json("image", "k long, name string").alias("i")).select("i.*")
-    return t("supplier").where("NOT s_acctbal > 0").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")).union(back)
-
-
 @R.add("x_same_employer_keys", "SELECT count(*) AS n, count(DISTINCT lower(c_name)) AS names FROM customer")
 def x_same(t):
     return t("customer").agg(F.count("*").alias("n"), F.count_distinct(keys.fold(F.col("c_name"))).alias("names"))
