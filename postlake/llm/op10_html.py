@@ -4,19 +4,21 @@ A page is read as HTML is: names of tags end at white space, `/` or `>`; a new p
 item, row or cell ends the open one; an end tag ends what was left open inside. Blocks are the
 texts between block-level tags.
 
-Pass one decides what a block's own text shows: mostly links (link density): bad; long and dense
-in stop words: good, unless it stands in a marked place. Everything else is ambiguous: short
-blocks, and long ones of an unknown language. Pass two gives an ambiguous block the label of the
+Pass one decides what a block's own text shows: mostly links (link density): bad, but for headings and
+whole sentences of an article; long and dense in stop words: good, unless it stands in a marked place.
+Everything else is ambiguous: short blocks, and long ones of an unknown language. Pass two gives an ambiguous block the label of the
 nearest decided block of its section; at equal distance a good one counts, and a heading takes that
 of the next decided one. A section is an article (or the main part), a marked place, or the rest
 of the page. Where a section has no decided block, its place decides: an article is good; a marked
 place is bad, and so is the rest, but if nothing is good on a page without articles, the rest stays.
 
 Marked places are elements whose tag or class, id or role is that of menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments. Words of layout (sidebar, search, header)
-often stand on wrappers of whole pages: such a mark is dropped if the element holds most of the
-text that pass one finds good, and no article stands outside marked places. Words behind "no" or
-"has" are no marks. An article or main part inside a marked place, but comments, is not marked.
+sidebars, notices, adverts, forms and reader comments. A name counts as a whole: each of its words must be
+a mark or one that stands beside them (site-footer, ad-slot), so ad-free or recommended-reading is none. The
+text may overrule a mark, but that of comments: one of layout (sidebar, search, header) if the element holds
+most of the text that pass one finds good and no article stands outside marked places, any inside an
+article if the element holds most good text and the article has none besides. An article or main part
+inside a marked place, but comments, is not marked.
 
 Text: character references decoded, white space to one space, blocks joined by one space.
 
@@ -78,7 +80,12 @@ MARKS = frozenset(
 LAYOUT = frozenset("banner nav navbar navigation menu header masthead footer sidebar aside widget alert share sharing social search toolbar".split())
 COMMENTS = frozenset("comment comments reply replies disqus respond commentlist".split())
 _ANY = MARKS | LAYOUT | COMMENTS
-NEGATIONS = frozenset("no not non has with without hide".split())
+#: Words that may stand beside marks in a name; any other word, as in ad-free or discussion-paper, makes a name of its own.
+BESIDE = frozenset(
+    """site page main global top bottom left right upper lower inner outer primary secondary sticky fixed mobile desktop post posts article
+    articles entry reader readers user users box boxes section sections list lists area areas wrap wrapper container block bar strip slot
+    unit zone panel pane group row col column content item items link links form text title heading body cell button buttons icon icons""".split()
+)
 #: Frequent words of English, German, French and Spanish.
 STOPS = frozenset(
     """the of and to a in is it that for on was with as be at by this are from or an have not but he she they you we
@@ -113,22 +120,29 @@ class Block(NamedTuple):
 
 
 class Place(NamedTuple):
-    """A marked element: the marked one around it (or -1), and whether its mark is one of layout."""
+    """A marked element: the marked one around it (or -1), whether its mark is one of layout, is of comments, and stands inside an article."""
 
     outer: int
     layout: bool
     comments: bool
+    inside: bool
+
+    @property
+    def soft(self) -> bool:
+        """Whether the page's text may overrule the mark."""
+        return self.layout or (self.inside and not self.comments)
 
 
 def marks(attrs: str) -> set[str]:
-    """Words of marks in the class, id and role attributes, but those behind a negation."""
+    """Marks among the names in the class, id and role attributes: names of which each word is a mark or may stand beside one, and a number ends them at most."""
     if "=" not in attrs:
         return set()
     out = set()
     for m in _NAMES.finditer(attrs):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
-            words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
-            out |= {w for k, w in enumerate(words) if w in _ANY and not (k and words[k - 1] in NEGATIONS)}
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if not w.isdigit()]
+            if all(w in _ANY or w in BESIDE or not w for w in words):
+                out.update(w for w in words if w in _ANY)
     return out
 
 
@@ -198,11 +212,11 @@ class _Reader:
         in_comments = place >= 0 and self.places[place].comments
         if got & COMMENTS or got & MARKS or tag in MARKED_TAGS:
             self.end_block()
-            self.places.append(Place(place, False, in_comments or bool(got & COMMENTS)))
+            self.places.append(Place(place, False, in_comments or bool(got & COMMENTS), article >= 0))
             place = len(self.places) - 1
         elif got or tag in LAYOUT_TAGS and not (tag == "header" and article >= 0):
             self.end_block()
-            self.places.append(Place(place, True, in_comments))
+            self.places.append(Place(place, True, in_comments, article >= 0))
             place = len(self.places) - 1
         elif not inline:
             self.end_block()
@@ -259,25 +273,25 @@ def blocks(html: str) -> tuple[list[Block], list[Place]]:
 
 def by_text(block: Block) -> bool | None:
     """Pass one without places: what a block's own text shows."""
+    words = _WORD.findall(block.text.lower()) if len(block.text) >= SHORT else []
+    prose = bool(words) and sum(w in STOPS for w in words) >= MIN_STOPS * len(words)
     if block.links > MAX_LINKS * block.size:
-        return False
-    if len(block.text) >= SHORT:
-        words = _WORD.findall(block.text.lower())
-        if words and sum(w in STOPS for w in words) >= MIN_STOPS * len(words):
-            return True
-    return None
+        # of an article's links a heading and a whole sentence may be text of it: their neighbours decide
+        return None if block.article >= 0 and (block.heading or prose) else False
+    return True if prose else None
 
 
 def marked(found: list[Block], places: list[Place], first: list[bool | None]) -> list[bool]:
-    """Which places are marked, in the end: those of layout are not if they hold most good text."""
-    firm = []  # a mark that is not of layout, here or around
+    """Which places are marked, in the end: soft ones are not if they hold most good text."""
+    firm = []  # a mark that can't be overruled, here or around
     for p in places:
-        firm.append(not p.layout or (p.outer >= 0 and firm[p.outer]))
+        firm.append(not p.soft or (p.outer >= 0 and firm[p.outer]))
     inside = [0] * len(places)
     total = 0
-    articles = False
+    articles = texts = False  # outside marked places: any article, one with good text
     for b, good in zip(found, first, strict=True):
         articles |= b.place < 0 <= b.article
+        texts |= b.place < 0 <= b.article and bool(good)
         if good and not (b.place >= 0 and firm[b.place]):
             total += b.size
             if b.place >= 0:
@@ -287,7 +301,7 @@ def marked(found: list[Block], places: list[Place], first: list[bool | None]) ->
             inside[places[k].outer] += inside[k]
     out = []
     for p, n in zip(places, inside, strict=True):
-        drop = p.layout and total and not articles and n >= MOST * total
+        drop = p.soft and total and n >= MOST * total and not (texts if p.inside else articles)
         out.append(not drop or (p.outer >= 0 and out[p.outer]))
     return out
 
