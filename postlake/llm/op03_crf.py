@@ -11,8 +11,8 @@ lines, weighted by their lengths; its score is a logistic function of the aggreg
 documents' labels, as a bad document may have many good lines.
 
 Training takes at most MAX_DOCUMENTS labelled documents, those with the smallest hash of the id,
-each with all its lines, as long as they have MAX_LINES lines each on average (one document may have
-more); the bounds hold for training only, every text is scored whole.
+each with all its lines, as long as they have MAX_LINES lines each on average (one with more lines than are
+left is passed over); the bounds hold for training only, every text is scored whole.
 Labels of documents whose crc32 of the id modulo FOLDS is 0 are never read. Language, source and
 ids are no features.
 
@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from postlake.llm.common import map_text, table
+from postlake.llm.common import map_text, stored, table
 from postlake.llm.op06_near import mix
 
 FOLDS = 5
@@ -253,14 +254,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
 
         return run
 
-    rows = map_text(own, text, make, [("x", pa.binary())]).groupBy("of").agg(F.min(F.struct("label", "x")).alias("r")).select("of", "r.*").orderBy(F.xxhash64("of"), "of")
-    kept, lines = [], 0
-    for r in rows.toLocalIterator():
-        part = np.frombuffer(r["x"]).reshape(-1, SIZE + 1)
-        lines += len(part)
-        if kept and lines > MAX_DOCUMENTS * MAX_LINES:
-            break
-        kept.append((r["of"], int(r["label"]), part))
+    width = 8 * (SIZE + 1)
+    rows = stored(map_text(own, text, make, [("x", pa.binary())]).groupBy("of").agg(F.min(F.struct("label", "x")).alias("r")).select("of", "r.*", F.xxhash64("of").alias("order"), (F.octet_length("r.x") / width).cast("long").alias("lines")))
+    # documents by hash, as long as their lines fit; one that doesn't is passed over, not those behind it
+    fits, lines = [], 0
+    for r in rows.select("of", "order", "lines").orderBy("order", "of").collect():  # most rows
+        if lines + r["lines"] <= most * MAX_LINES:
+            fits.append((r["of"],))
+            lines += r["lines"]
+    chosen = rows.sparkSession.createDataFrame(fits, T.StructType([T.StructField("fit", rows.schema["of"].dataType)]))
+    kept = [(r["of"], int(r["label"]), np.frombuffer(r["x"]).reshape(-1, SIZE + 1)) for r in rows.join(F.broadcast(chosen), F.col("of") == F.col("fit")).select("of", "label", "x").toLocalIterator()]
     kept.sort(key=lambda r: r[0])
     parts = [part for _, _, part in kept]
     x = np.concatenate(parts) if parts else np.zeros((0, SIZE + 1))

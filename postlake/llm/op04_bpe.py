@@ -43,6 +43,18 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _known_kind(spec: dict, path: str) -> None:
+    """An error for files that this encoder would give other ids than the library."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    if model.get("type", "BPE") != "BPE" or not plain or spec.get("normalizer") or any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "byte_fallback", "ignore_merges")):
+        raise ValueError(f"{path}: only byte-level BPE without normaliser, prefix or suffix is known here")
+    if missing := sorted(b for c, b in byte_letters().items() if c not in model["vocab"]):
+        raise ValueError(f"{path}: no token for the bytes {missing[:5]}")
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec["added_tokens"]):
+        raise ValueError(f"{path}: added tokens that take more than their string are not known here")
+
+
 class Bpe:
     """Encoder and decoder of one tokenizers file with a byte-level BPE model."""
 
@@ -52,6 +64,7 @@ class Bpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _known_kind(spec, path)
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         vocab = spec["model"]["vocab"]

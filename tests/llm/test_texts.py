@@ -329,3 +329,29 @@ def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "own"), (2, None, None, None), (1, "u", PAGE, "own")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract(pages).collect()) == [(1, TEXT, len(TEXT)), (1, TEXT, len(TEXT)), (2, "", 0)]
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_a_document_beyond_the_bound_is_passed_over(spark):
+    """One labelled log of very many lines leaves all others for training, wherever it stands."""
+    good, bad = "It is the work of the people in the town.\n" * 4, "x9 $$ 11\n!!\n" * 4
+    rows = [(i, good if i % 2 else bad) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    first = [r[0] for r in labels.where(~crf.held_out()).orderBy(crf.F.xxhash64("doc_id")).limit(2).collect()]
+    huge = [(i, "y z\n" * 5000 if i == first[0] else x) for i, x in rows]
+    model = crf.fit(spark.createDataFrame(huge, "doc_id long, text string"), labels, most=40)
+    got = crf.scores([good, bad], model)
+    assert got[0] > 0.5 > got[1]
+    assert crf.scores([good], crf.fit(spark.createDataFrame([(1, "y\n" * 9)], "doc_id long, text string"), labels.where("doc_id = 1"), most=0)).shape == (1,)
+
+
+def test_other_files_are_refused(tmp_path):
+    import json
+
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.Bpe(bpe.vocabulary_path("word_bpe_49k.json"))
+    with open(bpe.vocabulary_path(bpe.VOCABULARY), encoding="utf-8") as f:
+        spec = json.load(f)
+    del spec["model"]["vocab"]["!"]
+    (tmp_path / "less.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="no token for the bytes"):
+        bpe.Bpe(str(tmp_path / "less.json"))
