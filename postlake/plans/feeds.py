@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from postlake import sinks
 from postlake.functions.scalars import html_text
 from postlake.operators import lifecycle
-from postlake.operators.resolve import shared_folder
+from postlake.operators.resolve import shared_folder, written
 from postlake.plans.registry import Registry
-from postlake.sources import pages, parsers, registries
+from postlake.sources import cards, pages, parsers, registries, warc
 
 R = Registry()
 _DAY = "CAST(DATE '2024-01-01' + p_size AS VARCHAR)"
@@ -259,9 +259,56 @@ def s31(t):
     return parsers.accumulate(postings, outcome)[1]
 
 
-@R.add("p13_card_texts", "SELECT page_id, 'Dev & Ops ' || page_id AS title FROM pages")
+#: Career pages of three makes: the link holds a heading; a button beside a heading; a table with numbers before the titles.
+_CARDS = {
+    0: ('<li><a href="/kariera/{n}-{i}"><h3>{title}</h3> 1600 EUR</a><span>{place}</span></li>', "<ul>{}</ul>"),
+    1: ('<div class="item"><div><h4>{title}</h4><p>{place}</p></div><a href="/kariera/{n}-{i}">Viac info</a></div>', "<div>{}</div>"),
+    2: ('<tr><td><a href="/kariera/{n}-{i}">{i} {title}</a><td>{place}</tr>', "<table>{}</table>"),
+}
+_CARD_SQL = "SELECT CAST(p_partkey AS VARCHAR) AS board, 'e.sk/kariera/' || p_partkey || '-' || i AS external_id, {title} AS title, {place} AS location FROM part, range(1, 4) r(i)"
+_CARD_TITLE, _CARD_PLACE = "'Dev & ' || p_name || ' ' || chr(64 + i::INT)", "CASE p_size % 2 WHEN 0 THEN 'Senec' ELSE 'Banská Bystrica' END"
+
+
+def _career_pages(t) -> DataFrame:
+    """(board, page, body): a career page for each part, with a menu, a shorter list of articles and a footer around its cards."""
+    place = F.when(F.col("p_size") % 2 == 0, "Senec").otherwise("Banská Bystrica")
+
+    def filled(text: str, **values: str | Column) -> Column:
+        pieces = text.split("{")
+        return _text(pieces[0], *[x for p in pieces[1:] for x in (values[p.split("}")[0]], p.split("}", 1)[1])])
+
+    body = F.lit(None).cast("string")
+    for make, (card, around) in _CARDS.items():
+        own = _text(*[filled(card, n=F.col("n"), i=str(i), place=place, title=_text("Dev &amp; <b>", F.col("p_name"), f"</b> {chr(64 + i)}")) for i in (1, 2, 3)])
+        body = F.when(F.col("p_partkey") % 3 == make, _text(around.split("{}")[0], own, around.split("{}")[1])).otherwise(body)
+    menu, rest = "<header><a href='/kariera/menu-one'>Menu one</a></header><nav><a href='/kariera/a'>All of them</a></nav>", "<ul><li><a href='/kariera/blog/x'>First story</a><li><a href='/kariera/blog/y'>Other story</a></ul><footer><a href='/kariera/f'>Foot of it</a></footer>"
+    return _parts(t).select(F.col("n").alias("board"), F.lit("https://www.e.sk/kariera").alias("page"), _text("<html><body>", menu, body, rest).alias("body"))
+
+
+@R.add("s11_career_cards", f"SELECT board, count(*) AS n, min(external_id) AS first FROM ({_CARD_SQL.format(title='1', place='1')}) GROUP BY board")
+def s11_cards(t):
+    """The largest list of sibling cards of each page."""
+    return cards.career_cards(_career_pages(t)).groupBy("board").agg(F.count("*").alias("n"), F.min("external_id").alias("first"))
+
+
+@R.add("p13_card_texts", _CARD_SQL.format(title=_CARD_TITLE, place=_CARD_PLACE))
 def p13(t):
-    return t("pages").select("page_id", html_text(_text("<h3> Dev &amp; <b>Ops</b>\n", F.col("page_id").cast("string"), "</h3>")).alias("title"))
+    """Titles and places from the parts of cards."""
+    return cards.career_cards(_career_pages(t)).select("board", "external_id", "title", "location")
+
+
+@R.add("s22_records_by_range", "SELECT 'crawl-' || (s_suppkey % 3) || '.warc.gz' AS file, 'https://www.h' || s_suppkey || '.sk/kontakt' AS url, CAST(20000000 + s_suppkey AS VARCHAR) AS number FROM supplier WHERE s_suppkey % 2 = 0")
+def s22_ranges(t):
+    """Crawl files are written with their index; of it the contact pages of every second host are read by byte ranges, and their numbers taken."""
+    s = t("supplier").select("s_suppkey", F.col("s_suppkey").cast("string").alias("k"))
+    page = lambda path, text: s.select(_text("crawl-", (F.col("s_suppkey") % 3).cast("string"), ".warc.gz").alias("file"), _text("https://www.h", F.col("k"), ".sk/", path).alias("url"), text.alias("body"))
+    captured = page("o-nas", F.lit("<p>nothing")).union(page("kontakt", _text("<p>IČO: 2", F.lpad("k", 7, "0"), "</p>")))
+    folder = f"{shared_folder(s.sparkSession).rstrip('/')}/crawl-{uuid.uuid4().hex}"
+    index = written(warc.write_files(captured, folder))
+    wanted = index.join(s.where("s_suppkey % 2 = 0").select(_text("https://www.h", F.col("k"), ".sk/kontakt").alias("url")), "url", "left_semi")
+    read = warc.read_ranges(wanted, stretch=2000)
+    number = F.regexp_extract(html_text(F.col("body")), r"IČO: (\d+)", 1)
+    return read.select(F.substring_index("path", "/", -1).alias("file"), "url", number.alias("number"))
 
 
 # sinks, written to the shared folder and read again
