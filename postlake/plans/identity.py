@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.operators import identity, merging
+from postlake.operators import history, identity, merging
 from postlake.operators.resolve import keepers, written
 from postlake.plans.domain import duck_text, spark_text
 from postlake.plans.registry import Registry
@@ -164,7 +164,7 @@ def merged_marks(t):
 
 
 @R.add("b07_journal", f"{_PAIRS_SQL}, touched AS (SELECT merged AS v FROM moves UNION SELECT kept FROM moves) SELECT 'vacancy' AS kind, id AS k, id AS vacancy_id FROM vacancy JOIN touched ON v = id UNION ALL SELECT 'job_posting', id, vacancy_id FROM posting JOIN touched ON v = vacancy_id UNION ALL SELECT 'delivered', condition_id, vacancy_id FROM delivered JOIN touched ON v = vacancy_id")
-def journal(t):
+def journal_images(t):
     """Before-images of what the first batch changes, by table."""
     now, moves = _batch(t)
     kept = merging.journal(now, moves)
@@ -225,3 +225,21 @@ def by_title(t):
     now = tables(t)
     new = identity.keyed(now["job_posting"].where("closed_at IS NOT NULL").withColumnRenamed("id", "k").drop("vacancy_id"))
     return identity.title_and_place(new, open_postings(now), frame(t, "employer")).select("k", "vacancy_id")
+
+
+_ASK = "SELECT event_id AS id, user_id, event_id % 2 AS vacancy_id, CASE CAST(floor(value) AS INT) % 7 WHEN 0 THEN 'VIEWED' WHEN 1 THEN 'APPLIED' WHEN 2 THEN 'INTERVIEW' WHEN 3 THEN 'REJECTED' WHEN 4 THEN 'NOT_INTERESTED' WHEN 5 THEN 'RETURNED' END AS status, ts AS set_at, CAST(ts AS DATE) AS local_day FROM events"
+
+
+@R.add("q04_status_history", f"""WITH RECURSIVE asked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id, vacancy_id ORDER BY set_at, id) AS n FROM ({_ASK}) WHERE status IS NOT NULL),
+fold AS (SELECT user_id, vacancy_id, 0::BIGINT AS n, 0 AS line, false AS new, NULL::VARCHAR AS status, NULL::DATE AS local_day, NULL::VARCHAR AS current, 'VIEWED' AS before FROM (SELECT DISTINCT user_id, vacancy_id FROM asked)
+UNION ALL SELECT user_id, vacancy_id, n, CASE WHEN ok AND NOT same_day THEN line + 1 ELSE line END, ok, CASE WHEN ok THEN want ELSE status END, CASE WHEN ok THEN day ELSE local_day END,
+  CASE WHEN NOT ok THEN current WHEN want <> 'RETURNED' THEN want WHEN current = 'APPLIED' THEN 'VIEWED' ELSE before END, CASE WHEN ok AND want NOT IN ('RETURNED', 'NOT_INTERESTED') THEN want ELSE before END
+FROM (SELECT a.user_id, a.vacancy_id, a.n, f.line, f.status, f.local_day, f.current, f.before, a.status AS want, a.local_day AS day,
+    CASE a.status WHEN 'VIEWED' THEN f.current IS NULL WHEN 'RETURNED' THEN coalesce(f.current IN ('NOT_INTERESTED', 'APPLIED'), false) ELSE f.current IS DISTINCT FROM a.status END AS ok,
+    coalesce(f.local_day = a.local_day AND f.status IN ('APPLIED', 'INTERVIEW', 'REJECTED') AND a.status IN ('APPLIED', 'INTERVIEW', 'REJECTED'), false) AS same_day
+  FROM fold f JOIN asked a ON a.user_id = f.user_id AND a.vacancy_id = f.vacancy_id AND a.n = f.n + 1))
+SELECT user_id, vacancy_id, line::BIGINT AS line, arg_max(status, n) AS status, CAST(arg_max(local_day, n) AS VARCHAR) AS local_day, arg_max(current, n) AS current FROM fold WHERE new GROUP BY user_id, vacancy_id, line""")
+def status_lines(t):
+    """The history of every reader and vacancy, folded from all events as requests."""
+    asked = t("events").sparkSession.sql(_ASK.replace("FROM events", "FROM {events}"), events=t("events"))
+    return history.status_history(asked).select("user_id", "vacancy_id", "line", "status", F.col("local_day").cast("string").alias("local_day"), "current")
