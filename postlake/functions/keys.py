@@ -138,6 +138,31 @@ def board(url: Column) -> Column:
     return out
 
 
+# What tells the career sites of four systems apart in their pages' text, scripts included.
+SUCCESS_FACTORS_CDN, NALGOO_API, PHENOM_CDN = "rmkcdn.successfactors.com", "ats.nalgoo.com/api", "cdn.phenompeople.com"
+NALGOO_NAME = r"""(?i)\\?"organization\\?"\s*:\s*\\?"([a-z0-9-]+)"""
+PHENOM_BASE = r"""(?i)"baseUrl"\s*:\s*"https?://([a-z0-9.-]+\.[a-z]+(?:/[a-z0-9_-]+)*)/?\""""
+TALEO = r"(?i)(?<![a-z0-9-])([a-z0-9-]+\.taleo\.net)/careersection/([a-z0-9_]+)/(?:jobsearch|jobdetail|moresearch)\.ftl"
+HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+
+
+def boards_in_page(page: Column, html: Column) -> Column:
+    """Distinct struct(provider, board) of the hiring systems that a page is a site of, or names in links and scripts; page is its address.
+
+    Slashes that scripts escape are read as such. Null pages and such without boards give an empty array."""
+    text = F.replace(F.coalesce(html, F.lit("")), F.lit("\\/"), F.lit("/"))
+    one = lambda provider, name: F.struct(F.lit(provider).alias("provider"), F.nullif(F.lower(name), F.lit("")).alias("board"))
+    sites = F.array(
+        F.when(F.contains(text, F.lit(SUCCESS_FACTORS_CDN)), one("SUCCESSFACTORS", host(page))),
+        F.when(F.contains(text, F.lit(NALGOO_API)), one("NALGOO", F.regexp_extract(text, NALGOO_NAME, 1))),
+        F.when(F.contains(text, F.lit(PHENOM_CDN)), one("PHENOM", F.regexp_extract(text, PHENOM_BASE, 1))),
+    )
+    found = lambda group: F.regexp_extract_all(text, F.lit(TALEO), F.lit(group))
+    taleo = F.zip_with(found(1), found(2), lambda a, b: one("TALEO", F.concat_ws("/", a, b)))
+    linked = F.transform(F.regexp_extract_all(text, F.lit(HREF), F.lit(1)), board)
+    return F.array_distinct(F.filter(F.concat(sites, taleo, linked), lambda x: x["board"].isNotNull()))
+
+
 def labelled_numbers(text: Column, label: str = r"(?:ič?o|company id)") -> Column:
     """Array of 5-8 digit numbers behind a label, padded to 8 digits."""
     found = F.regexp_extract_all(text, F.lit(rf"(?iu)\b{label}\s*[:.]?\s*([0-9]{{5,8}})\b"), F.lit(1))

@@ -137,11 +137,23 @@ both("x25_url_templates", "SELECT page_id, p.tail AS tail, url || p.tail AS addr
 both("x26_empty_is_null", "SELECT source, nullif(source, 'src0') AS named, count(*) AS n FROM documents GROUP BY source")
 
 
-@R.add("x21_boards_in_html", r"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'acme/2' END AS board FROM pages")
+#: What a page's scripts and links say, by its number; %s is the number.
+_SITES = (
+    '<script src="https://rmkcdn.successfactors.com/x.js"></script>', '<script>{"api":"https:\\/\\/ats.nalgoo.com\\/api","x":"{\\"organization\\": \\"acme%s\\"}"}</script>',
+    '<script src="//cdn.phenompeople.com/a"></script><script>var phApp = {"baseUrl":"https://careers.e%s.com/eu/sk/"}</script>',
+    '<script>"https:\\/\\/acme%s.taleo.net\\/careersection\\/2\\/jobsearch.ftl?x"</script><a href=https://acme%s.taleo.net/careersection/EX/jobdetail.ftl>',
+    "<a class=x href='https://boards.greenhouse.io/acme%s?a=b'>", '<p>"baseUrl":"https://other.com/", "organization":"none", taleo.net/careersection/1/</p>',
+)
+
+
+@R.add("x21_boards_in_html", r"""SELECT page_id, b[1] AS provider, b[2] AS board FROM (SELECT page_id, unnest(CASE page_id % 6 WHEN 0 THEN [['SUCCESSFACTORS', 'jobs.e' || page_id || '.sk']] WHEN 1 THEN [['NALGOO', 'acme' || page_id]] WHEN 2 THEN [['PHENOM', 'careers.e' || page_id || '.com/eu/sk']]
+WHEN 3 THEN [['TALEO', 'acme' || page_id || '.taleo.net/2'], ['TALEO', 'acme' || page_id || '.taleo.net/ex']] WHEN 4 THEN [['GREENHOUSE', 'acme' || page_id]] ELSE [] END) AS b FROM pages)""")
 def x21(t):
-    html = F.when(F.col("page_id") % 2 == 0, F.lit('<a href="https:\\/\\/acme.taleo.net\\/careersection\\/2\\/jobsearch.ftl">')).otherwise(F.col("html"))
-    found = F.regexp_replace(html, r"\\/", "/")
-    return t("pages").select("page_id", F.when(found.rlike(r"([a-z0-9-]+)\.taleo\.net/careersection/([a-z0-9_]+)/"), F.concat_ws("/", F.regexp_extract(found, r"([a-z0-9-]+)\.taleo\.net/careersection/([a-z0-9_]+)/", 1), F.regexp_extract(found, r"([a-z0-9-]+)\.taleo\.net/careersection/([a-z0-9_]+)/", 2))).alias("board"))
+    """Five systems in the scripts and links behind the html of all pages."""
+    n = F.col("page_id").cast("string")
+    said = F.get(F.array(*[F.replace(F.lit(x), F.lit("%s"), n) for x in _SITES]), (F.col("page_id") % 6).cast("int"))
+    own = t("pages").select("page_id", F.concat(F.lit("https://jobs.e"), n, F.lit(".sk/search?x")).alias("page"), F.concat("html", said).alias("html"))
+    return own.select("page_id", F.explode(keys.boards_in_page(F.col("page"), F.col("html"))).alias("b")).select("page_id", "b.provider", "b.board")
 
 
 @R.add("x28_escaped_words", "SELECT doc_id FROM documents WHERE contains(text, '.%') OR contains(text, '$ ')")

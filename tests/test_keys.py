@@ -76,3 +76,14 @@ def test_scalars(spark):
     assert one(spark, scalars.backoff(5, 60, F.lit(10))) == 60.0
     lo, hi = scalars.day_bounds(F.lit("2024-03-31").cast("date"), "Europe/Bratislava")
     assert (one(spark, hi) - one(spark, lo)).total_seconds() == 23 * 3600
+
+
+def test_boards_in_pages(spark):
+    rows = [
+        (None, None), ("https://jobs.zf.com/x", "<link href='//rmkcdn.successfactors.com/y'>"), (None, "<link href='//rmkcdn.successfactors.com/y'>"),
+        ("https://k.sk", '"https://ats.nalgoo.com/api", "organization" : "Foxconn"'), ("https://k.sk", '"organization" : "foxconn"'),
+        ("https://k.sk", 'https:\\/\\/mol.taleo.net\\/careersection\\/external\\/jobsearch.ftl https://mol.taleo.net/careersection/External/jobdetail.ftl xmol.taleo.net/careersection/1/else.ftl'),
+        ("https://k.sk", 'cdn.phenompeople.com "baseUrl":"https://careers.dhl.com/eu/sk/" <a href="https://boards.greenhouse.io/acme">'),
+    ]
+    got = spark.createDataFrame(rows, "page string, html string").select(keys.boards_in_page(F.col("page"), F.col("html")).alias("b")).collect()
+    assert [sorted((x["provider"], x["board"]) for x in r["b"]) for r in got] == [[], [("SUCCESSFACTORS", "jobs.zf.com")], [], [("NALGOO", "foxconn")], [], [("TALEO", "mol.taleo.net/external")], [("GREENHOUSE", "acme"), ("PHENOM", "careers.dhl.com/eu/sk")]]
