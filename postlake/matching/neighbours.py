@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -49,7 +47,7 @@ def vote_all(queries: DataFrame, examples: DataFrame, k: int = K, least: float =
         out = []
         if len(a) and len(b):
             b = b.sort_values("example", kind="stable")
-            y = np.stack(b["vector"].to_numpy()).astype(np.float64)
+            y, codes = np.stack(b["vector"].to_numpy()).astype(np.float64), b["code"].to_numpy()
             ids, names = a["id"].to_numpy(), b["example"].to_numpy()
             step = max(1, _CELLS // len(b))
             for i in range(0, len(a), step):
@@ -61,8 +59,8 @@ def vote_all(queries: DataFrame, examples: DataFrame, k: int = K, least: float =
                 for row, low, at in zip(s, last, ids[i : i + step], strict=True):
                     near = np.flatnonzero((row >= low) & (row > -np.inf))
                     near = near[np.argsort(-row[near], kind="stable")[:k]]
-                    out.append(pd.DataFrame({"id": at, "example": names[near], "code": b["code"].to_numpy()[near], "s": row[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "example": [], "code": [], "s": []})
+                    out.append((np.repeat(at, len(near)), names[near], codes[near], row[near]))
+        return pd.DataFrame({c: np.concatenate(x) if out else [] for c, x in zip(("id", "example", "code", "s"), zip(*out, strict=True) if out else [[]] * 4, strict=True)})
 
     of = lambda df, c: df.schema[c].dataType.simpleString()
     schema = f"id {of(queries, 'id')}, example {of(examples, 'example')}, code {of(examples, 'code')}, s double"
@@ -75,36 +73,3 @@ def _voted(pairs: DataFrame, k: int, least: float) -> DataFrame:
     votes = near.groupBy("id", "code").agg(F.sum("s").alias("votes"), F.min("r").alias("nearest"), F.max("s").alias("top"))
     best = votes.groupBy("id").agg(F.min(F.struct((-F.round("votes", 9)).alias("v"), "nearest", "code")).alias("b"), F.max("top").alias("top"))
     return best.where(F.col("top") >= least).select("id", F.col("b.code").alias("code"))
-
-
-def vote_blocks(queries: DataFrame, example_blocks: list[np.ndarray], codes: list[np.ndarray], k: int = K, least: float = LEAST) -> DataFrame:
-    """The same by matrix products: queries stream through Arrow batches, examples come in blocks of
-    at most BLOCK_ROWS rows; the k best so far are kept per query."""
-    sizes = [len(b) for b in example_blocks]
-    if any(n > BLOCK_ROWS for n in sizes):
-        raise ValueError("a block is too large")
-    offsets = np.cumsum([0, *sizes])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if b.empty:
-                continue
-            x = np.stack(b["vector"].to_numpy()).astype(np.float64)
-            best = np.full((len(x), 0), 0.0)
-            at = np.zeros((len(x), 0), np.int64)
-            for block, offset in zip(example_blocks, offsets, strict=False):
-                best = np.concatenate([best, x @ block.T], axis=1)
-                at = np.concatenate([at, np.broadcast_to(np.arange(len(block)) + offset, (len(x), len(block)))], axis=1)
-                keep = np.lexsort((at, -best), axis=1)[:, :k]
-                best, at = np.take_along_axis(best, keep, 1), np.take_along_axis(at, keep, 1)
-            label = np.concatenate(codes)[at]
-            rows = []
-            for i, s, c in zip(b["id"], best, label, strict=True):
-                if len(s) and s[0] >= least:
-                    total: dict = {}
-                    for v, code in zip(s, c, strict=True):
-                        total[code] = total.get(code, 0.0) + v
-                    rows.append((i, max(total, key=lambda code: round(total[code], 9))))
-            yield pd.DataFrame(rows, columns=["id", "code"])
-
-    return queries.select("id", "vector").mapInPandas(run, f"id {queries.schema['id'].dataType.simpleString()}, code {'long' if np.issubdtype(codes[0].dtype, np.integer) else 'string'}")

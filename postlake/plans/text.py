@@ -105,12 +105,11 @@ SELECT x.k AS k1, y.k AS k2, CASE WHEN len(x.c) > 0 AND len(y.c) > 0 THEN CASE W
 FROM q x, q y"""
 
 
-@R.add("x07_relation", _REL)
+@R.add("x07_relation", f"SELECT p_partkey, relation FROM part JOIN ({_REL}) ON k1 = p_partkey % {len(_PLACES)} AND k2 = p_size % {len(_PLACES)}")
 def x07(t):
-    names = F.posexplode(F.array(*map(F.lit, _PLACES)))
-    one = t("region").limit(1).select(names.alias("k", "v")).select("k", places.places(F.col("v")).alias("a"))
-    a, b = one.select(F.col("k").alias("k1"), F.col("a").alias("a1")), one.select(F.col("k").alias("k2"), F.col("a").alias("a2"))
-    return a.crossJoin(F.broadcast(b)).select("k1", "k2", places.relation(F.col("a1"), F.col("a2")).alias("relation"))  # ten rows
+    """How the two places of every part relate."""
+    of = lambda n: places.places(F.get(F.array(*map(F.lit, _PLACES)), (n % len(_PLACES)).cast("int")))
+    return t("part").select("p_partkey", places.relation(of(F.col("p_partkey")), of(F.col("p_size"))).alias("relation"))
 
 
 @R.add("x08_offer_number", f"SELECT page_id, nullif(regexp_extract(CASE page_id % 3 WHEN 0 THEN 'profesia:' || (10000 + page_id) WHEN 1 THEN 'x' ELSE '' END || ' ' || CASE page_id % 3 WHEN 1 THEN 'https://www.profesia.sk/praca/firma/O' || (20000 + page_id) ELSE url END, '{keys.OFFER_NUMBER}', 1), '') AS number FROM pages")
