@@ -13,7 +13,7 @@ from postlake.functions.scalars import html_text
 from postlake.operators import lifecycle
 from postlake.operators.resolve import shared_folder, written
 from postlake.plans.registry import Registry
-from postlake.sources import cards, pages, parsers, registries, warc
+from postlake.sources import cards, exports, pages, parsers, registries, warc
 
 R = Registry()
 _DAY = "CAST(DATE '2024-01-01' + p_size AS VARCHAR)"
@@ -178,6 +178,28 @@ def s17(t):
     return out
 
 
+_EXPORT = "CASE WHEN c_nationkey < 12 THEN 'init-2024-01-01' WHEN c_nationkey < 18 THEN 'daily-2024-01-01' ELSE 'daily-2024-01-02' END"
+
+
+@R.add("s17_exports_stream", f"SELECT {_EXPORT} AS export, c_custkey AS id, c_name AS name FROM customer")
+def s17_stream(t):
+    """Gzipped exports, a full one and two daily ones, are written and read as a stream of bounded batches from its cursor."""
+    spark = t("customer").sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/exports-{uuid.uuid4().hex}"
+    own = t("customer").select(F.expr(_EXPORT).alias("export"), F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).alias("value"))
+    for export in ("init-2024-01-01", "daily-2024-01-01", "daily-2024-01-02"):
+        own.where(F.col("export") == export).select("value").write.option("compression", "gzip").text(f"{folder}/{export}")
+    spark.dataSource.register(exports.Exports)
+    rows = spark.readStream.format("registry_exports").option("path", folder).option("most", "100000").option("cursor", f"{folder}-cursor/at").load()
+    parsed = rows.select("export", F.from_json("record", "id long, name string").alias("r")).select("export", "r.id", "r.name")
+    stream = parsed.writeStream.format("parquet").option("path", f"{folder}-read").option("checkpointLocation", f"{folder}-offsets").start()
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return spark.read.schema(parsed.schema).parquet(f"{folder}-read")
+
+
 @R.add("s32_posting_check", """SELECT p_partkey AS external_id, CASE p_size % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 2 END AS missing, CASE WHEN p_size % 5 = 0 THEN 'now ' || p_name ELSE p_name END AS title FROM part""")
 def s32(t):
     p, k = t("part"), F.col("p_size") % 5
