@@ -174,12 +174,6 @@ def q04(t):
     return market.accessible(Domain(t), 2).select("id", "title", "status")
 
 
-@R.add("q16_unmapped_positions")
-def q16(t):
-    d = Domain(t)
-    return d["offer_position"].join(d["position"].where("id < 4").select(C("occupation_code").alias("code")), "code", "left_anti").groupBy("code").agg(F.count("*").alias("n"))
-
-
 @R.add("q25_country_turns")
 def q25(t):
     own = windows.fair_queue(t("nation"), "n_regionkey", [C("n_nationkey")], "turn")
@@ -198,11 +192,6 @@ def q29(t):
     return offers("o_totalprice > 100000 OR o_orderpriority < '3'").groupBy("employer").agg(F.count("*").alias("n"))
 
 
-@R.add("v03_pending_examples")
-def v03(t):
-    return t("embeddings").join(t("labels"), C("doc_id") == C("vec_id"), "left_anti").select("vec_id")
-
-
 # queries of their own
 
 

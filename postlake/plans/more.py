@@ -266,12 +266,6 @@ def p18(t):
 both("p19_country_code_in_list", "SELECT n_nationkey, regexp_extract(n_name || ', x, SK', '([A-Z]{2})$', 1) AS code FROM nation")
 
 
-@R.add("v04_answer_cache", "SELECT l_orderkey, l_linenumber, c.code FROM lineitem JOIN (SELECT p_partkey, min(p_brand) AS code FROM part WHERE p_size < 10 GROUP BY p_partkey) c ON c.p_partkey = l_partkey WHERE l_quantity > 45")
-def v04(t):
-    cache = t("part").where("p_size < 10").groupBy("p_partkey").agg(F.min("p_brand").alias("code"))
-    return t("lineitem").where("l_quantity > 45").join(cache, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_linenumber", "code")
-
-
 # merges and repairs
 
 
@@ -315,7 +309,6 @@ def q12(t):
 
 
 both("q13_company_search", "SELECT c.id, c.name, k.result FROM company c LEFT JOIN company_check k ON k.company_id = c.id WHERE c.name LIKE '%00012%' AND c.terminated_on IS NULL")
-both("q16_unmapped_positions", "SELECT o.code, count(*) AS n FROM offer_position o WHERE NOT EXISTS (SELECT 1 FROM position p WHERE p.occupation_code = o.code AND p.id < 4) GROUP BY o.code")
 
 
 @R.add("q17_stale_vacancies", duck(" SELECT v.id, count(j.id) AS postings, max(j.occupation_code) FILTER (j.closed_at IS NULL) AS code FROM vacancy v JOIN job_posting j ON j.vacancy_id = v.id WHERE v.state <> 'CLOSED' AND nullif(v.id % 3, 1) IS DISTINCT FROM 2 GROUP BY v.id"))
@@ -411,7 +404,6 @@ def p17(t):
 # of whole tables
 
 both("j17_employers_of_posting", "SELECT DISTINCT id, company FROM (SELECT j.id, cs.company_id AS company FROM job_posting j JOIN company_source cs ON cs.source_id = j.source_id AND cs.role = 'EMPLOYER' UNION ALL SELECT j.id, 1 + o.num % 100 AS company FROM job_posting j JOIN offer_position o ON j.external_id = 'profesia:' || o.num) x")
-both("v03_pending_examples", "SELECT vec_id FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.vec_id)")
 
 
 @R.add("q03_responses_by_group", "SELECT CASE WHEN s = 'REJECTED' OR c OR (s = 'APPLIED' AND d >= 42) THEN 'FINISHED' WHEN s = 'APPLIED' AND d >= 21 THEN 'SILENT' ELSE 'ACTIVE' END AS grp, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 1 THEN 'INTERVIEW' WHEN 2 THEN 'REJECTED' ELSE 'APPLIED' END AS s, o_orderstatus = 'F' AS c, o_orderkey % 70 AS d FROM orders) GROUP BY grp")
