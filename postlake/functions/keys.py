@@ -26,6 +26,7 @@ LEGAL_PAREN = r"\([^)]*\b(s\s*\.?\s*r\s*\.?\s*o|a\s*\.?\s*s|spol|k\s*\.?\s*s|v\s
 LEGAL_END = r"(-(spol-s-r-o|s-r-o|sro|a-s|as|k-s|v-o-s|s-e|se|j-s-a|v-d|druzstvo|o-z|organizacna-zlozka|odstepny-zavod|gmbh|ag|ltd|inc|kft|sp-z-o-o))+$"
 OFFER_NUMBER = r"(?:profesia:|profesia\.sk/(?:[^ ]*/)?O)([0-9]{5,})"
 SESSION = r"([?&])(search_id|utm_[a-z_]*|source|source_id|register)=[^&]*"
+LISTED_SESSION = r"([?&])(?:search_id|utm_[a-z_]+|filter)=[^&#]*"
 #: Second-level labels under which names are registered.
 SECOND_LEVEL = ("co", "com", "org", "net", "gov", "edu", "ac", "gob", "or", "ne")
 
@@ -89,6 +90,14 @@ def clean_address(url: Column) -> Column:
     return out
 
 
+def without_session(url: Column) -> Column:
+    """Address of a listed posting without what changes between visits (a search's number, campaign marks, a list's filter);
+    other parameters and the fragment stay. Where several go before the first that stays, one & stays behind the ?, as ids
+    on record have it. Null stays null."""
+    out = F.replace(F.regexp_replace(url, LISTED_SESSION, "$1"), F.lit("?&"), F.lit("?"))
+    return F.regexp_replace(F.regexp_replace(out, "&{2,}", "&"), r"[?&]+(#(?s:.*))?\z", "$1")
+
+
 def link_key(url: Column) -> Column:
     """Employer link: as an address, but parameters stay and a language folder after the host goes."""
     out = F.regexp_replace(_no_scheme(F.lower(url)), "#.*$", "")

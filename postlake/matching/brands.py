@@ -135,6 +135,17 @@ def confirmed(name: str | None, host: str, title: str, text: str, html: str) ->
     return len(max(found, key=len)) > SHORT or any(has(b, head) for b in found)
 
 
+def page_confirmed(name: Column, host: Column, title: Column, text: Column, html: Column) -> Column:
+    """confirmed() of each page, in Arrow batches; null texts are empty, a null name or host is never confirmed."""
+
+    @F.pandas_udf("boolean")
+    def run(names: pd.Series, hosts: pd.Series, titles: pd.Series, texts: pd.Series, pages: pd.Series) -> pd.Series:
+        rows = zip(names, hosts, titles, texts, pages, strict=True)
+        return pd.Series([bool(n) and bool(h) and confirmed(n, h, t or "", x or "", p or "") for n, h, t, x, p in rows], dtype=bool)
+
+    return run(name, F.lower(host), title, text, html)
+
+
 def verdict(opened: Column, failure: Column, on_sale: Column, number_found: Column, brand_found: Column, group_found: Column) -> Column:
     """What a check of a site says: by the failure's kind, else number, brand, group, opened."""
     return (

@@ -328,6 +328,15 @@ def accessible(t: Tables, user: int) -> DataFrame:
     return t["vacancy"].join(own, "id", "left").join(sent, "id", "left").where("status IS NOT NULL OR sent").drop("sent")
 
 
+def details(t: Tables, user: int, languages: DataFrame) -> DataFrame:
+    """Of each vacancy that the user may open its columns, the user's status, and languages (vacancy_id, language, required)
+    as an array in order, empty where there are none; a language said twice is required if it is once."""
+    said = languages.where("language IS NOT NULL").groupBy("vacancy_id", "language").agg(F.bool_or("required").alias("required"))
+    per = said.groupBy(F.col("vacancy_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("language", "required"))).alias("languages"))
+    none = F.array().cast("array<struct<language:string,required:boolean>>")
+    return accessible(t, user).join(per, "id", "left").withColumn("languages", F.coalesce("languages", none))
+
+
 def company_search(companies: DataFrame, sources: DataFrame, checks: DataFrame, sites: DataFrame, said: str) -> DataFrame:
     """companies (id, name, registration_number) found by number, if said is one, else by a part of their
     name's slug; with in_group, the result of their check, and their first site."""
@@ -395,6 +404,49 @@ def sites_to_check(sites: DataFrame, companies: DataFrame, before: dt.datetime,
     return due.withColumn("turn", first).where("turn = 1").orderBy(F.desc("priority"), F.asc_nulls_first("checked_at"), "id").limit(limit).select("id", "company_id")
 
 
+def sizes_to_check(companies: DataFrame, countries: DataFrame, country: str, before: dt.datetime, limit: int) -> DataFrame:
+    """(id, registration_number) of the country's companies that haven't ended and whose size was not looked up since;
+    important ones first, then the longest ago, never before all. No rows unless the country (country, active) is collected."""
+    own = companies.where((F.col("country") == country) & F.col("terminated_on").isNull()).join(_collected(countries), "country", "left_semi")
+    due = own.where(F.col("employees_checked_at").isNull() | (F.col("employees_checked_at") < at(before)))
+    return due.orderBy(F.desc("priority"), F.asc_nulls_first("employees_checked_at"), "id").limit(limit).select("id", "registration_number")
+
+
+def _collected(countries: DataFrame) -> DataFrame:
+    return countries.where("active").select("country")
+
+
+def _portal_companies(employers: DataFrame, companies: DataFrame, countries: DataFrame, country: str, checked: str, before: dt.datetime) -> DataFrame:
+    """Portal employers not checked since, with the companies that have their number, with or without leading zeros:
+    an equi join on either spelling."""
+    due = employers.where(F.col(checked).isNull() | (F.col(checked) < at(before))).withColumnRenamed("registration_number", "number")
+    spelt = due.withColumn("spelling", F.explode(F.array_distinct(F.array("number", F.ltrim("number", F.lit("0"))))))
+    own = companies.where((F.col("country") == country) & F.col("terminated_on").isNull()).join(_collected(countries), "country", "left_semi")
+    own = own.select(F.col("id").alias("company_id"), "name", "priority", F.col("registration_number").alias("spelling"))
+    return spelt.join(own, "spelling")
+
+
+def employers_for_sites(employers: DataFrame, companies: DataFrame, countries: DataFrame, country: str, before: dt.datetime, limit: int) -> DataFrame:
+    """(number, company_id, name): portal employers (registration_number, site_checked_at) whose site is due to be looked
+    for; important ones first, then the longest ago."""
+    due = _portal_companies(employers, companies, countries, country, "site_checked_at", before)
+    return due.orderBy(F.desc("priority"), F.asc_nulls_first("site_checked_at"), "number", "company_id").limit(limit).select("number", "company_id", "name")
+
+
+def employers_for_offers(employers: DataFrame, companies: DataFrame, countries: DataFrame, sources: DataFrame, postings: DataFrame, provider: str, country: str, before: dt.datetime, limit: int) -> DataFrame:
+    """(number, company_id, url): portal employers (registration_number, profesia_checked_at) with an open offer of the ad
+    portal among the postings of their own board, and the address of the one confirmed last (ties: smallest address).
+
+    Of an employer's postings one is kept before any join, so a board with very many sends one row a task."""
+    due = _portal_companies(employers, companies, countries, country, "profesia_checked_at", before)
+    live = postings.where(F.col("closed_at").isNull() & F.col("external_id").startswith("profesia:"))
+    last = live.groupBy("source_id").agg(F.min(F.struct((-F.unix_micros(F.col("last_confirmed_at").cast("timestamp"))).alias("age"), "url")).alias("last"))
+    boards = sources.where(F.col("provider") == provider).select(F.col("id").alias("source_id"), F.col("board").alias("number"))
+    hits = due.join(boards, "number").join(last, "source_id")
+    one = hits.groupBy("number", "profesia_checked_at").agg(F.min(F.struct("last.age", "last.url", "company_id", "priority")).alias("top"))
+    return one.orderBy(F.desc("top.priority"), F.asc_nulls_first("profesia_checked_at"), "number").limit(limit).select("number", "top.company_id", "top.url")
+
+
 def learn_heads(postings: DataFrame, share: float = 0.7, least: int = 2) -> DataFrame:
     """(head, code, n, total): title heads whose portal codes agree by majority."""
     from postlake.functions.keys import title_head

@@ -81,3 +81,41 @@ def test_next_pages(spark):
     rows = [("https://x.sk/k", 0, "https://x.sk/k", "1", None), ("https://x.sk/k", 1, "https://x.sk/k?strana=2", "2", None), ("https://x.sk/k", 2, "https://x.sk/k?strana=3", "Ďalej »", None), ("https://y.sk/k?page=2", 0, "https://y.sk/k?page=3", "3", None), ("https://z.sk", 0, "https://z.sk/2", "weiter", "NEXT"), ("https://w.sk", 0, "https://w.sk/a", "a", None)]
     got = {r["page"]: r["url"] for r in next_pages(spark.createDataFrame(rows, "page string, at int, url string, text string, rel string")).collect()}
     assert got == {"https://x.sk/k": "https://x.sk/k?strana=3", "https://y.sk/k?page=2": "https://y.sk/k?page=3", "https://z.sk": "https://z.sk/2"}
+
+
+def test_pages_confirmed(spark):
+    text = "acme slovensko " * 20
+    rows = [(1, "ACME s.r.o.", "WWW.acme.sk", "Acme", text, None), (2, None, "www.acme.sk", "Acme", text, ""), (3, "ACME s.r.o.", None, None, text, ""), (4, "ACME s.r.o.", "www.acme.sk", None, None, None), (5, "ACME s.r.o.", "www.acme.com", None, text * 2000, "")]
+    df = spark.createDataFrame(rows, "id int, name string, host string, title string, text string, html string")
+    got = {r["id"]: r["ok"] for r in df.select("id", brands.page_confirmed(F.col("name"), F.col("host"), F.col("title"), F.col("text"), F.col("html")).alias("ok")).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: True}
+
+
+def test_employers_by_hand(spark):
+    from postlake.sources import employers
+
+    names = employers.parsed('{"employers": [{"provider": "w", "board": "b", "name": " Old "}, {"provider": "w", "board": "b", "name": "New"}, {"provider": "w", "board": "none", "name": "X"}]}')
+    rows = [(1, "w", "b", "System"), (2, "w", "c", "Kept"), (3, "w", None, None), (4, None, "b", "Kept")]
+    df = spark.createDataFrame(rows, "id int, provider string, board string, employer_name string")
+    assert {r["id"]: r["employer_name"] for r in employers.named(df, names).collect()} == {1: "New", 2: "Kept", 3: None, 4: "Kept"}
+    assert employers.named(df, ()).count() == 4
+    with pytest.raises(ValueError, match="without"):
+        employers.parsed('{"employers": [{"provider": "w", "board": " ", "name": "X"}]}')
+
+
+def test_work_queues(spark):
+    import datetime as dt
+
+    from postlake.plans import market
+
+    at, old, new = dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 9)
+    companies = spark.createDataFrame([(1, "A", "SK", "123", None, 0, old), (2, "B", "SK", "00000456", None, 5, None), (3, "C", "SK", "789", "2024-01-01", 9, None), (4, "D", "CZ", "123", None, 9, None), (5, "E", "SK", None, None, 0, new)], "id int, name string, country string, registration_number string, terminated_on string, priority int, employees_checked_at timestamp_ntz")
+    on, off = (spark.createDataFrame([("SK", x)], "country string, active boolean") for x in (True, False))
+    assert [r["id"] for r in market.sizes_to_check(companies, on, "SK", at, 9).collect()] == [2, 1]
+    assert market.sizes_to_check(companies, off, "SK", at, 9).count() == 0
+    portal = spark.createDataFrame([("00000123", None, old), ("00000456", new, None), ("00000789", None, None), (None, None, None)], "registration_number string, site_checked_at timestamp_ntz, profesia_checked_at timestamp_ntz")
+    assert [tuple(r) for r in market.employers_for_sites(portal, companies, on, "SK", at, 9).collect()] == [("00000123", 1, "A")]
+    sources = spark.createDataFrame([(7, "p", "00000123"), (8, "p", "00000456"), (9, "q", "00000123")], "id int, provider string, board string")
+    offers = [(7, "profesia:1", "u1", None, old), (7, "profesia:2", "u2", None, new), (7, "x:3", "u0", None, new), (8, "profesia:4", "u4", new, new), (9, "profesia:5", "u5", None, new), (7, "profesia:6", "u9", None, new)]
+    postings = spark.createDataFrame(offers, "source_id int, external_id string, url string, closed_at timestamp_ntz, last_confirmed_at timestamp_ntz")
+    assert [tuple(r) for r in market.employers_for_offers(portal, companies, on, sources, postings, "p", "SK", at, 9).collect()] == [("00000123", 1, "u2")]

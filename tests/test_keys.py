@@ -87,3 +87,20 @@ def test_boards_in_pages(spark):
     ]
     got = spark.createDataFrame(rows, "page string, html string").select(keys.boards_in_page(F.col("page"), F.col("html")).alias("b")).collect()
     assert [sorted((x["provider"], x["board"]) for x in r["b"]) for r in got] == [[], [("SUCCESSFACTORS", "jobs.zf.com")], [], [("NALGOO", "foxconn")], [], [("TALEO", "mol.taleo.net/external")], [("GREENHOUSE", "acme"), ("PHENOM", "careers.dhl.com/eu/sk")]]
+
+
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("https://x.sk/a?search_id=1", "https://x.sk/a"),
+        ("https://x.sk/a?search_id=1&id=2", "https://x.sk/a?id=2"),
+        ("https://x.sk/a?id=2&utm_source=b&utm_term=#top", "https://x.sk/a?id=2#top"),
+        ("https://x.sk/a?utm_source=b&search_id=3&id=2", "https://x.sk/a?&id=2"),
+        ("https://x.sk/a?filter=tpp#list?x", "https://x.sk/a#list?x"),
+        ("https://x.sk/a?id=filter&myfilter=1", "https://x.sk/a?id=filter&myfilter=1"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_without_session(spark, url, want):
+    assert one(spark, keys.without_session(F.lit(url).cast("string"))) == want
