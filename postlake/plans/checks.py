@@ -85,7 +85,7 @@ def confirmed(t):
 # addresses of listed postings keep what tells them apart
 
 
-_LISTED = """url || CASE WHEN page_id % 6 = 5 THEN '' WHEN url LIKE '%?%' THEN '&' ELSE '?' END || CASE page_id % 6 WHEN 0 THEN 'search_id=' || page_id || '&id=5' WHEN 1 THEN 'id=5&utm_source=x&utm_medium=y#top'
+_LISTED = """CASE WHEN page_id % 6 = 5 THEN url ELSE split_part(url, '#', 1) END || CASE WHEN page_id % 6 = 5 THEN '' WHEN url LIKE '%?%' THEN '&' ELSE '?' END || CASE page_id % 6 WHEN 0 THEN 'search_id=' || page_id || '&id=5' WHEN 1 THEN 'id=5&utm_source=x&utm_medium=y#top'
   WHEN 2 THEN 'filter=tpp' WHEN 3 THEN 'filter=tpp#a?b' WHEN 4 THEN 'utm_term=a&&id=7&search_id=1' ELSE '' END"""
 
 
