@@ -223,14 +223,15 @@ def hot_join(rows: DataFrame, key: str, table: DataFrame, total: int, how: str =
     """rows joined (inner or left) with a written table that has one row a key, and n, the rows of the key.
 
     Rows of hot keys, those with more than total / HOT of total rows, stay where they are: what the
-    table says of these HOT keys at most is broadcast. The others are shuffled, and null keys match nothing.
+    table says of these HOT keys at most is broadcast, and the keys themselves are literals of the plan that
+    keep their rows out of the shuffle. The others are shuffled, and null keys match nothing.
     """
     more = [c for c in table.columns if c not in (key, "n")]
     named = table.select(F.col(key).alias("__key"), *more, "n")
     hot = F.broadcast(named.where(F.col("n") * HOT > total).drop("n"))
     here = rows.join(hot, rows[key] == hot["__key"], "inner").drop("__key")
-    mark = F.broadcast(named.where(F.col("n") * HOT > total).select(F.col("__key").alias("__hot")))
-    rest = rows.where(F.col(key).isNotNull()).join(mark, rows[key] == mark["__hot"], "left_anti")
+    few = [r["__key"] for r in named.where(F.col("n") * HOT > total).select("__key").collect()]  # HOT at most
+    rest = rows.where(F.col(key).isNotNull() & ~F.col(key).isin(few)) if few else rows.where(F.col(key).isNotNull())
     other = named.where(F.col("n") * HOT <= total).drop("n")
     out = here.unionByName(rest.join(other, rest[key] == other["__key"], how).drop("__key"))
     if how == "left":
