@@ -30,15 +30,45 @@ def not_in(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFra
     return kept.where((F.col("__n") == 0) | ((F.col("__null") == 0) & F.col(key).isNotNull())).drop("__n", "__null")
 
 
-def ordered_pairs(df: DataFrame, keys: list[str], id_: str, residual=None) -> DataFrame:
-    """(a, b) with a < b of rows that agree in keys; residual(left, right) filters further."""
-    own = df.where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys]))
-    a, b = own.alias("l"), own.alias("r")
-    on = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]) & (F.col(f"l.{id_}") < F.col(f"r.{id_}"))
-    out = a.join(b, on)
+#: Rows of a key that one block of pairs takes from each side, and pairs that a task compares.
+BLOCK_ROWS, TASK_PAIRS = 4_000, 10_000_000
+
+
+def blocks(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of an equi join, and its keys, dealt so that a key of very many rows on both sides is joined by many tasks, block by block.
+
+    Sizes are counted first; rows are told to blocks by their content, so a task that runs again deals them alike."""
+    size = left.groupBy(*keys).count().withColumnRenamed("count", "n").join(right.groupBy(*keys).count().withColumnRenamed("count", "m"), keys)
+    most, pairs = size.agg(F.coalesce(F.max(F.greatest("n", "m")), F.lit(0)), F.coalesce(F.sum(F.col("n").cast("double") * F.col("m")), F.lit(0.0))).collect()[0]  # one row
+    tasks = int(pairs // TASK_PAIRS) + 1
+    if tasks == 1:
+        return left, right, keys
+    n = most // BLOCK_ROWS + 1
+    dealt = lambda df, own, other: df.withColumn(own, F.pmod(F.xxhash64(*df.columns), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(other, F.col(other).cast("long"))
+    on = [*keys, "__i", "__j"]
+    return dealt(left, "__i", "__j").repartition(tasks, *on), dealt(right, "__j", "__i").repartition(tasks, *on), on
+
+
+def key_pairs(left: DataFrame, right: DataFrame, keys: list[str], id_: str, residual=None) -> DataFrame:
+    """(a, b) with a < b of rows of left and right that agree in keys, one for each two rows; residual(left, right) filters further."""
+    x, y, on = blocks(left, right, keys)
+    out = x.alias("l").join(y.alias("r"), reduce(lambda p, q: p & q, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in on]) & (F.col(f"l.{id_}") < F.col(f"r.{id_}")))
     if residual is not None:
         out = out.where(residual("l", "r"))
-    return out.select(F.col(f"l.{id_}").alias("a"), F.col(f"r.{id_}").alias("b")).distinct()
+    return out.select(F.col(f"l.{id_}").alias("a"), F.col(f"r.{id_}").alias("b"))
+
+
+def ordered_pairs(df: DataFrame, keys: list[str], id_: str, residual=None) -> DataFrame:
+    """(a, b) with a < b, each once, of rows that agree in keys; residual(left, right) filters further.
+
+    Two ids of one row each give a pair once, so pairs are shuffled, to be made distinct, only where an id has several rows."""
+    own = df.where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in [*keys, id_]]))
+    several = own.groupBy(id_).count().where("count > 1").select(id_)
+    if several.isEmpty():
+        return key_pairs(own, own, keys, id_, residual)
+    one, more = own.join(several, id_, "left_anti").select(*df.columns), own.join(several, id_, "left_semi").select(*df.columns)
+    again = key_pairs(more, own, keys, id_, residual).union(key_pairs(one, more, keys, id_, residual)).distinct()
+    return key_pairs(one, one, keys, id_, residual).union(again)
 
 
 def only_match(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -113,13 +113,13 @@ def j06(t):
 
 @R.add("j07_self_pairs_same_key", "SELECT DISTINCT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 def j07(t):
-    return joins.ordered_pairs(t("supplier"), ["s_nationkey"], "s_suppkey")
+    return joins.ordered_pairs(t("supplier").select("s_suppkey", "s_nationkey"), ["s_nationkey"], "s_suppkey")
 
 
 @R.add("j08_self_pairs_residual", "SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE a.p_type = b.p_type OR abs(a.p_retailprice - b.p_retailprice) < 5")
 def j08(t):
     near = lambda x, y: (F.col(f"{x}.p_type") == F.col(f"{y}.p_type")) | (F.abs(F.col(f"{x}.p_retailprice") - F.col(f"{y}.p_retailprice")) < 5)
-    return joins.ordered_pairs(t("part"), ["p_brand", "p_size"], "p_partkey", near)
+    return joins.ordered_pairs(t("part").select("p_partkey", "p_brand", "p_size", "p_type", "p_retailprice"), ["p_brand", "p_size"], "p_partkey", near)
 
 
 @R.add("j10_least_greatest_pairs", "SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, count(*) AS n FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2")
@@ -333,8 +333,9 @@ _U03 = "SELECT DISTINCT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN
 
 @R.add("u03_symmetric_pairs", _U03)
 def u03(t):
-    p = joins.ordered_pairs(t("supplier"), ["s_nationkey"], "s_suppkey")
-    return p.union(p.select("b", "a"))
+    p = joins.ordered_pairs(t("supplier").select("s_suppkey", "s_nationkey"), ["s_nationkey"], "s_suppkey")
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return p.select(F.explode(both).alias("p")).select("p.a", "p.b")
 
 
 @R.add("u04_except_keys", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_returnflag = 'R')")
