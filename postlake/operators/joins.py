@@ -101,6 +101,19 @@ def matched_by_paths(paths: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), paths).distinct()
 
 
+def matched_by_key(paths: DataFrame, left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(c, k), each once: those of paths and those of left (c, key) and right (k, key) that have a common key.
+
+    Pairs of a key are never shuffled: a pair is told at the first of several common keys, and paths leave out what the key gives."""
+    few = lambda rows, id_, own: rows.where(F.col(key).isNotNull()).groupBy(id_).agg(F.collect_set(key).alias(own))  # noqa: E731  # an id's keys are few
+    a, b = few(left, "c", "__a"), few(right, "k", "__b")
+    x, y, on = blocks(a.withColumn(key, F.explode("__a")), b.withColumn(key, F.explode("__b")), [key])
+    near = x.join(y, on).where(F.array_min(F.array_intersect("__a", "__b")) == F.col(key)).select("c", "k")
+    p = paths.select("c", "k").distinct().alias("p")
+    p = p.join(a.alias("a"), F.col("p.c").eqNullSafe(F.col("a.c")), "left").join(b.alias("b"), F.col("p.k").eqNullSafe(F.col("b.k")), "left")
+    return near.union(p.where(~F.coalesce(F.arrays_overlap("__a", "__b"), F.lit(False))).select("p.c", "p.k"))
+
+
 def counted(df: DataFrame, key: str, other: DataFrame, other_key: str, column: str) -> DataFrame:
     """df with the number of rows of other that have its key, 0 without any; other is counted before the join."""
     n = other.groupBy(F.col(other_key).alias("__k")).agg(F.count("*").alias(column))

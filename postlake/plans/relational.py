@@ -171,12 +171,13 @@ UNION ALL SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON s_nationkey
 @R.add("j20_union_paths_match", _J20)
 def j20(t):
     lines = t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c"), "l_partkey", "l_quantity")
-    near = t("customer").where("c_acctbal > 9000").join(t("supplier").where("s_acctbal > 9000"), F.col("s_nationkey") == F.col("c_nationkey"))
-    return joins.matched_by_paths([
+    paths = joins.matched_by_paths([
         lines.where("l_quantity > 49").select("c", F.col("l_partkey").alias("k")),
         lines.join(t("part").where("p_size = 50"), F.col("p_partkey") == F.col("l_partkey")).select("c", F.col("p_partkey").alias("k")),
-        near.select(F.col("c_custkey").alias("c"), F.col("s_suppkey").alias("k")),
     ])
+    customers = t("customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("nation"))
+    suppliers = t("supplier").where("s_acctbal > 9000").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("nation"))
+    return joins.matched_by_key(paths, customers, suppliers, "nation")
 
 
 @R.add("g01_grouping_sets_total", "SELECT c_nationkey, CASE WHEN grouping(c_mktsegment) = 1 THEN '' ELSE coalesce(c_mktsegment, 'NONE') END AS c_mktsegment, count(DISTINCT c_custkey) AS value FROM customer GROUP BY GROUPING SETS ((c_nationkey), (c_nationkey, c_mktsegment))")
