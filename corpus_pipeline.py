@@ -38,7 +38,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of all documents."""
-    return op04_bpe.digests(docs.select("doc_id", "text")).drop("text")
+    return op04_bpe.digests(docs.select("doc_id", "text"), keep_text=False)
 
 
 STAGES = [

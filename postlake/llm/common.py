@@ -101,18 +101,20 @@ def give_back() -> None:
         trim(0)
 
 
-def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[list], Iterable[Sequence]]], fields: Sequence[tuple[str, pa.DataType]], limit: int = SLICE_BYTES) -> DataFrame:
+def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[list], Iterable[Sequence]]], fields: Sequence[tuple[str, pa.DataType]], limit: int = SLICE_BYTES, keep_text: bool = True) -> DataFrame:
     """Add columns that a Python function makes of a text column, in Arrow batches.
 
     make() runs once in each task and returns the function: a list of texts (null: None) to a
     list of columns (one per field). The other columns pass untouched; a column of df with the
-    name of a field is replaced. An empty table gives an empty table.
+    name of a field is replaced. Without keep_text the text column is not sent back. An empty
+    table gives an empty table.
     """
     names = [n for n, _ in fields]
     kept = [c for c in df.columns if c not in names]
     if text not in kept:
         raise ValueError(f"{text!r} must stay, or be copied first")
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, _SPARK[t]) for n, t in fields])
+    back = [c for c in kept if keep_text or c != text]
+    schema = T.StructType([df.schema[c] for c in back] + [T.StructField(n, _SPARK[t]) for n, t in fields])
     types = [t for _, t in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +124,7 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[list], Itera
             for i, j in slices(b.column(text), limit):
                 part = b.slice(i, j - i)
                 made = f(part.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(x, t) for x, t in zip(made, types, strict=True)], names=[*kept, *names])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in back] + [pa.array(x, t) for x, t in zip(made, types, strict=True)], names=[*back, *names])
             give_back()
 
     return df.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)

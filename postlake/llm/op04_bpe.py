@@ -28,9 +28,10 @@ from postlake.llm.common import droppable, map_text, table
 from postlake.llm.op02_tokens import vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pre-tokens remembered in a Python worker, each of PIECE characters at most.
-MEMORY = 400_000
+#: Pre-tokens remembered in a Python worker, each of PIECE characters at most, and answers of fits().
+MEMORY = 160_000
 PIECE = 64
+PAIRS = 300_000
 
 FIELDS = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 
@@ -84,13 +85,15 @@ class Bpe:
         self.matches.make_automaton()
         self.words = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._known: dict[str, tuple[int, str]] = {}
+        self._fits: dict[int, bool] = {}
+        #: decimal ids of pre-tokens: those met lately, and those met before them
+        self._known: dict[str, str] = {}
+        self._older: dict[str, str] = {}
         self._table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the bytes of two tokens gives the two tokens."""
-        key = (left, right)
+        key = left << 32 | right
         if (known := self._fits.get(key)) is not None:
             return known
         ranks, made = self.rank_of_pair, self.made
@@ -110,7 +113,7 @@ class Bpe:
             else:
                 # a merge on the left with the same rank comes before this one
                 undone, right = b[0] + 1, b[1]
-        if len(self._fits) > 1_000_000:
+        if len(self._fits) >= PAIRS:
             self._fits.clear()
         self._fits[key] = ok
         return ok
@@ -133,30 +136,29 @@ class Bpe:
             n -= size[n]
         return ids[::-1]
 
-    def _word(self, word: str) -> tuple[int, str]:
-        ids = self.encode_word(word.encode("utf-8", "surrogatepass"))
-        return len(ids), ",".join(map(str, ids))
+    def _word(self, word: str) -> str:
+        """Ids of a pre-token that was not met lately; when the newer half of the memory is full, the older is forgotten."""
+        got = self._older.get(word)
+        if got is None:
+            got = ",".join(map(str, self.encode_word(word.encode("utf-8", "surrogatepass"))))
+        if len(word) <= PIECE:
+            if len(self._known) >= MEMORY // 2:
+                self._older, self._known = self._known, {}
+            self._known[word] = got
+        return got
 
     def encode_text(self, text: str) -> tuple[int, str]:
         """Number of ids and the decimal ids joined by commas."""
-        known = self._known
-        if len(known) > MEMORY:
-            known.clear()
-        n, out = 0, []
+        out = []
         for i, part in enumerate(self.parts.split(text) if self.parts else [text]):
             if i % 2:
-                n += 1
                 out.append(str(self.special[part]))
                 continue
             for w in self.words.findall(part):
-                got = known.get(w)
-                if got is None:
-                    got = self._word(w)
-                    if len(w) <= PIECE:
-                        known[w] = got
-                n += got[0]
-                out.append(got[1])
-        return n, ",".join(out)
+                got = self._known.get(w)
+                out.append(self._word(w) if got is None else got)
+        ids = ",".join(out)
+        return ids.count(",") + 1 if out else 0, ids
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes that are not UTF-8 become U+FFFD, special tokens their string."""
@@ -193,9 +195,9 @@ def _loaded(path: str) -> Bpe:
     return _CACHE[path]
 
 
-def digests(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256."""
-    return map_text(docs, text, encoder(path or vocabulary_path(VOCABULARY)), FIELDS)
+def digests(docs: DataFrame, text: str = "text", path: str | None = None, keep_text: bool = True) -> DataFrame:
+    """docs with n_tokens, ids_sha256 and decoded_sha256, and with the text unless it isn't wanted back."""
+    return map_text(docs, text, encoder(path or vocabulary_path(VOCABULARY)), FIELDS, keep_text=keep_text)
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids") -> DataFrame:
@@ -221,4 +223,4 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, text: str
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
