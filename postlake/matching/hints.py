@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.operators.joins import sized
+from postlake.tables import spread
 
 C = F.col
+#: Titles that one task looks for terms in.
+TASK_TITLES = 20_000
 _TOKEN, _EDGE = r"([\p{L}\p{N}]+|[^\p{L}\p{N}\s])", r"[^\p{L}\p{N}]"
 
 
@@ -40,8 +43,9 @@ def term_hits(titles: DataFrame, terms: DataFrame) -> DataFrame:
     """(slug, position_id, kind) of the terms that stand in titles (slug, name) as whole words, whatever their case.
 
     An index of one token a term proposes the candidates: every word or mark of a term is one of a title that has it, so the
-    longest is looked up, and what it finds is compared in full. Null and blank terms stand nowhere."""
-    low = titles.select("slug", F.lower("name").alias("low")).where("low IS NOT NULL")
+    longest is looked up, and what it finds is compared in full. Null and blank terms stand nowhere. Titles are dealt by slug
+    to tasks of bounded size, so a slug's hits are made distinct, and grouped later, where they are found."""
+    low = spread(titles.select("slug", F.lower("name").alias("low")).where("low IS NOT NULL"), TASK_TITLES, "slug")
     said = low.withColumn("token", F.explode(F.array_distinct(_tokens(C("low")))))
     asked = terms.select("position_id", "kind", F.lower("term").alias("term")).distinct()
     asked = asked.select("position_id", "kind", _index_token(C("term")).alias("token"), _pattern(C("term")).alias("pattern")).where("token IS NOT NULL")
