@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from postlake.functions.keys import fold, same_title
 from postlake.operators.aggregates import facets, with_total
 from postlake.operators.filters import format_rule, fresh, ranked, unranked
-from postlake.operators.joins import first_by, flagged
+from postlake.operators.joins import first_by, flagged, sized
 
 Tables = dict[str, DataFrame]
 #: Feeds that are no source of a company's own.
@@ -35,29 +35,38 @@ def at(value: dt.datetime | dt.date) -> Column:
     return F.lit(value).cast("timestamp_ntz") if isinstance(value, dt.datetime) else F.lit(value)
 
 
-def _matches(t: Tables) -> DataFrame:
-    """(condition_id, code, vacancy_id), with repeats: chosen positions, portal codes of chosen groups,
-    positions of the groups, recognised codes, and mapped positions of portal offers."""
-    chosen, groups, posting, match = t["condition_position"], t["condition_occupation"], t["job_posting"], t["vacancy_position_match"]
+#: Postings whose matches one task finds.
+TASK_POSTINGS = 250_000
+
+
+def _matches(t: Tables, within: DataFrame | None = None) -> DataFrame:
+    """(condition_id, code, vacancy_id), distinct: chosen positions, portal codes of chosen groups, positions of the
+    groups, recognised codes, and mapped positions of portal offers; of the vacancies (vacancy_id) of `within` alone, if named.
+
+    What vacancies show is dealt by vacancy to tasks of bounded size and distinct there, before conditions multiply it."""
+    groups, posting, match = t["condition_occupation"].select("condition_id", "code"), t["job_posting"], t["vacancy_position_match"].select("vacancy_id", "position_id")
     position = t["position"].select(F.col("id").alias("position_id"), F.col("code").alias("position_code"), "occupation_code")
-    coded = lambda column: groups.join(posting.select(F.col(column).alias("code"), "vacancy_id"), "code").select("condition_id", "code", "vacancy_id")
-    paths = [
-        chosen.join(position, "position_id").join(match, "position_id").select("condition_id", F.col("position_code").alias("code"), "vacancy_id"),
-        coded("occupation_code"),
-        groups.join(position.select("position_id", F.col("occupation_code").alias("code")), "code").join(match, "position_id").select("condition_id", "code", "vacancy_id"),
-        coded("title_occupation_code"),
+    group, one = (lambda c: F.concat(F.lit("group "), c)), F.concat(F.lit("position "), F.col("position_id").cast("string"))
+    shown = [
+        match.select("vacancy_id", one.alias("key")),
+        match.join(position, "position_id").select("vacancy_id", group("occupation_code").alias("key")),
+        posting.select("vacancy_id", F.explode(F.array(group("occupation_code"), group("title_occupation_code"))).alias("key")),
     ]
     if "offer_position" in t:
-        offers = t["offer_position"].select(F.concat(F.lit("profesia:"), "num").alias("external_id"), "code")
-        paths.append(groups.join(offers, "code").join(posting.select("external_id", "vacancy_id"), "external_id").select("condition_id", "code", "vacancy_id"))
-    return _union(paths)
+        offers = t["offer_position"].select(F.concat(F.lit("profesia:"), "num").alias("external_id"), group("code").alias("key")).where("key IS NOT NULL")
+        shown.append(posting.select("external_id", "vacancy_id").join(offers.join(groups.select(group("code").alias("key")), "key", "left_semi"), "external_id").select("vacancy_id", "key"))
+    chosen = t["condition_position"].join(position, "position_id").select("condition_id", F.col("position_code").alias("code"), one.alias("key"))
+    wanted = groups.withColumn("key", group("code")).unionByName(chosen).distinct()
+    own = _union(shown).where("key IS NOT NULL").repartition(posting.count() // TASK_POSTINGS + 1, "vacancy_id")
+    own = own if within is None else own.join(within, "vacancy_id", "left_semi")
+    return own.distinct().join(sized(wanted), "key").select("condition_id", "code", "vacancy_id").distinct()
 
 
 def search_matches(t: Tables, now: dt.datetime) -> DataFrame:
     """(condition_id, code, vacancy_id), distinct, without vacancies that their employer posted more
     than four months ago."""
     open_ = t["vacancy"].where(fresh(F.col("posted_at"), at(now))).select(F.col("id").alias("vacancy_id"))
-    return _matches(t).distinct().join(open_, "vacancy_id", "left_semi")
+    return _matches(t, open_)
 
 
 def _fitting(t: Tables, now: dt.datetime, hide_after_days: int) -> DataFrame:
