@@ -49,6 +49,26 @@ def blocks(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFram
     return dealt(left, "__i", "__j").repartition(tasks, *on), dealt(right, "__j", "__i").repartition(tasks, *on), on
 
 
+#: Pairs that a task of a dealt join gives.
+DEALT_PAIRS = 2_000_000
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, id_: str) -> tuple[DataFrame, int, list[str]]:
+    """left joined with right by key over tasks of bounded output; the number of tasks, and the columns by which its rows are dealt.
+
+    Pairs are counted first. A key that alone gives more is cut into pieces: its right rows are dealt by id_, its left rows go to each."""
+    size = left.groupBy(key).agg(F.count("*").alias("n")).join(right.groupBy(key).agg(F.count("*").alias("m")), key).select(key, (F.col("n").cast("double") * F.col("m")).alias("pairs"))
+    total, most = size.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.max("pairs"), F.lit(0.0))).collect()[0]  # one row
+    tasks = int(total // DEALT_PAIRS) + 1
+    if most <= DEALT_PAIRS:
+        return left.repartition(tasks, key).join(right.repartition(tasks, key), key), tasks, [key]
+    hot = sized(size.where(F.col("pairs") > DEALT_PAIRS).select(key, F.ceil(F.col("pairs") / DEALT_PAIRS).alias("__pieces")))  # as many as tasks at most
+    cut = lambda df, piece: df.join(hot, key, "left").withColumn("__piece", piece).drop("__pieces").repartition(tasks, key, "__piece")
+    pieces = F.coalesce(F.col("__pieces"), F.lit(1))
+    x, y = cut(left, F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))), cut(right, F.pmod(F.xxhash64(id_), pieces))
+    return x.join(y, [key, "__piece"]), tasks, [key, "__piece"]
+
+
 def key_pairs(left: DataFrame, right: DataFrame, keys: list[str], id_: str, residual=None) -> DataFrame:
     """(a, b) with a < b of rows of left and right that agree in keys, one for each two rows; residual(left, right) filters further."""
     x, y, on = blocks(left, right, keys)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from postlake.functions.keys import fold, same_title
 from postlake.operators.aggregates import facets, with_total
 from postlake.operators.filters import format_rule, fresh, ranked, unranked
-from postlake.operators.joins import first_by, flagged, sized
+from postlake.operators.joins import dealt_join, first_by, flagged, sized
 
 Tables = dict[str, DataFrame]
 #: Feeds that are no source of a company's own.
@@ -176,11 +176,15 @@ def coverage(t: Tables) -> DataFrame:
     vacancy = t["vacancy"].where("state <> 'CLOSED'").select(F.col("id").alias("vacancy_id"), "work_countries")
     posting = t["job_posting"].where("closed_at IS NULL").select("source_id", "vacancy_id", same_title(F.col("title")).alias("title_key"))
     own_country = F.coalesce(F.array_contains("work_countries", F.col("country")), F.lit(False)) | (F.coalesce(F.cardinality("work_countries"), F.lit(0)) == 0)
-    p = company.join(link.where("role = 'EMPLOYER'"), "company_id").join(posting, "source_id").join(vacancy, "vacancy_id").where(own_country)
-    # per title: is it on the portal, is it on an own source
-    titles = p.groupBy("company_id", "title_key").agg(F.bool_or("portal").alias("on_portal"), F.bool_or(~F.col("portal")).alias("on_own"))
+    employer = company.join(link.where("role = 'EMPLOYER'"), "company_id").select("company_id", "country", "source_id", "portal")
+    p, tasks, dealt = dealt_join(employer, posting.join(vacancy, "vacancy_id"), "source_id", "vacancy_id")
+    p = p.where(own_country)
+    # per title: is it on the portal, is it on an own source; first of a source, where its rows are, then of the company
+    sides = [F.bool_or("on_portal").alias("on_portal"), F.bool_or("on_own").alias("on_own")]
+    near = p.withColumns({"on_portal": F.col("portal"), "on_own": ~F.col("portal")}).groupBy(*dealt, "company_id", "title_key").agg(*sides)
+    titles = near.select("company_id", "title_key", "on_portal", "on_own").repartition(tasks, "company_id", "title_key").groupBy("company_id", "title_key").agg(*sides)
     counted = titles.where("on_portal").groupBy("company_id").agg(F.count("*").alias("portal_titles"), F.count_if("on_own").alias("found_on_own"))
-    own = p.where(~F.col("portal")).groupBy("company_id").agg(F.count_distinct("vacancy_id").alias("own_vacancies"))
+    own = p.where(~F.col("portal")).select("company_id", "vacancy_id").repartition(tasks, "company_id", "vacancy_id").distinct().groupBy("company_id").agg(F.count("*").alias("own_vacancies"))
     has = link.groupBy("company_id").agg(F.bool_or((F.col("role") == "EMPLOYER") & ~F.col("portal")).alias("own_source"), F.bool_or(F.col("role") == "GROUP").alias("group_source"))
     best = t["company_site"].where("status = 'FOUND'").groupBy("company_id").agg(F.min(ranked(F.col("check_result"), SITE_RESULTS)).alias("rank"))
     out = counted.join(company, "company_id").join(own, "company_id", "left").join(has, "company_id", "left").join(best, "company_id", "left")
