@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlake.functions import keys, places, scalars
 from postlake.matching import languages, locations, neighbours, positions
 from postlake.plans.registry import Registry
+from postlake.tables import spread
 
 R = Registry()
 
@@ -20,6 +22,11 @@ def _line():
     return F.col("text")
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """doc_id and text over tasks of 2,000 documents or so: whole texts are long for a title's patterns, and a file may be read in one task."""
+    return spread(docs.select("doc_id", "text"), 2_000)
+
+
 def _title():
     d = F.col("doc_id")
     head = F.when(d % 6 == 0, "").when(d % 6 == 1, "(m/ž/d) ").when(d % 6 == 2, "Kuchár/ka ").when(d % 6 == 3, "(TOBI s.r.o.) ").when(d % 6 == 4, "Вчитель ").otherwise("SKLADNÍK - ")
@@ -55,7 +62,7 @@ _FOLD = f"lower(translate({_TITLE}, '{keys.TITLE_FROM}', '{keys.TITLE_TO}'))"
 
 @R.add("x03_same_title", "SELECT doc_id, trim(" + _chain(_FOLD, (r"\([^)]*\)", " "), *_BARE) + ") AS title FROM documents")
 def x03(t):
-    return t("documents").select("doc_id", keys.same_title(_title()).alias("title"))
+    return _dealt(t("documents")).select("doc_id", keys.same_title(_title()).alias("title"))
 
 
 def _plain(x: str) -> str:
@@ -72,7 +79,7 @@ def x04(t):
 
 @R.add("x05_title_key", "SELECT doc_id, trim(" + _chain(_plain(_TITLE), (keys.LEGAL_PAREN, " "), *_BARE) + ") AS title_key FROM documents")
 def x05(t):
-    return t("documents").select("doc_id", keys.title_key(_title()).alias("title_key"))
+    return _dealt(t("documents")).select("doc_id", keys.title_key(_title()).alias("title_key"))
 
 
 _PLACES = ["Topoľčany - Topoľčany", "Hlavná 19, 949 01 Nitra", "Bratislava-Petržalka; Košice IV", "okres Trnava", "Žilinský kraj", "Slovensko", "Remote", "Banská Bystrica, Slovakia", "Prešov (SK); Prešovský kraj", ""]
