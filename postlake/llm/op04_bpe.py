@@ -4,7 +4,9 @@ For every prefix of a pre-token the last token of its encoding is unique. The ta
 tokens is filled from left to right: the automaton of all vocabulary entries gives the tokens that
 end at a position, and a token t is the last one exactly if the last token p of the prefix before
 it and t are compatible, that is if merging the bytes of p and t gives p and t again. Following
-the back-pointers from the end emits the ids; they equal those of merging by rank.
+the back-pointers from the end emits the ids; they equal those of merging by rank. Of a short
+pre-token only the prefixes that its end asks for are filled in, and are remembered for other
+pre-tokens that begin alike; there the vocabulary is asked for the suffixes themselves.
 
 The compatibility test undoes merges at the border of the pair, highest rank first: if at some
 stage the two border tokens have a merge whose rank is lower than the rank of what was undone,
@@ -20,8 +22,10 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from functools import cached_property
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from postlake.llm.common import droppable, map_text, table
@@ -32,6 +36,10 @@ VOCABULARY = "byte_bpe_50k.json"
 MEMORY = 160_000
 PIECE = 64
 PAIRS = 300_000
+#: Prefixes remembered beside them, of pre-tokens of PIECE bytes at most: the first ones and the latest (those of a few
+#: pre-tokens at least, as no prefix of a pre-token should be worked out again and again).
+PREFIXES = 50_000
+PASSING = 10_000
 
 FIELDS = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 
@@ -60,7 +68,6 @@ class Bpe:
     """Encoder and decoder of one tokenizers file with a byte-level BPE model."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -73,46 +80,68 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
+        most = max(self.bytes_of) + 1
+        self._table = [self.bytes_of.get(i, b"") for i in range(most)]
+        self._names = list(map(str, range(most)))
+        self._bytes = pa.array(self._table, pa.large_binary())
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        #: rank of a pair's merge; the rank and the halves a token was merged from (bytes: rank -1)
-        self.rank_of_pair = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges)}
-        self.made = {vocab[a + b]: (r, vocab[a], vocab[b]) for r, (a, b) in reversed(list(enumerate(merges)))}
-        self.matches = ahocorasick.Automaton()
-        for s, i in vocab.items():
-            if i in self.made or len(s) == 1:
-                b = raw(s)
-                self.matches.add_word(b.decode("latin-1"), (len(b), i))
-        self.matches.make_automaton()
+        #: rank of a pair's merge; by token the rank and the halves it was merged from (bytes: rank -1)
+        self.rank_of_pair = {vocab[a] << 32 | vocab[b]: r for r, (a, b) in enumerate(merges)}
+        self.rank, self.left, self.right = [-1] * most, [0] * most, [0] * most
+        for r, (a, b) in reversed(list(enumerate(merges))):
+            i = vocab[a + b]
+            self.rank[i], self.left[i], self.right[i] = r, vocab[a], vocab[b]
+        #: tokens that merging can give, by their bytes as Latin-1
+        self.tokens = {raw(s).decode("latin-1"): i for s, i in vocab.items() if self.rank[i] >= 0 or len(s) == 1}
+        #: lengths of the tokens with the same three last bytes, and of shorter ones, the longest first
+        sizes: dict[str, set[int]] = {}
+        for s in self.tokens:
+            if len(s) > 2:
+                sizes.setdefault(s[-3:], {1, 2}).add(len(s))
+        self._sizes = {end: tuple(sorted(x, reverse=True)) for end, x in sizes.items()}
         self.words = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._fits: dict[int, bool] = {}
-        #: decimal ids of pre-tokens: those met lately, and those met before them
+        #: decimal ids of pre-tokens: the first that were met again soon, those met lately, and those met before them
         self._known: dict[str, str] = {}
+        self._newer: dict[str, str] = {}
         self._older: dict[str, str] = {}
-        self._table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        #: last token and decimal ids of prefixes: the first ones, and the latest
+        self._prefixes: dict[str, tuple[int, str]] = {}
+        self._passing: dict[str, tuple[int, str]] = {}
+
+    @cached_property
+    def matches(self):
+        """The automaton of all tokens; only long pre-tokens need it."""
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for s, i in self.tokens.items():
+            made.add_word(s, (len(s), i))
+        made.make_automaton()
+        return made
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the bytes of two tokens gives the two tokens."""
         key = left << 32 | right
         if (known := self._fits.get(key)) is not None:
             return known
-        ranks, made = self.rank_of_pair, self.made
-        undone = len(ranks)
-        ok = True
+        rank, of_pair = self.rank, self.rank_of_pair.get
+        undone = never = len(self.rank_of_pair)
         while True:
-            r = ranks.get((left, right))
-            if r is not None and r < undone:
+            if of_pair(left << 32 | right, never) < undone:
                 ok = False
                 break
-            a, b = made.get(left), made.get(right)
-            if a is None and b is None:
-                break
+            a, b = rank[left], rank[right]
             # merges happen by rising rank, of one rank from the left: the last one is undone first
-            if b is None or (a is not None and a[0] > b[0]):
-                undone, left = a[0], a[2]
-            else:
+            if a > b:
+                undone, left = a, self.right[left]
+            elif b >= 0:
                 # a merge on the left with the same rank comes before this one
-                undone, right = b[0] + 1, b[1]
+                undone, right = b + 1, self.left[right]
+            else:
+                ok = True
+                break
         if len(self._fits) >= PAIRS:
             self._fits.clear()
         self._fits[key] = ok
@@ -136,15 +165,48 @@ class Bpe:
             n -= size[n]
         return ids[::-1]
 
+    def _begun(self, prefix: str) -> tuple[int, str]:
+        """Last token and decimal ids of a prefix, its bytes as Latin-1."""
+        token_of, fits, n = self.tokens.get, self._fits.get, len(prefix)
+        for size in self._sizes.get(prefix[-3:], (2, 1)):
+            k = n - size
+            if k < 0:
+                continue
+            token = token_of(prefix[k:])
+            if token is None:
+                continue
+            if not k:
+                return token, self._names[token]
+            rest = prefix[:k]
+            before = self._prefixes.get(rest) or self._passing.get(rest)
+            if before is None:
+                before = self._begun(rest)
+                held = self._prefixes if len(self._prefixes) < PREFIXES else self._passing
+                if held is self._passing and len(held) >= PASSING:
+                    held.clear()
+                held[rest] = before
+            ok = fits(before[0] << 32 | token)
+            if self.fits(before[0], token) if ok is None else ok:
+                return token, f"{before[1]},{self._names[token]}"
+        raise ValueError("a prefix without a last token")
+
     def _word(self, word: str) -> str:
-        """Ids of a pre-token that was not met lately; when the newer half of the memory is full, the older is forgotten."""
-        got = self._older.get(word)
+        """Ids of a pre-token. Five eighths of the memory hold the first words that were met again soon, as most words are
+        rare; the rest holds the latest, and when its newer half is full, the older is forgotten."""
+        got = self._known.get(word)
+        if got is not None:
+            return got
+        got = self._newer.get(word) or self._older.get(word)
         if got is None:
-            got = ",".join(map(str, self.encode_word(word.encode("utf-8", "surrogatepass"))))
-        if len(word) <= PIECE:
-            if len(self._known) >= MEMORY // 2:
-                self._older, self._known = self._known, {}
+            data = word.encode("utf-8", "surrogatepass")
+            got = self._begun(data.decode("latin-1"))[1] if len(data) <= PIECE else ",".join(map(str, self.encode_word(data)))
+        elif len(self._known) < MEMORY * 5 // 8:
             self._known[word] = got
+            return got
+        if len(word) <= PIECE:
+            if len(self._newer) >= MEMORY * 3 // 16:
+                self._older, self._newer = self._newer, {}
+            self._newer[word] = got
         return got
 
     def encode_text(self, text: str) -> tuple[int, str]:
@@ -154,9 +216,11 @@ class Bpe:
             if i % 2:
                 out.append(str(self.special[part]))
                 continue
-            for w in self.words.findall(part):
-                got = self._known.get(w)
-                out.append(self._word(w) if got is None else got)
+            words = self.words.findall(part)
+            got = list(map(self._known.get, words))
+            for k in [k for k, x in enumerate(got) if x is None]:
+                got[k] = self._word(words[k])
+            out += got
         ids = ",".join(out)
         return ids.count(",") + 1 if out else 0, ids
 
@@ -165,20 +229,26 @@ class Bpe:
         table = self._table
         return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
 
+    def decode_joined(self, texts: list[str]) -> list[str]:
+        """Texts of decimal ids joined by commas, as decode() gives them, those of many rows together."""
+        filled = [x for x in texts if x]
+        if not filled:
+            return [""] * len(texts)
+        ids = pc.split_pattern(pa.array(filled, pa.large_string()), ",")
+        raw = pa.ListArray.from_arrays(ids.offsets, self._bytes.take(ids.values.cast(pa.int64())))
+        found = iter(pc.binary_join(raw, pa.scalar(b"", pa.large_binary())))
+        return [next(found).as_py().decode("utf-8", "replace") if x else "" for x in texts]
+
 
 def encoder(path: str) -> Callable[[], Callable[[list], list]]:
     def make():
         bpe = _loaded(path)
 
         def run(texts: list) -> list:
-            ns, a, b = [], [], []
-            for x in texts:
-                n, ids = bpe.encode_text(x or "")
-                text = bpe.decode(list(map(int, ids.split(",")))) if ids else ""
-                ns.append(n)
-                a.append(hashlib.sha256(ids.encode()).hexdigest())
-                b.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
-            return [ns, a, b]
+            made = [bpe.encode_text(x or "") for x in texts]
+            back = bpe.decode_joined([ids for _, ids in made])
+            digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
+            return [[n for n, _ in made], [digest(ids) for _, ids in made], [digest(x) for x in back]]
 
         return run
 
