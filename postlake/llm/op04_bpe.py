@@ -35,11 +35,13 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens remembered in a Python worker, each of PIECE characters at most, and answers of fits().
 MEMORY = 160_000
 PIECE = 64
-PAIRS = 300_000
+PAIRS = 150_000
 #: Prefixes remembered beside them, of pre-tokens of PIECE bytes at most: the first ones and the latest (those of a few
 #: pre-tokens at least, as no prefix of a pre-token should be worked out again and again).
-PREFIXES = 50_000
-PASSING = 10_000
+PREFIXES = 25_000
+PASSING = 5_000
+#: Characters of joined ids that are decoded together (or those of one row).
+JOINED = 400_000
 
 FIELDS = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 
@@ -236,8 +238,8 @@ class Bpe:
             return [""] * len(texts)
         ids = pc.split_pattern(pa.array(filled, pa.large_string()), ",")
         raw = pa.ListArray.from_arrays(ids.offsets, self._bytes.take(ids.values.cast(pa.int64())))
-        found = iter(pc.binary_join(raw, pa.scalar(b"", pa.large_binary())))
-        return [next(found).as_py().decode("utf-8", "replace") if x else "" for x in texts]
+        found = iter(pc.binary_join(raw, pa.scalar(b"", pa.large_binary())).to_pylist())
+        return [next(found).decode("utf-8", "replace") if x else "" for x in texts]
 
 
 def encoder(path: str) -> Callable[[], Callable[[list], list]]:
@@ -245,10 +247,19 @@ def encoder(path: str) -> Callable[[], Callable[[list], list]]:
         bpe = _loaded(path)
 
         def run(texts: list) -> list:
-            made = [bpe.encode_text(x or "") for x in texts]
-            back = bpe.decode_joined([ids for _, ids in made])
             digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
-            return [[n for n, _ in made], [digest(ids) for _, ids in made], [digest(x) for x in back]]
+            ns, a, b, held, size = [], [], [], [], 0
+            for x in texts:
+                n, ids = bpe.encode_text(x or "")
+                ns.append(n)
+                a.append(digest(ids))
+                held.append(ids)
+                size += len(ids)
+                if size > JOINED:
+                    b += map(digest, bpe.decode_joined(held))
+                    held, size = [], 0
+            b += map(digest, bpe.decode_joined(held))
+            return [ns, a, b]
 
         return run
 
